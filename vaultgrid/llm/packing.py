@@ -36,6 +36,8 @@ from .common import Scratch, table
 
 CAPACITY = 1024
 END_ID = 2
+#: Rounding: a configuration used less often is left to best fit.
+LEAST_USES = 4
 #: Words whose ids a worker keeps at most.
 CACHED_WORDS = 300_000
 
@@ -128,25 +130,30 @@ def price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, in
     return dict(out)
 
 
-def configuration_lp(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 500, step: float = 0.5) -> dict[tuple, float]:
-    """Uses of each configuration, by multiplicative weights on uncovered lengths."""
+def configuration_lp(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 500) -> dict[tuple, int]:
+    """Uses of each configuration, by multiplicative weights on uncovered lengths.
+
+    A length's price is its tokens, a little more for what is hard to place, and
+    decays with the share of its demand that is covered; each round the knapsack
+    finds the dearest configuration, which is used until one of its lengths runs out.
+    """
     need = {n: c for n, c in counts.items() if 0 < n < capacity and c > 0}
     if not need:
         return {}
     lengths = np.array(sorted(need))
-    demand = np.array([need[n] for n in lengths.tolist()], float)
+    demand = np.array([need[n] for n in lengths.tolist()])
     at = {n: i for i, n in enumerate(lengths.tolist())}
-    covered, uses = np.zeros(len(lengths)), defaultdict(float)
+    covered, uses = np.zeros_like(demand), defaultdict(int)
+    size = lengths * (1 + 0.3 * lengths / capacity)
     for _ in range(rounds):
-        share = covered / demand
-        weight = np.exp(-4.0 * share) * (share < 1)
-        if not weight.any():
+        lacking = np.flatnonzero(covered < demand)
+        if not lacking.size:
             break
-        # worth of a length: its tokens, tilted to lengths of which little is covered
-        chosen = price(lengths * (0.5 + 0.5 * weight) * (share < 1) + 1e-9 * lengths, lengths, capacity)
-        chosen = {n: min(k, int(demand[at[n]])) for n, k in chosen.items()}
-        amount = min(max(demand[at[n]] - covered[at[n]], step) / k for n, k in chosen.items() if share[at[n]] < 1)
-        amount = max(amount * step, min(amount, 1.0))
+        weight = np.exp(-covered[lacking] / demand[lacking])
+        chosen = price(size[lacking] * (1 + 0.1 * weight), lengths[lacking], capacity)
+        left = {n: int(demand[at[n]] - covered[at[n]]) for n in chosen}
+        chosen = {n: min(k, left[n]) for n, k in chosen.items()}
+        amount = min(left[n] // k for n, k in chosen.items())
         uses[tuple(sorted(chosen.items()))] += amount
         for n, k in chosen.items():
             covered[at[n]] += amount * k
@@ -160,8 +167,8 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[di
     if left.get(capacity):
         bins[0].append(({capacity: 1}, left.pop(capacity)))
     for config, x in sorted(configuration_lp(left, capacity).items(), key=lambda t: (-t[1], t[0])):
-        m = min([int(x), *(left.get(n, 0) // k for n, k in config)])
-        if m > 0:
+        m = min([x, *(left.get(n, 0) // k for n, k in config)])
+        if m >= LEAST_USES:
             for n, k in config:
                 left[n] -= k * m
             bins[capacity - sum(n * k for n, k in config)].append((dict(config), m))

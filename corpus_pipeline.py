@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vaultgrid.llm import mixing, ngram_join, packing, quality_gam, substring_dedup
 from vaultgrid.llm.common import Scratch, table
@@ -20,10 +19,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_WORDS = 1
 
 
-def _fields(docs: DataFrame) -> list[T.StructField]:
-    return [docs.schema[c] for c in COLUMNS]
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as label 1; it learns from the labelled ones."""
     model = quality_gam.fit_on(docs, table(spark, sf_dir, "labels"))
@@ -31,16 +26,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-copy group: the one with the smallest id; documents without words stay.
+    """One document of each near-copy group: the one with the smallest id, an id before null.
 
-    A repeated row is a copy of itself: rows are numbered within an id, and the
-    first of the smallest id stays.
+    Wordless documents stay. A repeated row is a copy of itself and stays once.
     """
     scratch = Scratch(spark, "copies")
-    grouped = ngram_join.components(docs.select("doc_id", "text"))
-    first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    first = scratch.write(first, "kept")
-    kept = docs.select(*COLUMNS).join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    grouped = ngram_join.components(docs.select("doc_id", "text", F.xxhash64("text").alias("code")))
+    first = grouped.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "code")).alias("x"))
+    first = scratch.write(first.select(F.col("x.doc_id").alias("id"), F.col("x.code").alias("code")), "kept")
+    kept = docs.select(*COLUMNS).join(first, docs["doc_id"].eqNullSafe(first["id"]) & (F.xxhash64(docs["text"]) == first["code"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
 
 

@@ -251,7 +251,7 @@ class Join:
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the text, with n_shingles, row (unique) and component_id."""
+    """``docs`` without the text, with n_shingles, row (unique), component_id and group_id (unique to a component)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     given = docs.select(F.col(text_col).alias("text"))
@@ -261,7 +261,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = spark.sparkContext.broadcast((hot, level))
     bits = repeated_bits(given.mapInArrow(_touching(k, percent, width, shared), "chunk long, places binary, counts binary"), width)
     shared = spark.sparkContext.broadcast((hot, level, bits))
-    clash = [c for c in ("n_shingles", "fp", "tokens", "prefix0", "prefix1", "prefix2", "row", "component_id") if c in docs.columns and c not in (id_col, text_col)]
+    clash = [c for c in ("n_shingles", "fp", "tokens", "prefix0", "prefix1", "prefix2", "row", "component_id", "group_id", "label", "component") if c in docs.columns and c not in (id_col, text_col)]
     kept = docs.drop(*clash)
     longs = T.ArrayType(T.LongType())
     fields = [f for f in kept.schema.fields if f.name != text_col] + [T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.BinaryType()), *(T.StructField(c, longs) for c in ("tokens", "prefix0", "prefix1", "prefix2"))]
@@ -275,9 +275,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = Join(classes, scratch, percent).run()
     named = rows.join(labels, "cls")
     smallest = named.groupBy("label").agg(F.min("smallest").alias("component"))
-    of_fp = named.join(smallest, "label").select("fp", "component")
+    of_fp = named.join(smallest, "label").select("fp", "component", "label")
     out = made.drop("tokens", "prefix0", "prefix1", "prefix2").join(of_fp, "fp", "left")
-    return out.withColumn("component_id", F.when(F.col("fp").isNull(), F.col(id_col)).otherwise(F.col("component"))).drop("fp", "component")
+    own = F.when(F.col("fp").isNull(), F.col(id_col)).otherwise(F.col("component"))
+    return out.withColumn("component_id", own).withColumn("group_id", F.coalesce("label", "row")).drop("fp", "component", "label")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

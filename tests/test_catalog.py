@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from vaultgrid.plans import catalog
+from vaultgrid.plans import catalog, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import documents, guidance, registry
+from ..operators import graph
 from ..sources import python_code
+from ..streaming import traces
 from . import estate
-from .catalog import _files, query, scored
+from .catalog import _files, _trace_lines, query, scored
 from .estate import SCORED_SQL, table
 
 _TARGET = """CASE WHEN regexp_matches(u, 'ML-DSA|ML-KEM|DILITHIUM|KYBER|SLH-DSA|FALCON|LWE') THEN algorithm WHEN u = 'DYNAMIC_UNRESOLVED' THEN 'MANUAL-TRIAGE'
@@ -171,3 +175,31 @@ def import_graph(spark, sf):
     mods = table(spark, sf, "supplier").select(F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), F.lit("import hashlib\nimport pkg.shared\n").alias("content"))
     shared = table(spark, sf, "region").limit(1).select(F.lit("src/shared.py").alias("path"), F.lit("import os\n").alias("content"))
     return python_code.import_edges(python_code.python_facts(mods.unionByName(shared)))
+
+
+# ------------------------------------------------------------- streams
+
+
+def _stream_dirs(spark, sf) -> str:
+    """A log folder of the events' trace lines, in the shared folder."""
+    root = f"{graph._shared(spark)}/trace-{uuid.uuid4().hex}"
+    _trace_lines(spark, sf).select("value").write.text(f"{root}/log")
+    return root
+
+
+@query("SELECT ['encrypt', 'digest', 'ssl'][event_id % 4 + 1] AS event, ['AES-256-GCM', 'OPENSSL-EVP-DIGEST', 'ECDHE-RSA'][event_id % 4 + 1] AS algorithm, count(*) AS n FROM events WHERE event_id % 4 < 3 GROUP BY 1, 2")
+def streamed_traces(spark, sf):
+    root = _stream_dirs(spark, sf)
+    traces.run_once(traces.trace_stream(spark, f"{root}/log"), f"{root}/out", f"{root}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("event", "algorithm").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {estate.ASSETS_SQL} SELECT ['AES-256-GCM', 'OPENSSL-EVP-DIGEST', 'ECDHE-RSA'][event_id % 4 + 1] AS algorithm, CASE event_id % 4 WHEN 0 THEN (SELECT arg_min(asset_id, asset_seq) FROM assets WHERE algorithm LIKE '%AES%' AND primitive_type = 'ENCRYPTION')
+    WHEN 1 THEN (SELECT arg_min(asset_id, asset_seq) FROM assets WHERE regexp_matches(algorithm, 'SHA|MD5') AND primitive_type = 'HASH') ELSE (SELECT arg_min(asset_id, asset_seq) FROM assets WHERE algorithm LIKE '%RSA%' AND primitive_type = 'KEY_EXCHANGE') END AS asset_id, count(*) AS n
+    FROM events WHERE event_id % 4 < 3 GROUP BY ALL"""
+)
+def streamed_promotion(spark, sf):
+    root = _stream_dirs(spark, sf)
+    traces.promoted(traces.trace_stream(spark, f"{root}/log"), estate.assets(spark, sf), f"{root}/out", f"{root}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("algorithm", "asset_id").agg(F.count("*").alias("n"))

@@ -41,8 +41,10 @@ from .common import Scratch, fold_of, table
 HEAD, WORD_BYTES = 1 << 18, 128
 CLASSES, BUCKETS, WIDTH = 2048, 256, 32
 BATCH, NOISE, STEP = 4096, 64, 0.15
+#: Texts scored at a time.
+TEXTS = 256
 #: Words a task counts before it passes them on.
-PENDING = 400_000
+PENDING = 200_000
 #: Floats of the model in one block of the averaging.
 SLICE = 1 << 14
 END = b""
@@ -69,8 +71,8 @@ def _counted(batches):
             words = tokens(text.as_py() or b"")
             words.append(END)
             seen.update(words)
-        if len(seen) > PENDING:
-            yield flush()
+            if len(seen) > PENDING:
+                yield flush()
     yield flush()
 
 
@@ -255,7 +257,7 @@ def _scored(shared):
     def run(batches):
         name, v, flat = shared.value
         t = _prepared(("t", name), lambda: Tables(v, flat))
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             n, base, model, known, rare = [], [], [], [], []
             for text in batch.column(2).cast(pa.binary()):
                 words = tokens(text.as_py() or b"")

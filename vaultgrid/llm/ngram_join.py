@@ -9,10 +9,12 @@ that breaks ties; a pair is verified only if its prefixes meet under all three.
 Steps. (1) Tasks report tokens that are frequent among their documents; the
 summed reports, at most ``HOT`` of them, put frequent tokens last in the orders
 (any order is right; this one keeps shared passages out of the prefixes). (2) A
-merged sketch marks prefix tokens that one document alone has; a document left
-without prefix tokens has no partner. (3) Equal sets become one class. (4) In the group of
-a prefix token the class with the smallest hash is the pivot; all others are
-paired with it, never with each other. Verified links join classes. While the
+merged sketch marks tokens that one document alone has: of the first 2p - 1, p
+the prefix length, a partner has p at least, so a document with fewer marked as
+repeated has none and goes no further. (3) Equal sets become one class. (4) In the group of
+a prefix token the class with the smallest share of marked tokens is the pivot;
+all others are paired with it, not with each other. A pair is left out where its
+sizes, or the tokens that either set cannot share, rule the similarity out. Verified links join classes. While the
 pairs that still cross components shrink well, another pivot follows; then all
 remaining pairs that cross components are verified. A pair inside a component
 needs no test, since components are what is asked, so groups of thousands of
@@ -64,16 +66,27 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
-def prefix(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
-    """The first tokens of a set: by frequency level, then by the order's hash."""
+def ranked(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, order: int, length: int) -> np.ndarray:
+    """The first ``length`` tokens of a set: by frequency level, then by the order's hash."""
     rank = mixed(tokens, 101 + order) >> np.uint64(5)
     if len(hot):
         at = np.searchsorted(hot, tokens).clip(0, len(hot) - 1)
         rank |= np.where(hot[at] == tokens, level[at], 0).astype(np.uint64) << np.uint64(59)
+    if length < len(tokens):
+        few = np.argpartition(rank, length - 1)[:length]
+        tokens, rank = tokens[few], rank[few]
+    return tokens[np.argsort(rank)]
+
+
+def prefix(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
+    return ranked(tokens, hot, level, order, prefix_length(len(tokens), percent))
+
+
+def long_prefix(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The first 2p - 1 tokens of the first order; at least p of them, p the prefix length, are a partner's too."""
     p = prefix_length(len(tokens), percent)
-    if p < len(tokens):
-        return tokens[np.argpartition(rank, p - 1)[:p]]
-    return tokens
+    n = min(len(tokens), 2 * p - 1)
+    return ranked(tokens, hot, level, 0, n), n - p + 1
 
 
 def _frequent(k: int):
@@ -123,7 +136,7 @@ def _touching(k: int, percent: int, width: int, shared):
             for text in batch.column(0).cast(pa.binary()):
                 s = shingles(text.as_py(), k)
                 if len(s):
-                    touched.add(prefix(s, hot, level, 0, percent))
+                    touched.add(long_prefix(s, hot, level, percent)[0])
                     if touched.held > PENDING:
                         yield touched.batch()
         if touched.held:
@@ -137,12 +150,14 @@ def _described(k: int, percent: int, width: int, shared, text_at: int, names: li
         hot, level, bits = shared.value
         longs = pa.list_(pa.int64())
         for batch in batches:
-            n, fp, sets, first, second, third = [], [], [], [], [], []
+            n, common, fp, sets, first, second, third = [], [], [], [], [], [], []
             for text in batch.column(text_at).cast(pa.binary()):
                 s = shingles(text.as_py(), k)
                 n.append(len(s))
-                a = prefix(s, hot, level, 0, percent)
-                a = a[maybe_repeated(a, bits, width)] if len(a) else a
+                a, least = long_prefix(s, hot, level, percent) if len(s) else (s, 0)
+                again = maybe_repeated(a, bits, width)
+                common.append(len(s) - int((~again).sum()))
+                a = a[: prefix_length(len(s), percent)][again[: prefix_length(len(s), percent)]] if again.sum() >= least else a[:0]
                 if len(a):
                     fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     for column, x in zip((sets, first, second, third), (s, a, prefix(s, hot, level, 1, percent), prefix(s, hot, level, 2, percent))):
@@ -152,15 +167,16 @@ def _described(k: int, percent: int, width: int, shared, text_at: int, names: li
                         column.append(None)
             columns = [c for i, c in enumerate(batch.columns) if i != text_at]
             kept = [x for i, x in enumerate(names) if i != text_at]
-            made = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), *(pa.array(x, longs) for x in (sets, first, second, third))]
-            yield pa.RecordBatch.from_arrays([*columns, *made], [*kept, "n_shingles", "fp", "tokens", "prefix0", "prefix1", "prefix2"])
+            made = [pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array(fp, pa.binary()), *(pa.array(x, longs) for x in (sets, first, second, third))]
+            yield pa.RecordBatch.from_arrays([*columns, *made], [*kept, "n_shingles", "common", "fp", "tokens", "prefix0", "prefix1", "prefix2"])
 
     return run
 
 
-def fits(a, b, percent: int = PERCENT):
-    """Sizes that allow the similarity."""
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+def fits(n1, c1, n2, c2, percent: int = PERCENT):
+    """Whether sizes n allow the similarity, with c the tokens of a set that another document can have at all."""
+    most = F.least(n1, n2, c1, c2)
+    return F.lit(100) * most >= F.lit(percent) * (n1 + n2 - most)
 
 
 def connected(links: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -189,9 +205,9 @@ class Join:
 
     def __init__(self, classes: DataFrame, scratch: Scratch, percent: int):
         self.classes, self.scratch, self.percent = classes, scratch, percent
-        each = classes.select("cls", "n", F.explode("prefix0").alias("token"))
+        each = classes.select("cls", "n", "common", F.explode("prefix0").alias("token"))
         shared = each.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-        self.members = scratch.write(each.join(shared, "token").select("token", "cls", "n"), "members")
+        self.members = scratch.write(each.join(shared, "token").select("token", "cls", "n", "common"), "members")
         self.labels = classes.select("cls", F.col("cls").alias("label"))
         self.links: DataFrame | None = None
         self.round = 0
@@ -219,7 +235,7 @@ class Join:
         return self.members.join(self.labels, "cls")
 
     def crossing(self) -> tuple[DataFrame, int, int]:
-        """(token, cls, n, label) of groups with several components; pairs that would cross; members."""
+        """(token, cls, n, common, label) of groups with several components; pairs that would cross; members."""
         m = self.labelled()
         per = m.groupBy("token", "label").agg(F.count("*").cast("double").alias("k"))
         token = per.groupBy("token").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max(F.struct("k", "label"))["label"].alias("largest")).where("size * size > squares")
@@ -228,14 +244,15 @@ class Join:
         return m.join(token.select("token", "largest"), "token"), int(pairs or 0), int(rows or 0)
 
     def run(self) -> DataFrame:
-        turn = F.xxhash64("cls")
+        # a set with few tokens of its own is near the middle of its group and links to most of it
+        turn = F.struct((1 - F.col("common") / F.col("n")).alias("own"), F.xxhash64("cls").alias("hash"))
         star = self.members
         before = None
         for k in range(MAX_PIVOTS):
             # one pivot a group: the first time any member, later one outside the largest component
             at = star if k == 0 else star.where(F.col("label") != F.col("largest"))
-            pivot = at.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), F.col("cls").alias("p"), F.col("n").alias("pn"), (F.col("cls") if k == 0 else F.col("label")).alias("pl"))).alias("x")).select("token", "x.p", "x.pn", "x.pl")
-            pairs = star.join(pivot, "token").where(F.col("cls") != F.col("p")).where(fits(F.col("n"), F.col("pn"), self.percent))
+            pivot = at.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("common").alias("pc"), (F.col("cls") if k == 0 else F.col("label")).alias("pl"))).alias("x")).select("token", "x.p", "x.pn", "x.pc", "x.pl")
+            pairs = star.join(pivot, "token").where(F.col("cls") != F.col("p")).where(fits(F.col("n"), F.col("common"), F.col("pn"), F.col("pc"), self.percent))
             if k:
                 pairs = pairs.where(F.col("label") != F.col("pl"))
             self.link(pairs.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct())
@@ -244,8 +261,8 @@ class Join:
                 break
             before = crossing
         if crossing:
-            other = star.select("token", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-            pairs = star.join(other, "token").where((F.col("cls") < F.col("c2")) & (F.col("label") != F.col("l2"))).where(fits(F.col("n"), F.col("n2"), self.percent))
+            other = star.select("token", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("common").alias("c2c"), F.col("label").alias("l2"))
+            pairs = star.join(other, "token").where((F.col("cls") < F.col("c2")) & (F.col("label") != F.col("l2"))).where(fits(F.col("n"), F.col("common"), F.col("n2"), F.col("c2c"), self.percent))
             self.link(pairs.select(F.col("cls").alias("a"), F.col("c2").alias("b")).distinct())
         return self.labels
 
@@ -257,26 +274,26 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     given = docs.select(F.col(text_col).alias("text"))
     hot, level = frequent_tokens(given, scratch, k)
     chars = given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    width = width_for(chars / 6 * (100 - percent) / 100)
+    width = width_for(chars / 6 * 2 * (100 - percent) / 100)
     shared = spark.sparkContext.broadcast((hot, level))
     bits = repeated_bits(given.mapInArrow(_touching(k, percent, width, shared), "chunk long, places binary, counts binary"), width)
     shared = spark.sparkContext.broadcast((hot, level, bits))
-    clash = [c for c in ("n_shingles", "fp", "tokens", "prefix0", "prefix1", "prefix2", "row", "component_id", "group_id", "label", "component") if c in docs.columns and c not in (id_col, text_col)]
+    clash = [c for c in ("n_shingles", "common", "fp", "tokens", "prefix0", "prefix1", "prefix2", "row", "component_id", "group_id", "label", "component") if c in docs.columns and c not in (id_col, text_col)]
     kept = docs.drop(*clash)
     longs = T.ArrayType(T.LongType())
-    fields = [f for f in kept.schema.fields if f.name != text_col] + [T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.BinaryType()), *(T.StructField(c, longs) for c in ("tokens", "prefix0", "prefix1", "prefix2"))]
+    fields = [f for f in kept.schema.fields if f.name != text_col] + [T.StructField("n_shingles", T.LongType()), T.StructField("common", T.LongType()), T.StructField("fp", T.BinaryType()), *(T.StructField(c, longs) for c in ("tokens", "prefix0", "prefix1", "prefix2"))]
     made = kept.mapInArrow(_described(k, percent, width, shared, kept.columns.index(text_col), kept.columns), T.StructType(fields))
     made = scratch.write(made.withColumn("row", F.monotonically_increasing_id()), "documents")
     active = made.where(F.col("fp").isNotNull())
     rows = active.groupBy("fp").agg(F.min("row").alias("cls"), F.min(id_col).alias("smallest"))
     rows = scratch.write(rows, "classes")
     first = active.join(rows.select(F.col("cls").alias("row")), "row", "left_semi")
-    classes = scratch.write(first.select(F.col("row").alias("cls"), F.col("n_shingles").alias("n"), "tokens", "prefix0", "prefix1", "prefix2"), "sets")
+    classes = scratch.write(first.select(F.col("row").alias("cls"), F.col("n_shingles").alias("n"), "common", "tokens", "prefix0", "prefix1", "prefix2"), "sets")
     labels = Join(classes, scratch, percent).run()
     named = rows.join(labels, "cls")
     smallest = named.groupBy("label").agg(F.min("smallest").alias("component"))
     of_fp = named.join(smallest, "label").select("fp", "component", "label")
-    out = made.drop("tokens", "prefix0", "prefix1", "prefix2").join(of_fp, "fp", "left")
+    out = made.drop("common", "tokens", "prefix0", "prefix1", "prefix2").join(of_fp, "fp", "left")
     own = F.when(F.col("fp").isNull(), F.col(id_col)).otherwise(F.col("component"))
     return out.withColumn("component_id", own).withColumn("group_id", F.coalesce("label", "row")).drop("fp", "component", "label")
 

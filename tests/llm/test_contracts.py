@@ -308,3 +308,21 @@ def test_chains_of_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.components(df).collect())
     assert got == brute_components(rows)
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_large_groups_meet_in_blocks(spark, monkeypatch, block):
+    """Heavily edited copies of one text, few of which link: the blocks find what the pivots leave."""
+    monkeypatch.setattr(ngram_join, "LARGE", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    base = [f"b{j}" for j in range(120)]
+    rows = []
+    for k in range(60):
+        text = list(base)
+        for at in rng.integers(120, size=int(rng.integers(2, 7))):
+            text[at] = f"e{int(rng.integers(6))}"
+        rows.append((k, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.components(df).collect())
+    assert got == brute_components(rows)

@@ -276,7 +276,7 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataF
     cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     cells = cells.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranks = salted.withColumn("own", own).join(cells, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own") - 1).drop("salt", "own", "before")
     ranks = ranks.select(*pieces.columns, "rank")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

@@ -16,7 +16,8 @@ a prefix token the class with the smallest share of marked tokens is the pivot;
 all others are paired with it, not with each other. A pair is left out where its
 sizes, or the tokens that either set cannot share, rule the similarity out. Verified links join classes. While the
 pairs that still cross components shrink well, another pivot follows; then all
-remaining pairs that cross components are verified. A pair inside a component
+remaining pairs that cross components are verified, in large groups block by
+block, of which only links come out. A pair inside a component
 needs no test, since components are what is asked, so groups of thousands of
 near copies cost a few tests for each member.
 
@@ -50,6 +51,10 @@ PENDING = 1 << 21
 #: More pivots while that many pairs a member would cross components, and this share of them goes each time.
 CROSSING, SHRINK = 8, 0.7
 MAX_PIVOTS = 12
+#: Groups above are compared in blocks of about this many sets, and links alone leave a block.
+LARGE, BLOCK = 64, 512
+#: Tokens of a slice of the block products.
+SLICE = 1 << 14
 
 _hashes, _powers = WordHashes(), Powers(0xA0761D6478BD642F | 1)
 
@@ -200,6 +205,44 @@ def connected(links: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -
             return labels
 
 
+def _shared_counts(rows: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted distinct arrays, by products of 0/1 slices."""
+    which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    token, at, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    live = n[at] > 1
+    which, at = which[live], place[at[live]]
+    out = np.zeros((len(rows), len(rows)), np.float32)
+    for first in range(0, int(at.max()) + 1 if len(at) else 0, SLICE):
+        here = (at >= first) & (at < first + SLICE)
+        part = np.zeros((len(rows), SLICE), np.float32)
+        part[which[here], at[here] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def _linked(percent: int):
+    def block(t: pa.Table) -> pa.Table:
+        cls, n = t["cls"].to_numpy(), t["n"].to_numpy().astype(np.float64)
+        label, side = t["label"].to_numpy(), t["side"].to_numpy()
+        lists = lambda c: [np.asarray(x.values) for x in t[c].combine_chunks()]
+        maybe = (label[:, None] != label[None]) & (cls[:, None] < cls[None])
+        maybe &= (side[:, None] != side[None]) if side.any() else True
+        least = percent / (100 + percent) * (n[:, None] + n[None])
+        common = t["common"].to_numpy().astype(np.float64)
+        maybe &= np.minimum(common[:, None], common[None]) >= least - 1e-9
+        for order in ("prefix1", "prefix2"):
+            if maybe.any():
+                maybe &= _shared_counts(lists(order)) > 0
+        a = b = np.zeros(0, np.int64)
+        if maybe.any():
+            both = _shared_counts(lists("tokens")).astype(np.float64)
+            a, b = np.nonzero(maybe & (100 * both >= percent * (n[:, None] + n[None] - both)))
+        return pa.table({"a": pa.array(cls[a], pa.int64()), "b": pa.array(cls[b], pa.int64())})
+
+    return block
+
+
 class Join:
     """Classes (cls, n, tokens, prefixes) and the links found so far."""
 
@@ -241,7 +284,19 @@ class Join:
         token = per.groupBy("token").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max(F.struct("k", "label"))["label"].alias("largest")).where("size * size > squares")
         token = self.scratch.write(token, f"open{self.round}")
         pairs, rows = token.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2), F.sum("size")).first()
-        return m.join(token.select("token", "largest"), "token"), int(pairs or 0), int(rows or 0)
+        return m.join(token.select("token", "largest", "size"), "token"), int(pairs or 0), int(rows or 0)
+
+    def blocks(self, large: DataFrame) -> DataFrame:
+        """Links between components in large groups: groups that share members are one, and its blocks meet two at a time."""
+        edges = large.groupBy("token").agg(F.min("cls").alias("a")).join(large.select("token", F.col("cls").alias("b")), "token").select("a", "b")
+        nodes = large.select("cls").distinct()
+        blob = connected(edges, nodes, self.scratch, "blobs").withColumnRenamed("label", "blob")
+        size = blob.groupBy("blob").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
+        dealt = blob.join(size, "blob").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        i, j = F.least("mine", "other"), F.greatest("mine", "other")
+        dealt = dealt.select("cls", "blob", i.alias("i"), j.alias("j"), (F.col("mine") != i).cast("int").alias("side"))
+        rows = dealt.join(self.labels, "cls").join(self.classes.select("cls", "n", "common", "tokens", "prefix1", "prefix2"), "cls")
+        return self.scratch.write(rows.groupBy("blob", "i", "j").applyInArrow(_linked(self.percent), "a long, b long"), "blocks")
 
     def run(self) -> DataFrame:
         # a set with few tokens of its own is near the middle of its group and links to most of it
@@ -261,8 +316,10 @@ class Join:
                 break
             before = crossing
         if crossing:
-            other = star.select("token", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("common").alias("c2c"), F.col("label").alias("l2"))
-            pairs = star.join(other, "token").where((F.col("cls") < F.col("c2")) & (F.col("label") != F.col("l2"))).where(fits(F.col("n"), F.col("common"), F.col("n2"), F.col("c2c"), self.percent))
+            small = star.where(F.col("size") <= LARGE)
+            other = small.select("token", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("common").alias("c2c"), F.col("label").alias("l2"))
+            pairs = small.join(other, "token").where((F.col("cls") < F.col("c2")) & (F.col("label") != F.col("l2"))).where(fits(F.col("n"), F.col("common"), F.col("n2"), F.col("c2c"), self.percent))
+            self.links = self.links.unionByName(self.blocks(star.where(F.col("size") > LARGE)))
             self.link(pairs.select(F.col("cls").alias("a"), F.col("c2").alias("b")).distinct())
         return self.labels
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents, guidance, registry
 from ..operators import graph
-from ..sources import python_code
+from ..sources import other_code, python_code, texts
 from ..streaming import traces
 from . import estate
 from .catalog import _files, _trace_lines, query, scored
@@ -203,3 +203,30 @@ def streamed_promotion(spark, sf):
     root = _stream_dirs(spark, sf)
     traces.promoted(traces.trace_stream(spark, f"{root}/log"), estate.assets(spark, sf), f"{root}/out", f"{root}/ckpt").awaitTermination()
     return spark.read.parquet(f"{root}/out").groupBy("algorithm", "asset_id").agg(F.count("*").alias("n"))
+
+
+_SOURCES = {
+    "A.java": 'Cipher c = Cipher.getInstance("AES/ECB/PKCS5Padding");\n// Cipher.getInstance("DES")\nMac.getInstance(name);\n', "a.js": "const h = crypto.createHash('md5');\n", "a.go": "h := sha256.New()\nk, _ := rsa.GenerateKey(r, 2048)\n",
+    "a.rs": "let h = Sha256::new();\n", "a.rb": "d = OpenSSL::Digest::SHA1.new\n", "a.txt": "Cipher.getInstance('AES')\n",
+}
+
+
+@query(
+    """SELECT 'p' || s_suppkey || '/' || f AS path, CAST(n AS INTEGER) AS line_no, l AS language, a AS algorithm, r AS resolved FROM supplier, (VALUES ('A.java', 1, 'java', 'AES/ECB/PKCS5PADDING', true), ('A.java', 3, 'java', 'DYNAMIC_UNRESOLVED', false), ('a.js', 1, 'javascript', 'MD5', true),
+    ('a.go', 1, 'go', 'SHA256', true), ('a.go', 2, 'go', 'RSA', true), ('a.rs', 1, 'rust', 'SHA256', true), ('a.rb', 1, 'ruby', 'SHA1', true)) v(f, n, l, a, r)"""
+)
+def other_code_calls(spark, sf):
+    made = None
+    for name, body in _SOURCES.items():
+        one = _files(spark, sf, F.lit(body), name)
+        made = one if made is None else made.unionByName(one)
+    return other_code.calls(made)
+
+
+@query(
+    """SELECT 'p' || s_suppkey || '/build.gradle' AS manifest_path, 'maven' AS ecosystem, p AS package, replace(v, 'K', CAST(s_suppkey AS VARCHAR)) AS version, s AS scope FROM supplier,
+    (VALUES ('org.bouncycastle:bcprov-jdk18on', '1.K', 'PRODUCTION'), ('com.google.crypto.tink:tink', 'managed', 'TEST_FIXTURE')) t(p, v, s)"""
+)
+def gradle_dependencies(spark, sf):
+    body = F.concat(F.lit("dependencies {\n  implementation 'org.bouncycastle:bcprov-jdk18on:1."), F.col("s_suppkey").cast("string"), F.lit("'\n  testImplementation(\"com.google.crypto.tink:tink\")\n  api 'x:y:1'\n}\n"))
+    return texts.with_rules(texts.gradle(_files(spark, sf, body, "build.gradle"))).select("manifest_path", "ecosystem", "package", "version", "scope")

@@ -326,3 +326,20 @@ def test_large_groups_meet_in_blocks(spark, monkeypatch, block):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.components(df).collect())
     assert got == brute_components(rows)
+
+
+def lengthened(sizes):
+    """Pairs (n, m) of shingle counts: a text of its own words, and the same with words before or after it."""
+    rows = []
+    for c, (n, m) in enumerate(sizes):
+        text = [f"l{c}w{j}" for j in range(m + 3)]
+        rows += [(2 * c, " ".join(text[m - n :] if c % 2 else text[: n + 3])), (2 * c + 1, " ".join(text))]
+    return rows
+
+
+def test_lengthened_and_shortened_copies(spark):
+    """Near 85 %, much of what two texts share lies outside the longer one's first tokens."""
+    rows = lengthened([(n, n + more) for n, most in ((100, 17), (300, 52)) for more in range(most - 11, most + 2)] * 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.components(df).collect())
+    assert got == brute_components(rows)

@@ -9,9 +9,11 @@ that breaks ties; a pair is verified only if its prefixes meet under all three.
 Steps. (1) Tasks report tokens that are frequent among their documents; the
 summed reports, at most ``HOT`` of them, put frequent tokens last in the orders
 (any order is right; this one keeps shared passages out of the prefixes). (2) A
-merged sketch marks tokens that one document alone has: of the first 2p - 1, p
+merged sketch tells tokens that one document alone has: of the first 2p - 1, p
 the prefix length, a partner has p at least, so a document with fewer marked as
-repeated has none and goes no further. (3) Equal sets become one class. (4) In the group of
+repeated has none and goes no further. A partner may have such a token later in
+its order, so each document sketches as many tokens as the longest reach of a
+partner's first 2p - 1 (``sketch_length``). (3) Equal sets become one class. (4) In the group of
 a prefix token the class with the smallest share of marked tokens is the pivot;
 all others are paired with it, not with each other. A pair is left out where its
 sizes, or the tokens that either set cannot share, rule the similarity out. Verified links join classes. While the
@@ -33,6 +35,7 @@ columns pass through ``components``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -71,6 +74,19 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
+@functools.lru_cache(1 << 16)
+def sketch_length(n: int, percent: int = PERCENT) -> int:
+    """Of a set of n, the first tokens that hold all it shares with the first 2p - 1 of any set it links to.
+
+    A shared token at place i of a set of m is at place i + n - t of the other at
+    most, t the least intersection of the two sizes.
+    """
+    m = np.arange((percent * n + 99) // 100, 100 * n // percent + 1)
+    first = 2 * (m - (percent * m + 99) // 100 + 1) - 1
+    least = -(-percent * (n + m) // (100 + percent))
+    return min(n, int((first + n - least).max())) if n else 0
+
+
 def ranked(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, order: int, length: int) -> np.ndarray:
     """The first ``length`` tokens of a set: by frequency level, then by the order's hash."""
     rank = mixed(tokens, 101 + order) >> np.uint64(5)
@@ -141,7 +157,7 @@ def _touching(k: int, percent: int, width: int, shared):
             for text in batch.column(0).cast(pa.binary()):
                 s = shingles(text.as_py(), k)
                 if len(s):
-                    touched.add(long_prefix(s, hot, level, percent)[0])
+                    touched.add(ranked(s, hot, level, 0, sketch_length(len(s), percent)))
                     if touched.held > PENDING:
                         yield touched.batch()
         if touched.held:
@@ -331,7 +347,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     given = docs.select(F.col(text_col).alias("text"))
     hot, level = frequent_tokens(given, scratch, k)
     chars = given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    width = width_for(chars / 6 * 2 * (100 - percent) / 100)
+    far = (100 - percent) / 100
+    width = width_for(chars / 6 * far * (3 - 2 * far))
     shared = spark.sparkContext.broadcast((hot, level))
     bits = repeated_bits(given.mapInArrow(_touching(k, percent, width, shared), "chunk long, places binary, counts binary"), width)
     shared = spark.sparkContext.broadcast((hot, level, bits))

@@ -343,3 +343,10 @@ def test_lengthened_and_shortened_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.components(df).collect())
     assert got == brute_components(rows)
+
+
+def test_all_small_sizes_link(spark):
+    rows = lengthened([(n, m) for n in range(1, 41) for m in range(n, n + 8) if 100 * n >= 85 * m])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.components(df).collect())
+    assert got == brute_components(rows)

@@ -5,6 +5,7 @@ import decimal
 import duckdb
 import pytest
 
+from vaultgrid.operators import simulation
 from vaultgrid.plans import catalog, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,11 @@ def test_query(spark, duck, name):
         assert got == sorted(repr(tuple(plain(r[names.index(c)]) for c in columns)) for r in cur.fetchall())
     else:
         assert got
+
+
+def test_simulations_draw_as_often_as_the_reference(spark):
+    drawn = simulation.stochastic(catalog.scored(spark, SF), trials=5000)
+    columns = ["asset_id", "breach", "p50", "p95", "var_year", "risk_category"]
+    rows = lambda df: sorted(map(repr, df.select(*columns).collect()))
+    assert rows(catalog.stochastic_breach(spark, SF)) == rows(drawn)
+    assert catalog.stochastic_estate(spark, SF).first() == simulation.estate(drawn).first()

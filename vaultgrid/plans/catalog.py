@@ -287,12 +287,12 @@ def tail_and_fill(spark, sf):
 
 @query()
 def stochastic_breach(spark, sf):
-    return simulation.stochastic(scored(spark, sf), trials=2000).select("asset_id", "breach", "p50", "p95", "var_year", "risk_category")
+    return simulation.stochastic(scored(spark, sf)).select("asset_id", "breach", "p50", "p95", "var_year", "risk_category")
 
 
 @query()
 def stochastic_estate(spark, sf):
-    return simulation.estate(simulation.stochastic(scored(spark, sf), trials=2000))
+    return simulation.estate(simulation.stochastic(scored(spark, sf)))
 
 
 @query("SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.05) AS p05, quantile_cont(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY 1")

@@ -17,6 +17,8 @@ from vaultgrid.llm.common import Scratch, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document that keeps fewer words than this after its repeated passages go is left out.
 LEAST_WORDS = 1
+#: Near copies share this percentage of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Wordless documents stay. A repeated row is a copy of itself and stays once.
     """
     scratch = Scratch(spark, "copies")
-    grouped = ngram_join.components(docs.select("doc_id", "text", F.xxhash64("text").alias("code")))
+    grouped = ngram_join.components(docs.select("doc_id", "text", F.xxhash64("text").alias("code")), k=NEAR_WORDS, percent=NEAR_PERCENT)
     first = grouped.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "code")).alias("x"))
     first = scratch.write(first.select(F.col("x.doc_id").alias("id"), F.col("x.code").alias("code")), "kept")
     kept = docs.select(*COLUMNS).join(first, docs["doc_id"].eqNullSafe(first["id"]) & (F.xxhash64(docs["text"]) == first["code"]), "left_semi")

@@ -26,3 +26,11 @@ def test_stages(spark):
 
 def test_run(spark):
     assert p.run(spark, SF).count() > 0
+
+
+def test_near_copies_at_five_words_and_eighty_percent(spark):
+    """A text with words appended goes at 82 of 100 shingles of five words, and stays at 79."""
+    text = lambda c, n: " ".join(f"c{c}w{j}" for j in range(n + 4))
+    rows = [(1, text(0, 82)), (2, text(0, 100)), (3, text(1, 79)), (4, text(1, 100))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in p.near_copies(spark, docs, SF).collect()) == [1, 3, 4]

@@ -310,11 +310,11 @@ def test_chains_of_near_copies(spark):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("block", [8, 512])
-def test_large_groups_meet_in_blocks(spark, monkeypatch, block):
-    """Heavily edited copies of one text, few of which link: the blocks find what the pivots leave."""
-    monkeypatch.setattr(ngram_join, "LARGE", 4)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize("pivots, crossing", [(1, 2), (12, 0), (3, 2)])
+def test_pivots_and_what_they_leave(spark, monkeypatch, pivots, crossing):
+    """Heavily edited copies of one text, few of which link: differences to a pivot, further pivots and the remaining pairs agree."""
+    monkeypatch.setattr(ngram_join, "MAX_PIVOTS", pivots)
+    monkeypatch.setattr(ngram_join, "CROSSING", crossing)
     rng = np.random.default_rng(11)
     base = [f"b{j}" for j in range(120)]
     rows = []

@@ -6,9 +6,11 @@ Scratch tables are Parquet under the folder that the cluster names in
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests)."""
+    """The cluster's shared folder; one of our own only on a local master where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vaultgrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -51,6 +55,40 @@ class Scratch:
         self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
 
 
+#: Rows of an Arrow batch: texts of a few kilobytes, and some that are far longer.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows, so that a worker and its JVM hold a few megabytes of text at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def lean(run, *caches):
+    """``run`` over a task's batches; at the task's end caches are emptied and free memory goes back to the system.
+
+    Python workers outlive their tasks, and what one stage leaves in them would add to the next one's.
+    """
+
+    def out(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            for c in caches:
+                c.clear()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return out
+
+
+def known_in(df: DataFrame, keys: DataFrame, on: str, rows: int, bound: int = 1 << 20) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in ``keys`` (unique): a broadcast only if the counted rows are within ``bound``, else a shuffled join."""
+    return df.join(F.broadcast(keys) if rows <= bound else keys, on)
+
+
 def fold_of(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -1,65 +1,63 @@
 """Exact n-gram Jaccard join with prefix filters under several global orders.
 
-A document's set holds the 64-bit hashes of its 4-word shingles. Two sets with
-100 * intersection >= 85 * union must share a token among the first
-``n - ceil(0.85 n) + 1`` of each under any order of all tokens. Here three
-orders share their first criterion, rare before frequent, and differ in the hash
-that breaks ties; a pair is verified only if its prefixes meet under all three.
+A document's set holds the 64-bit hashes of its 4-word shingles; documents with
+equal sets are one class, named by a 63-bit hash of the set. Two sets with
+100 * intersection >= 85 * union share a token among the first
+``n - ceil(0.85 n) + 1`` of each under any order of all tokens. Three orders are
+used; they share their first criterion, rare before frequent, and differ in the
+hash that breaks ties. A pair links only if its prefixes meet under all three.
 
 Steps. (1) Tasks report tokens that are frequent among their documents; the
 summed reports, at most ``HOT`` of them, put frequent tokens last in the orders
-(any order is right; this one keeps shared passages out of the prefixes). (2) A
-merged sketch tells tokens that one document alone has: of the first 2p - 1, p
-the prefix length, a partner has p at least, so a document with fewer marked as
-repeated has none and goes no further. A partner may have such a token later in
-its order, so each document sketches as many tokens as the longest reach of a
-partner's first 2p - 1 (``sketch_length``). (3) Equal sets become one class. (4) In the group of
-a prefix token the class with the smallest share of marked tokens is the pivot;
-all others are paired with it, not with each other. A pair is left out where its
-sizes, or the tokens that either set cannot share, rule the similarity out. Verified links join classes. While the
-pairs that still cross components shrink well, another pivot follows; then all
-remaining pairs that cross components are verified, in large groups block by
-block, of which only links come out. A pair inside a component
-needs no test, since components are what is asked, so groups of thousands of
-near copies cost a few tests for each member.
-
-No candidates are capped or dropped. Links between different texts of one
-component may go unlisted, but none that would join two components.
+(any order is right; this one keeps shared passages out of the prefixes).
+(2) Each class tells its prefix under the first order. Tokens that only one
+class tells are dropped; what is left, (token, class) rows, are the groups in
+which pairs can meet. Only classes in a group have their sets built.
+(3) In each group the class with the fewest tokens of its own is the pivot, and
+all others are measured against it, not against each other. The measure is the
+gap, the size of the symmetric difference, which is a metric. A class within
+``near`` of the pivot is done with the group once it has met all classes that
+the triangle inequality leaves as its partners; those meet it through their
+differences to the pivot, a few tokens each, from which the gap of any two is
+exact. Two classes that link to the pivot are in one component and need no
+test. The others of the group go on to a next pivot. (4) When pivots no longer
+shrink what is left, the remaining pairs of each group are verified.
+
+No candidates are capped or dropped. Links inside one component may go
+unlisted, but none that would join two.
 
 Defined cases: a null or wordless text has an empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is one. A null id is
 carried; the component of a document is the smallest id in it, null if none.
 Repeated rows are in one class. An empty table gives an empty result; other
-columns pass through ``components``.
+columns pass through ``components``, but for input columns named like its
+results (n_shingles, component_id, group_id) or with two leading underscores,
+which are dropped.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
-from .sketch import Powers, Touched, WordHashes, maybe_repeated, mixed, repeated_bits, width_for
+from .common import Scratch, known_in, lean, small_batches, table
+from .sketch import HASHES, Powers, mixed
 
 SHINGLE, PERCENT = 4, 85
 #: Tokens that the orders know as frequent, at most; counts in a task, and over all, from which one may be.
 HOT, LOCAL_HOT, TOTAL_HOT = 1 << 17, 6, 32
-PENDING = 1 << 21
-#: More pivots while that many pairs a member would cross components, and this share of them goes each time.
-CROSSING, SHRINK = 8, 0.7
+#: Tokens that a task combines at a time.
+PENDING = 1 << 22
+#: Pivots go on while the pairs left are so many times the rows left, and fall by this share each time.
+CROSSING, SHRINK = 2, 0.7
 MAX_PIVOTS = 12
-#: Groups above are compared in blocks of about this many sets, and links alone leave a block.
-LARGE, BLOCK = 64, 512
-#: Tokens of a slice of the block products.
-SLICE = 1 << 14
 
-_hashes, _powers = WordHashes(), Powers(0xA0761D6478BD642F | 1)
+_powers = Powers(0xA0761D6478BD642F | 1)
 
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -67,47 +65,25 @@ def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(_powers.windows(_hashes.of(words), min(k, len(words))) ^ np.uint64(min(k, len(words))))
+    return np.unique(_powers.windows(HASHES.of(words), min(k, len(words))) ^ np.uint64(min(k, len(words))))
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - (percent * n + 99) // 100 + 1 if n else 0
+def class_of(tokens: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
-@functools.lru_cache(1 << 16)
-def sketch_length(n: int, percent: int = PERCENT) -> int:
-    """Of a set of n, the first tokens that hold all it shares with the first 2p - 1 of any set it links to.
-
-    A shared token at place i of a set of m is at place i + n - t of the other at
-    most, t the least intersection of the two sizes.
-    """
-    m = np.arange((percent * n + 99) // 100, 100 * n // percent + 1)
-    first = 2 * (m - (percent * m + 99) // 100 + 1) - 1
-    least = -(-percent * (n + m) // (100 + percent))
-    return min(n, int((first + n - least).max())) if n else 0
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
-def ranked(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, order: int, length: int) -> np.ndarray:
-    """The first ``length`` tokens of a set: by frequency level, then by the order's hash."""
+def prefix(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
+    """The first tokens of a set, unsorted: by frequency level, then by the order's hash."""
     rank = mixed(tokens, 101 + order) >> np.uint64(5)
     if len(hot):
         at = np.searchsorted(hot, tokens).clip(0, len(hot) - 1)
         rank |= np.where(hot[at] == tokens, level[at], 0).astype(np.uint64) << np.uint64(59)
-    if length < len(tokens):
-        few = np.argpartition(rank, length - 1)[:length]
-        tokens, rank = tokens[few], rank[few]
-    return tokens[np.argsort(rank)]
-
-
-def prefix(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
-    return ranked(tokens, hot, level, order, prefix_length(len(tokens), percent))
-
-
-def long_prefix(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The first 2p - 1 tokens of the first order; at least p of them, p the prefix length, are a partner's too."""
-    p = prefix_length(len(tokens), percent)
-    n = min(len(tokens), 2 * p - 1)
-    return ranked(tokens, hot, level, 0, n), n - p + 1
+    length = prefix_length(len(tokens), percent)
+    return tokens[np.argpartition(rank, length - 1)[:length]] if length < len(tokens) else tokens
 
 
 def _frequent(k: int):
@@ -115,22 +91,24 @@ def _frequent(k: int):
         parts, held = [], 0
 
         def flush():
-            token, n = np.unique(np.concatenate(parts), return_counts=True)
+            token = np.sort(np.concatenate(parts))
             parts.clear()
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            n = np.diff(np.append(first, len(token)))
             often = n >= LOCAL_HOT
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(token[first[often]].view(np.int64)), pa.array(n[often])], ["token", "n"])
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
                 parts.append(shingles(text.as_py(), k))
                 held += len(parts[-1])
-                if held > 4 * PENDING:
+                if held > PENDING:
                     yield flush()
                     held = 0
         if held:
             yield flush()
 
-    return run
+    return lean(run, HASHES)
 
 
 def frequent_tokens(given: DataFrame, scratch: Scratch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,63 +127,57 @@ def frequent_tokens(given: DataFrame, scratch: Scratch, k: int) -> tuple[np.ndar
     return token[order], np.clip(bins[order] - 8, 1, 31)
 
 
-def _touching(k: int, percent: int, width: int, shared):
+#: Classes whose prefix a task knows it has sent.
+SENT = 1 << 18
+
+
+def _described(k: int, percent: int, shared, text_at: int, names: list[str]):
+    """A row for each document: its columns but the text, and size, class and prefix of its set; equal sets of a task tell the prefix once."""
+
     def run(batches):
         hot, level = shared.value
-        touched = Touched(width)
+        sent: set[int] = set()
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
+            n, cls, first = [], [], []
+            for text in batch.column(text_at).cast(pa.binary()):
                 s = shingles(text.as_py(), k)
-                if len(s):
-                    touched.add(ranked(s, hot, level, 0, sketch_length(len(s), percent)))
-                    if touched.held > PENDING:
-                        yield touched.batch()
-        if touched.held:
-            yield touched.batch()
-
-    return run
-
-
-def _described(k: int, percent: int, width: int, shared, text_at: int, names: list[str]):
+                n.append(len(s))
+                cls.append(class_of(s) if len(s) else None)
+                if not len(s) or cls[-1] in sent:
+                    first.append(None)
+                    continue
+                if len(sent) >= SENT:
+                    sent.clear()
+                sent.add(cls[-1])
+                first.append(prefix(s, hot, level, 0, percent).view(np.int64))
+            kept = [(c, x) for i, (c, x) in enumerate(zip(names, batch.columns)) if i != text_at]
+            made = [pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(x for _, x in kept), *made], [*(c for c, _ in kept), "n_shingles", "__cls", "__prefix"])
+
+    return lean(run, HASHES)
+
+
+def _sets(k: int, percent: int, shared):
     def run(batches):
-        hot, level, bits = shared.value
+        hot, level = shared.value
         longs = pa.list_(pa.int64())
         for batch in batches:
-            n, common, fp, sets, first, second, third = [], [], [], [], [], [], []
-            for text in batch.column(text_at).cast(pa.binary()):
+            n, cls, columns = [], [], ([], [], [])
+            for text in batch.column(0).cast(pa.binary()):
                 s = shingles(text.as_py(), k)
                 n.append(len(s))
-                a, least = long_prefix(s, hot, level, percent) if len(s) else (s, 0)
-                again = maybe_repeated(a, bits, width)
-                common.append(len(s) - int((~again).sum()))
-                a = a[: prefix_length(len(s), percent)][again[: prefix_length(len(s), percent)]] if again.sum() >= least else a[:0]
-                if len(a):
-                    fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    for column, x in zip((sets, first, second, third), (s, a, prefix(s, hot, level, 1, percent), prefix(s, hot, level, 2, percent))):
-                        column.append(x.view(np.int64))
-                else:
-                    for column in (fp, sets, first, second, third):
-                        column.append(None)
-            columns = [c for i, c in enumerate(batch.columns) if i != text_at]
-            kept = [x for i, x in enumerate(names) if i != text_at]
-            made = [pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array(fp, pa.binary()), *(pa.array(x, longs) for x in (sets, first, second, third))]
-            yield pa.RecordBatch.from_arrays([*columns, *made], [*kept, "n_shingles", "common", "fp", "tokens", "prefix0", "prefix1", "prefix2"])
-
-    return run
-
-
-def fits(n1, c1, n2, c2, percent: int = PERCENT):
-    """Whether sizes n allow the similarity, with c the tokens of a set that another document can have at all."""
-    most = F.least(n1, n2, c1, c2)
-    return F.lit(100) * most >= F.lit(percent) * (n1 + n2 - most)
-
-
-def connected(links: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(cls, label): the smallest node of each component, by hooking and jumping on tables."""
-    labels = nodes.select("cls", F.col("cls").alias("label"))
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    both = scratch.write(both, f"{name}-edges")
-    labels = scratch.write(labels, f"{name}-0")
+                cls.append(class_of(s))
+                for column, x in zip(columns, (s, prefix(s, hot, level, 1, percent), prefix(s, hot, level, 2, percent))):
+                    column.append(x.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, longs) for c in columns)], ["cls", "n", "tokens", "prefix1", "prefix2"])
+
+    return lean(run, HASHES)
+
+
+def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(cls, label) of all that have a link (a, b): the smallest node of each component, by hooking and jumping on tables."""
+    both = scratch.write(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
+    labels = scratch.write(both.groupBy(F.col("a").alias("cls")).agg(F.least("cls", F.min("b")).alias("label")), f"{name}-0")
     step = 0
     while True:
         step += 1
@@ -221,155 +193,139 @@ def connected(links: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -
             return labels
 
 
-def _shared_counts(rows: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of sorted distinct arrays, by products of 0/1 slices."""
-    which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    token, at, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    place = np.cumsum(n > 1) - 1
-    live = n[at] > 1
-    which, at = which[live], place[at[live]]
-    out = np.zeros((len(rows), len(rows)), np.float32)
-    for first in range(0, int(at.max()) + 1 if len(at) else 0, SLICE):
-        here = (at >= first) & (at < first + SLICE)
-        part = np.zeros((len(rows), SLICE), np.float32)
-        part[which[here], at[here] - first] = 1
-        out += part @ part.T
-    return out
-
-
-def _linked(percent: int):
-    def block(t: pa.Table) -> pa.Table:
-        cls, n = t["cls"].to_numpy(), t["n"].to_numpy().astype(np.float64)
-        label, side = t["label"].to_numpy(), t["side"].to_numpy()
-        lists = lambda c: [np.asarray(x.values) for x in t[c].combine_chunks()]
-        maybe = (label[:, None] != label[None]) & (cls[:, None] < cls[None])
-        maybe &= (side[:, None] != side[None]) if side.any() else True
-        least = percent / (100 + percent) * (n[:, None] + n[None])
-        common = t["common"].to_numpy().astype(np.float64)
-        maybe &= np.minimum(common[:, None], common[None]) >= least - 1e-9
-        for order in ("prefix1", "prefix2"):
-            if maybe.any():
-                maybe &= _shared_counts(lists(order)) > 0
-        a = b = np.zeros(0, np.int64)
-        if maybe.any():
-            both = _shared_counts(lists("tokens")).astype(np.float64)
-            a, b = np.nonzero(maybe & (100 * both >= percent * (n[:, None] + n[None] - both)))
-        return pa.table({"a": pa.array(cls[a], pa.int64()), "b": pa.array(cls[b], pa.int64())})
-
-    return block
-
-
-class Join:
-    """Classes (cls, n, tokens, prefixes) and the links found so far."""
-
-    def __init__(self, classes: DataFrame, scratch: Scratch, percent: int):
-        self.classes, self.scratch, self.percent = classes, scratch, percent
-        each = classes.select("cls", "n", "common", F.explode("prefix0").alias("token"))
-        shared = each.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-        self.members = scratch.write(each.join(shared, "token").select("token", "cls", "n", "common"), "members")
-        self.labels = classes.select("cls", F.col("cls").alias("label"))
-        self.links: DataFrame | None = None
-        self.round = 0
+class Stars:
+    """Links between the classes of groups (token, cls, n, own), found through pivots."""
+
+    def __init__(self, members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int):
+        self.rest, self.sets, self.scratch, self.percent = members, sets, scratch, percent
+        self.links: list[DataFrame] = []
+
+    def fits(self, n1: Column, n2: Column) -> Column:
+        return F.lit(100) * F.least(n1, n2) >= F.lit(self.percent) * F.greatest(n1, n2)
+
+    def close(self, gap: Column, total: Column) -> Column:
+        """Whether sets of ``total`` tokens together that differ in ``gap`` link; for a lower bound of the gap, whether they can."""
+        return F.lit(100 - self.percent) * total >= F.lit(100 + self.percent) * gap
+
+    def reach(self, n: Column, np: Column) -> Column:
+        """The largest gap to a pivot that a partner of a class near it can have; n is the partner's size."""
+        largest = n * (100 / self.percent)
+        return (largest + np) / 3 + (n + largest) * ((100 - self.percent) / (100 + self.percent)) + 1e-6
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, p) with sizes, gap, ``linked``, ``near`` (of at least half of the union in common) and, within reach, the difference."""
+        sets = self.sets
+        left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"), F.col("prefix1").alias("a1"), F.col("prefix2").alias("a2")), "a")
+        both = left.join(sets.select(F.col("cls").alias("p"), F.col("tokens").alias("tp"), F.col("prefix1").alias("p1"), F.col("prefix2").alias("p2")), "p")
+        candidate = F.arrays_overlap("a1", "p1") & F.arrays_overlap("a2", "p2")
+        both = both.withColumn("gap", F.col("n") + F.col("pn") - 2 * F.size(F.array_intersect("ta", "tp")))
+        total = F.col("n") + F.col("pn")
+        linked = candidate & self.close(F.col("gap"), total)
+        difference = F.when(F.col("gap") <= self.reach(F.col("n"), F.col("pn")), F.concat(F.array_except("ta", "tp"), F.array_except("tp", "ta")))
+        return both.select("a", "p", "n", "gap", linked.alias("linked"), (3 * F.col("gap") <= total).alias("near"), difference.alias("apart"))
+
+    def among(self, star: DataFrame) -> DataFrame:
+        """Links of two classes that meet in a star, one of them near its pivot and not both linked to it."""
+        star = star.where(F.col("apart").isNotNull())
+        open_ = star.groupBy("p").agg((~F.bool_and("linked") & (F.count("*") > 1)).alias("open")).where("open").select("p")
+        star = star.join(open_, "p").join(self.sets.select(F.col("cls").alias("a"), "prefix1", "prefix2"), "a")
+        other = star.select("p", *(F.col(c).alias(f"{c}_2") for c in ("a", "n", "gap", "linked", "near", "apart", "prefix1", "prefix2")))
+        total = F.col("n") + F.col("n_2")
+        meet = (
+            F.col("near") & ~(F.col("linked") & F.col("linked_2"))
+            & F.when(F.col("near_2"), F.col("a") < F.col("a_2")).otherwise(F.col("a") != F.col("a_2"))
+            & self.close(F.abs(F.col("gap") - F.col("gap_2")), total)
+            & F.arrays_overlap("prefix1", "prefix1_2") & F.arrays_overlap("prefix2", "prefix2_2")
+            & self.close(F.col("gap") + F.col("gap_2") - 2 * F.size(F.array_intersect("apart", "apart_2")), total)
+        )
+        return star.alias("x").join(other.alias("y"), (F.col("x.p") == F.col("y.p")) & meet).select("a", F.col("a_2").alias("b"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link: prefixes meet under the other orders, then sets are compared."""
-        # pivots by the thousand share a side: the pair rows are small, the other side unique
-        short = self.classes.select("cls", "prefix1", "prefix2")
+        short = self.sets.select("cls", "prefix1", "prefix2")
         left = pairs.join(short.select(F.col("cls").alias("a"), F.col("prefix1").alias("a1"), F.col("prefix2").alias("a2")), "a")
         met = left.join(short.select(F.col("cls").alias("b"), F.col("prefix1").alias("b1"), F.col("prefix2").alias("b2")), "b")
         met = met.where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b")
-        sets = self.classes.select("cls", "n", "tokens")
+        sets = self.sets.select("cls", "n", "tokens")
         full = met.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
         full = full.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
-        both = F.size(F.array_intersect("ta", "tb"))
-        return full.withColumn("i", both).where(F.lit(100) * F.col("i") >= F.lit(self.percent) * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
-
-    def link(self, pairs: DataFrame) -> None:
-        self.round += 1
-        new = self.scratch.write(self.verified(pairs), f"links{self.round}")
-        self.links = new if self.links is None else self.links.unionByName(new)
-        self.labels = connected(self.links, self.classes, self.scratch, f"cc{self.round}")
-
-    def labelled(self) -> DataFrame:
-        return self.members.join(self.labels, "cls")
-
-    def crossing(self) -> tuple[DataFrame, int, int]:
-        """(token, cls, n, common, label) of groups with several components; pairs that would cross; members."""
-        m = self.labelled()
-        per = m.groupBy("token", "label").agg(F.count("*").cast("double").alias("k"))
-        token = per.groupBy("token").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max(F.struct("k", "label"))["label"].alias("largest")).where("size * size > squares")
-        token = self.scratch.write(token, f"open{self.round}")
-        pairs, rows = token.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2), F.sum("size")).first()
-        return m.join(token.select("token", "largest", "size"), "token"), int(pairs or 0), int(rows or 0)
-
-    def blocks(self, large: DataFrame) -> DataFrame:
-        """Links between components in large groups: groups that share members are one, and its blocks meet two at a time."""
-        edges = large.groupBy("token").agg(F.min("cls").alias("a")).join(large.select("token", F.col("cls").alias("b")), "token").select("a", "b")
-        nodes = large.select("cls").distinct()
-        blob = connected(edges, nodes, self.scratch, "blobs").withColumnRenamed("label", "blob")
-        size = blob.groupBy("blob").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
-        dealt = blob.join(size, "blob").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        i, j = F.least("mine", "other"), F.greatest("mine", "other")
-        dealt = dealt.select("cls", "blob", i.alias("i"), j.alias("j"), (F.col("mine") != i).cast("int").alias("side"))
-        rows = dealt.join(self.labels, "cls").join(self.classes.select("cls", "n", "common", "tokens", "prefix1", "prefix2"), "cls")
-        return self.scratch.write(rows.groupBy("blob", "i", "j").applyInArrow(_linked(self.percent), "a long, b long"), "blocks")
+        total = F.col("na") + F.col("nb")
+        return full.where(self.close(total - 2 * F.size(F.array_intersect("ta", "tb")), total)).select("a", "b")
+
+    def round(self, k: int) -> None:
+        """One pivot a group; classes near it leave the group."""
+        first = F.min(F.struct("own", F.xxhash64("cls").alias("hash"), F.col("cls").alias("p"), F.col("n").alias("pn")))
+        pivots = self.rest.groupBy("token").agg(first.alias("x"), F.count("*").alias("size")).where("size > 1").select("token", "x.p", "x.pn")
+        pivots = self.scratch.write(pivots, f"pivots{k}")
+        met = self.rest.join(pivots, "token").where(F.col("cls") != F.col("p"))
+        pairs = met.where(F.abs(F.col("n") - F.col("pn")) <= self.reach(F.col("n"), F.col("pn"))).select(F.col("cls").alias("a"), "p", "n", "pn").distinct()
+        star = self.scratch.write(self.measured(pairs), f"star{k}")
+        self.links.append(star.where("linked").select("a", F.col("p").alias("b")))
+        self.links.append(self.scratch.write(self.among(star), f"among{k}"))
+        done = star.where("near").select(F.col("a").alias("cls"), "p")
+        left = met.join(done, ["cls", "p"], "left_anti").select("token", "cls", "n", "own")
+        sizes = left.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+        self.rest = self.scratch.write(left.join(sizes, "token"), f"rest{k}")
 
     def run(self) -> DataFrame:
-        # a set with few tokens of its own is near the middle of its group and links to most of it
-        turn = F.struct((1 - F.col("common") / F.col("n")).alias("own"), F.xxhash64("cls").alias("hash"))
-        star = self.members
+        """All links (a, b), but for some inside a component."""
         before = None
         for k in range(MAX_PIVOTS):
-            # one pivot a group: the first time any member, later one outside the largest component
-            at = star if k == 0 else star.where(F.col("label") != F.col("largest"))
-            pivot = at.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("common").alias("pc"), (F.col("cls") if k == 0 else F.col("label")).alias("pl"))).alias("x")).select("token", "x.p", "x.pn", "x.pc", "x.pl")
-            pairs = star.join(pivot, "token").where(F.col("cls") != F.col("p")).where(fits(F.col("n"), F.col("common"), F.col("pn"), F.col("pc"), self.percent))
-            if k:
-                pairs = pairs.where(F.col("label") != F.col("pl"))
-            self.link(pairs.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct())
-            star, crossing, rows = self.crossing()
-            if crossing <= CROSSING * rows or before is not None and crossing > SHRINK * before:
+            self.round(k)
+            each = self.rest.agg(F.count("*"), F.sum((F.col("size") - 1) / 2)).first()
+            rows, pairs = each[0], each[1] or 0
+            self.rest = self.rest.drop("size")
+            if not rows or k and (pairs <= CROSSING * rows or pairs > SHRINK * before):
                 break
-            before = crossing
-        if crossing:
-            small = star.where(F.col("size") <= LARGE)
-            other = small.select("token", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("common").alias("c2c"), F.col("label").alias("l2"))
-            pairs = small.join(other, "token").where((F.col("cls") < F.col("c2")) & (F.col("label") != F.col("l2"))).where(fits(F.col("n"), F.col("common"), F.col("n2"), F.col("c2c"), self.percent))
-            self.links = self.links.unionByName(self.blocks(star.where(F.col("size") > LARGE)))
-            self.link(pairs.select(F.col("cls").alias("a"), F.col("c2").alias("b")).distinct())
-        return self.labels
+            before = pairs
+        if rows:
+            other = self.rest.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"))
+            met = self.rest.join(other, "token").where((F.col("cls") < F.col("b")) & self.fits(F.col("n"), F.col("nb")))
+            self.links.append(self.scratch.write(self.verified(met.select(F.col("cls").alias("a"), "b").distinct()), "last"))
+        out = self.links[0]
+        for x in self.links[1:]:
+            out = out.unionByName(x)
+        return out
+
+
+def groups_of(made: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(token, cls, n, own): the classes whose prefixes share a token; own is the share of a prefix that nobody shares."""
+    each = made.where(F.col("__prefix").isNotNull()).select(F.col("__cls").alias("cls"), F.col("n_shingles").alias("n"), F.explode("__prefix").alias("token"))
+    shared = each.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where(F.col("low") < F.col("high")).select("token")
+    shared = scratch.write(shared, "shared")
+    members = scratch.write(known_in(each, shared, "token", shared.count()).distinct(), "members")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    own = members.groupBy("cls", "n").agg(F.count("*").alias("hits")).select("cls", (1 - F.col("hits") / length).alias("own"))
+    return scratch.write(members.join(own, "cls"), "groups")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the text, with n_shingles, row (unique), component_id and group_id (unique to a component)."""
+    """``docs`` without the text, with n_shingles, component_id and group_id (unique to a component; of its own for a wordless row)."""
+    if percent < 50:
+        raise ValueError("percent must be at least 50")
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "ngrams")
     given = docs.select(F.col(text_col).alias("text"))
-    hot, level = frequent_tokens(given, scratch, k)
-    chars = given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    far = (100 - percent) / 100
-    width = width_for(chars / 6 * far * (3 - 2 * far))
-    shared = spark.sparkContext.broadcast((hot, level))
-    bits = repeated_bits(given.mapInArrow(_touching(k, percent, width, shared), "chunk long, places binary, counts binary"), width)
-    shared = spark.sparkContext.broadcast((hot, level, bits))
-    clash = [c for c in ("n_shingles", "common", "fp", "tokens", "prefix0", "prefix1", "prefix2", "row", "component_id", "group_id", "label", "component") if c in docs.columns and c not in (id_col, text_col)]
-    kept = docs.drop(*clash)
-    longs = T.ArrayType(T.LongType())
-    fields = [f for f in kept.schema.fields if f.name != text_col] + [T.StructField("n_shingles", T.LongType()), T.StructField("common", T.LongType()), T.StructField("fp", T.BinaryType()), *(T.StructField(c, longs) for c in ("tokens", "prefix0", "prefix1", "prefix2"))]
-    made = kept.mapInArrow(_described(k, percent, width, shared, kept.columns.index(text_col), kept.columns), T.StructType(fields))
-    made = scratch.write(made.withColumn("row", F.monotonically_increasing_id()), "documents")
-    active = made.where(F.col("fp").isNotNull())
-    rows = active.groupBy("fp").agg(F.min("row").alias("cls"), F.min(id_col).alias("smallest"))
-    rows = scratch.write(rows, "classes")
-    first = active.join(rows.select(F.col("cls").alias("row")), "row", "left_semi")
-    classes = scratch.write(first.select(F.col("row").alias("cls"), F.col("n_shingles").alias("n"), "common", "tokens", "prefix0", "prefix1", "prefix2"), "sets")
-    labels = Join(classes, scratch, percent).run()
-    named = rows.join(labels, "cls")
-    smallest = named.groupBy("label").agg(F.min("smallest").alias("component"))
-    of_fp = named.join(smallest, "label").select("fp", "component", "label")
-    out = made.drop("common", "tokens", "prefix0", "prefix1", "prefix2").join(of_fp, "fp", "left")
-    own = F.when(F.col("fp").isNull(), F.col(id_col)).otherwise(F.col("component"))
-    return out.withColumn("component_id", own).withColumn("group_id", F.coalesce("label", "row")).drop("fp", "component", "label")
+    shared = spark.sparkContext.broadcast(frequent_tokens(given, scratch, k))
+    clash = [c for c in docs.columns if (c in ("n_shingles", "component_id", "group_id") or c.startswith("__")) and c not in (id_col, text_col)]
+    kept = docs.drop(*clash).withColumn("__code", F.xxhash64(text_col))
+    fields = [f for f in kept.schema.fields if f.name != text_col] + [T.StructField("n_shingles", T.LongType()), T.StructField("__cls", T.LongType()), T.StructField("__prefix", T.ArrayType(T.LongType()))]
+    made = scratch.write(kept.mapInArrow(_described(k, percent, shared, kept.columns.index(text_col), kept.columns), T.StructType(fields)), "documents")
+    classes = made.where(F.col("__cls").isNotNull()).groupBy(F.col("__cls").alias("cls")).agg(F.min(id_col).alias("smallest"), F.min("__code").alias("code"))
+    classes = scratch.write(classes, "classes")
+    groups = groups_of(made, scratch, percent)
+    active = scratch.write(classes.join(groups.select("cls").distinct(), "cls").select(F.col("code").alias("__code")), "active")
+    texts = known_in(kept.select("__code", F.col(text_col).alias("text")), active, "__code", active.count()).dropDuplicates(["__code"])
+    longs = "cls long, n long, tokens array<long>, prefix1 array<long>, prefix2 array<long>"
+    sets = scratch.write(texts.select("text").mapInArrow(_sets(k, percent, shared), longs), "sets")
+    labels = connected(Stars(groups, sets, scratch, percent).run(), scratch, "components")
+    named = scratch.write(classes.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "smallest"), "named")
+    joint = named.groupBy("label").agg(F.min("smallest").alias("component"))
+    named = named.join(joint, "label").select(F.col("cls").alias("__cls"), F.col("label").alias("__label"), "component")
+    out = made.drop("__prefix", "__code").withColumn("__row", F.monotonically_increasing_id()).join(named.withColumnRenamed("component", "__component"), "__cls", "left")
+    own = F.when(F.col("__cls").isNull(), F.col(id_col)).otherwise(F.col("__component"))
+    return out.withColumn("component_id", own).withColumn("group_id", F.coalesce("__label", -1 - F.col("__row"))).drop("__cls", "__row", "__label", "__component")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

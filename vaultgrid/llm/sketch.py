@@ -22,7 +22,7 @@ CHUNK = 1 << 16
 #: 2 rows of 2**27 bits: 32 MB.
 MIN_WIDTH, MAX_WIDTH = 1 << 18, 1 << 27
 #: Words whose hashes a worker keeps at most.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 
@@ -38,6 +38,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: The one table of a worker; tasks empty it when they end.
+HASHES = WordHashes()
+
+
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     x = x ^ np.uint64(seed * 0xD6E8FEB86659FD93 & MASK)

@@ -10,9 +10,11 @@ hash that breaks ties. A pair links only if its prefixes meet under all three.
 Steps. (1) Tasks report tokens that are frequent among their documents; the
 summed reports, at most ``HOT`` of them, put frequent tokens last in the orders
 (any order is right; this one keeps shared passages out of the prefixes).
-(2) Each class tells its prefix under the first order. Tokens that only one
-class tells are dropped; what is left, (token, class) rows, are the groups in
-which pairs can meet. Only classes in a group have their sets built.
+(2) Each class tells its prefix under the first order, longer by half, of which
+two sets that link share as many tokens as the half has. Tokens that only one
+class tells are dropped, classes with too few left, and of the rest the most
+frequent that a pair can do without. What remains, (token, class) rows, are the
+groups in which pairs can meet. Only classes in a group have their sets built.
 (3) In each group the class with the fewest tokens of its own is the pivot, and
 all others are measured against it, not against each other. The measure is the
 gap, the size of the symmetric difference, which is a metric. A class within
@@ -44,6 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import Scratch, known_in, lean, small_batches, table
 from .sketch import HASHES, Powers, mixed
@@ -76,13 +79,17 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
-def prefix(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
-    """The first tokens of a set, unsorted: by frequency level, then by the order's hash."""
+def least_shared(p: int) -> int:
+    """How many tokens the first ``p + least_shared(p) - 1`` of two sets that link have in common, at least."""
+    return (p + 1) // 2
+
+
+def prefix(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, order: int, length: int) -> np.ndarray:
+    """The first ``length`` tokens of a set, unsorted: by frequency level, then by the order's hash."""
     rank = mixed(tokens, 101 + order) >> np.uint64(5)
     if len(hot):
         at = np.searchsorted(hot, tokens).clip(0, len(hot) - 1)
         rank |= np.where(hot[at] == tokens, level[at], 0).astype(np.uint64) << np.uint64(59)
-    length = prefix_length(len(tokens), percent)
     return tokens[np.argpartition(rank, length - 1)[:length]] if length < len(tokens) else tokens
 
 
@@ -149,7 +156,8 @@ def _described(k: int, percent: int, shared, text_at: int, names: list[str]):
                 if len(sent) >= SENT:
                     sent.clear()
                 sent.add(cls[-1])
-                first.append(prefix(s, hot, level, 0, percent).view(np.int64))
+                p = prefix_length(len(s), percent)
+                first.append(prefix(s, hot, level, 0, p + least_shared(p) - 1).view(np.int64))
             kept = [(c, x) for i, (c, x) in enumerate(zip(names, batch.columns)) if i != text_at]
             made = [pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(x for _, x in kept), *made], [*(c for c, _ in kept), "n_shingles", "__cls", "__prefix"])
@@ -167,7 +175,8 @@ def _sets(k: int, percent: int, shared):
                 s = shingles(text.as_py(), k)
                 n.append(len(s))
                 cls.append(class_of(s))
-                for column, x in zip(columns, (s, prefix(s, hot, level, 1, percent), prefix(s, hot, level, 2, percent))):
+                p = prefix_length(len(s), percent)
+                for column, x in zip(columns, (s, prefix(s, hot, level, 1, p), prefix(s, hot, level, 2, p))):
                     column.append(x.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, longs) for c in columns)], ["cls", "n", "tokens", "prefix1", "prefix2"])
 
@@ -266,6 +275,8 @@ class Stars:
         left = met.join(done, ["cls", "p"], "left_anti").select("token", "cls", "n", "own")
         sizes = left.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
         self.rest = self.scratch.write(left.join(sizes, "token"), f"rest{k}")
+        for name in (f"pivots{k}", f"rest{k - 1}"):
+            self.scratch.drop(name)
 
     def run(self) -> DataFrame:
         """All links (a, b), but for some inside a component."""
@@ -289,14 +300,25 @@ class Stars:
 
 
 def groups_of(made: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(token, cls, n, own): the classes whose prefixes share a token; own is the share of a prefix that nobody shares."""
+    """(token, cls, n, own): the classes whose prefixes share a token; own is the share of a prefix that nobody shares.
+
+    Of the tokens that a prefix shares with any class, a partner has ``least`` at
+    least; so a class with fewer has none, and the ``least - 1`` most frequent
+    ones can go: the rarest token of a pair is in neither's share of them.
+    """
     each = made.where(F.col("__prefix").isNotNull()).select(F.col("__cls").alias("cls"), F.col("n_shingles").alias("n"), F.explode("__prefix").alias("token"))
-    shared = each.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where(F.col("low") < F.col("high")).select("token")
+    shared = each.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("often")).where(F.col("low") < F.col("high")).select("token", "often")
     shared = scratch.write(shared, "shared")
-    members = scratch.write(known_in(each, shared, "token", shared.count()).distinct(), "members")
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    own = members.groupBy("cls", "n").agg(F.count("*").alias("hits")).select("cls", (1 - F.col("hits") / length).alias("own"))
-    return scratch.write(members.join(own, "cls"), "groups")
+    members = known_in(each, shared, "token", shared.count()).distinct()
+    p = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    least = F.floor((p + 1) / 2)
+    of = W.partitionBy("cls")
+    members = members.withColumns({"hits": F.count("*").over(of), "at": F.row_number().over(of.orderBy("often", "token"))})
+    members = members.where(F.col("at") <= F.col("hits") - least + 1).select("token", "cls", "n", (1 - F.col("hits") / (p + least - 1)).alias("own"))
+    members = scratch.write(members, "members")
+    scratch.drop("shared")
+    sizes = members.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
+    return scratch.write(members.join(sizes, "token"), "groups")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

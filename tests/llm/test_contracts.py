@@ -178,6 +178,23 @@ def test_plan_uses_each_length_as_often_as_it_occurs():
     assert used == counts
 
 
+def test_configuration_lp_against_its_bound():
+    """The fractional plan stays within the demand and near the dual bound; its rounding beats best fit where that wastes room."""
+    rng = np.random.default_rng(7)
+    counts = {int(n): int(k) for n, k in zip(rng.integers(30, 700, 200), rng.integers(50, 3000, 200))} | {1024: 77}
+    uses, bound = packing.configuration_lp(counts)
+    covered = collections.Counter()
+    for config, x in uses.items():
+        assert x > 0 and sum(n * k for n, k in config) <= 1024
+        for n, k in config:
+            covered[n] += k * x
+    assert len(uses) <= len(counts) and all(covered[n] <= c * (1 + 1e-6) + 1e-6 for n, c in counts.items())
+    lp = sum(m for _, m in packing.pack_plan(counts))
+    fit = sum(m for _, m in packing.finished([], counts, 1024))
+    assert bound <= lp < fit
+    assert lp <= bound * 1.01 + 2
+
+
 def test_line_rules_match_sql(spark, hostile):
     for folder in (SF, hostile):
         con = duckdb.connect()

@@ -9,12 +9,14 @@ Plan. Only the histogram of piece lengths reaches the driver, at most
 ``capacity`` numbers at any corpus size. The configuration LP (how often to use
 each multiset of lengths that fits a sequence) is solved by multiplicative
 weights; a knapsack dynamic program over the lengths prices the next
-configuration. Uses are rounded down; bins with room left and the lengths not
-yet placed are finished by best fit decreasing over the histogram.
+configurations. The fractional solution is moved to a vertex, which has no more
+configurations than there are lengths, and rounded; bins with room left and the
+lengths not yet placed are finished by best fit decreasing over the histogram.
+No plan is longer than best fit alone.
 
 Placement. A piece's rank among the pieces of its length picks its slot in the
-plan. Ranks come from salted counts, so a length that a third of all pieces
-have is dealt to many tasks.
+plan. Ranks come from counts salted by row, so a length that a third of all
+pieces have, or that many rows repeat, is dealt to many tasks.
 
 Nulls: a null text is empty, one token. Repeated rows are separate documents. An
 empty table gives an empty result. Columns other than id and text are ignored.
@@ -33,14 +35,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import Scratch, table
+from .common import Scratch, lean, small_batches, table
 
 CAPACITY = 1024
 END_ID = 2
-#: Rounding: a configuration used less often is left to best fit.
-LEAST_USES = 4
+#: Rounds of the multiplicative weights; fractions that the roundings tried round up.
+ROUNDS, ROUNDINGS = 240, (0.0, 0.25, 0.5, 1.0)
+#: Pieces of one length that are ranked in one task.
+SALTED = 20_000
 #: Words whose ids a worker keeps at most.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 #: Words of which one is empty or has white space at an edge.
 EDGE = re.compile(r"(?:^|\0)(?:[\s\0]|$)|\s(?:\0|$)")
 #: Texts encoded at a time.
@@ -136,7 +140,7 @@ def _pieces(path: str, capacity: int):
             types = (batch.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return lean(run)
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -145,71 +149,172 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(path or tokenizer_path(), capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of most value: an unbounded knapsack over the lengths."""
+def price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """An unbounded knapsack: the most value that each room holds, and which length it takes first (place + 1; 0: none)."""
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         k = upto[c]
-        best[c], pick[c] = best[c - 1], 0
+        best[c] = best[c - 1]
         if k:
             total = best[c - lengths[:k]] + value[:k]
             i = int(total.argmax())
             if total[i] > best[c]:
-                best[c], pick[c] = total[i], lengths[i]
-    out: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if pick[c]:
-            out[int(pick[c])] += 1
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return dict(out)
-
-
-def configuration_lp(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 500) -> dict[tuple, int]:
-    """Uses of each configuration, by multiplicative weights on uncovered lengths.
-
-    A length's price is its tokens, a little more for what is hard to place, and
-    decays with the share of its demand that is covered; each round the knapsack
-    finds the dearest configuration, which is used until one of its lengths runs out.
+                best[c], pick[c] = total[i], i + 1
+    return best, pick
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[dict[tuple, float], float]:
+    """A fractional solution of the configuration LP within the demand, and a lower bound of sequences from its dual.
+
+    Multiplicative weights on the demands: a length's price is its tokens times a
+    weight that rises with how far its cover lags behind a common schedule. Each
+    round the knapsack gives, for every length that lags, the dearest
+    configuration through it; that is used until the length is on schedule or
+    one of its lengths is used up.
     """
-    need = {n: c for n, c in counts.items() if 0 < n < capacity and c > 0}
+    covered, weight, bound = np.zeros(len(demand)), np.zeros(len(demand)), 0.0
+    jitter = np.random.default_rng(0)
+    uses: dict[tuple, float] = defaultdict(float)
+    for k in range(ROUNDS):
+        live = np.flatnonzero(demand - covered > 1e-6 * demand)
+        if not live.size:
+            break
+        due = min(1.0, (k + 1) / (0.95 * ROUNDS))
+        value = lengths[live] / capacity * np.exp(weight[live]) * (1 + 0.0005 * jitter.random(live.size))  # else ties always take the same fillers
+        best, pick = price(value, lengths[live], capacity)
+        if live.size == len(lengths):
+            bound = max(bound, float(value @ demand / best[capacity]))
+        for i in np.argsort(-(value + best[capacity - lengths[live]]), kind="stable").tolist():
+            lacks = due * demand[live[i]] - covered[live[i]]
+            if lacks <= 1e-9 * demand[live[i]]:
+                continue
+            config = configuration(i, pick, lengths[live], capacity)
+            amount = min(lacks / dict(config)[i], *((demand[live[j]] - covered[live[j]]) / q for j, q in config))
+            if amount > 0:
+                for j, q in config:
+                    covered[live[j]] += amount * q
+                uses[tuple((int(live[j]), q) for j, q in config)] += amount
+        weight = np.clip(2.0 * (due - covered / demand), -1.0, 1.0)
+    return uses, bound
+
+
+class Vertex:
+    """A basic solution of the LP, slacks of uncovered pieces included; it uses no more configurations than there are lengths."""
+
+    def __init__(self, lengths: np.ndarray, level: np.ndarray, capacity: int):
+        self.lengths, self.capacity, self.level = lengths, capacity, level
+        self.inverse, self.basic = np.eye(len(lengths)), [None] * len(lengths)
+        self.cost = 1.1 * lengths / capacity  # of a basic slack; a configuration costs 1
+        self.pivots = 0
+
+    def column(self, config: tuple) -> np.ndarray:
+        out = np.zeros(len(self.lengths))
+        for i, q in config:
+            out[i] = q
+        return out
+
+    def move(self, config: tuple, x: float) -> None:
+        """``config``, used ``x`` times so far, goes where less is left uncovered, until it or a basic one reaches zero."""
+        w = self.inverse[:, [i for i, _ in config]] @ np.array([q for _, q in config], float)
+        up = 1.0 - self.cost @ w < -1e-9
+        if not up and not x:
+            return
+        fall = w if up else -w
+        falls = np.flatnonzero(fall > 1e-9)
+        ratio = self.level[falls] / fall[falls]
+        step = float(ratio.min()) if falls.size else np.inf
+        if not up and step >= x:
+            self.level -= x * fall
+            return
+        out = int(falls[ratio.argmin()])
+        self.level -= step * fall
+        self.level[out] = x + (step if up else -step)
+        self.basic[out], self.cost[out] = config, 1.0
+        row = self.inverse[out] / w[out]
+        some = np.flatnonzero(np.abs(w) > 1e-12)
+        self.inverse[some] -= w[some, None] * row
+        self.inverse[out] = row
+        self.pivots += 1
+        if self.pivots % 300 == 0:
+            self.inverse = np.linalg.inv(np.stack([np.eye(len(row))[i] if c is None else self.column(c) for i, c in self._places()], axis=1))
+
+    def _places(self):
+        free = iter(self.slacks())
+        return [(next(free), c) if c is None else (0, c) for c in self.basic]
+
+    def slacks(self) -> list[int]:
+        return [i for i, c in enumerate(self.basic) if c is None]  # a slack never comes back, so it stands at its own length
+
+
+def configuration(first: int, pick: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple:
+    """The dearest configuration through a length: (place, times) of its lengths."""
+    config, room = {first: 1}, capacity - int(lengths[first])
+    while room > 0:
+        j = int(pick[room]) - 1
+        if j >= 0:
+            config[j] = config.get(j, 0) + 1
+        room -= int(lengths[j]) if j >= 0 else 1
+    return tuple(sorted(config.items()))
+
+
+def vertex(uses: dict[tuple, float], lengths: np.ndarray, demand: np.ndarray, capacity: int) -> dict[tuple, float]:
+    """The solution moved to a vertex, one configuration at a time."""
+    covered = np.zeros(len(lengths))
+    for c, x in uses.items():
+        for i, q in c:
+            covered[i] += x * q
+    at = Vertex(lengths, np.maximum(demand - covered, 0.0), capacity)
+    for c in sorted(uses, key=lambda c: (uses[c], c)):
+        at.move(c, uses[c])
+    return {c: float(v) for c, v in zip(at.basic, at.level) if c is not None and v > 1e-9}
+
+
+def configuration_lp(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[tuple, float], float]:
+    """Fractional uses of configurations ((length, times), ...), and a lower bound of the sequences that ``counts`` need."""
+    need = {n: c for n, c in counts.items() if 0 < n <= capacity and c > 0}
+    whole = need.pop(capacity, 0)
     if not need:
-        return {}
+        return {}, float(whole)
     lengths = np.array(sorted(need))
-    demand = np.array([need[n] for n in lengths.tolist()])
-    at = {n: i for i, n in enumerate(lengths.tolist())}
-    covered, uses = np.zeros_like(demand), defaultdict(int)
-    size = lengths * (1 + 0.3 * lengths / capacity)
-    for _ in range(rounds):
-        lacking = np.flatnonzero(covered < demand)
-        if not lacking.size:
-            break
-        weight = np.exp(-covered[lacking] / demand[lacking])
-        chosen = price(size[lacking] * (1 + 0.1 * weight), lengths[lacking], capacity)
-        left = {n: int(demand[at[n]] - covered[at[n]]) for n in chosen}
-        chosen = {n: min(k, left[n]) for n, k in chosen.items()}
-        amount = min(left[n] // k for n, k in chosen.items())
-        uses[tuple(sorted(chosen.items()))] += amount
-        for n, k in chosen.items():
-            covered[at[n]] += amount * k
-    return uses
+    demand = np.array([need[n] for n in lengths.tolist()], float)
+    uses, bound = fractional(lengths, demand, capacity)
+    found = vertex(uses, lengths, demand, capacity)
+    return {tuple((int(lengths[i]), q) for i, q in c): v for c, v in found.items()}, whole + bound
+
+
+def rounded(uses: dict[tuple, float], counts: dict[int, int], up: float) -> list[tuple[tuple, int]]:
+    """Whole uses within ``counts``: the most used first, fractions from 1 - ``up`` on rounded up."""
+    left, out = dict(counts), []
+    for config, x in sorted(uses.items(), key=lambda t: (-t[1], t[0])):
+        m = min([int(x + up + 1e-6), *(left.get(n, 0) // k for n, k in config)])
+        if m > 0:
+            for n, k in config:
+                left[n] -= k * m
+            out.append((config, m))
+    return out
 
 
 def pack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how many sequences use each; together they hold exactly ``counts``."""
+    """Configurations and how many sequences use each; together they hold exactly ``counts``.
+
+    Of the LP's roundings, each finished by best fit, and of best fit alone, the plan of fewest sequences.
+    """
+    uses, _ = configuration_lp(counts, capacity)
+    plans = [finished(rounded(uses, counts, up), counts, capacity) for up in ROUNDINGS]
+    return min([*plans, finished([], counts, capacity)], key=lambda plan: sum(m for _, m in plan))
+
+
+def finished(fixed: list[tuple[tuple, int]], counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The plan with the configurations ``fixed`` and the rest by best fit decreasing."""
     left = {n: c for n, c in counts.items() if c > 0}
     bins: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)
     if left.get(capacity):
         bins[0].append(({capacity: 1}, left.pop(capacity)))
-    for config, x in sorted(configuration_lp(left, capacity).items(), key=lambda t: (-t[1], t[0])):
-        m = min([x, *(left.get(n, 0) // k for n, k in config)])
-        if m >= LEAST_USES:
-            for n, k in config:
-                left[n] -= k * m
-            bins[capacity - sum(n * k for n, k in config)].append((dict(config), m))
+    for config, m in fixed:
+        for n, k in config:
+            left[n] -= k * m
+        bins[capacity - sum(n * k for n, k in config)].append((dict(config), m))
     for n in sorted(left, reverse=True):
         todo = left[n]
         for room in range(n, capacity):
@@ -266,26 +371,29 @@ def _placed(slots: dict[str, np.ndarray]):
     return run
 
 
-def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (materialised, with ``length``) with sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` (written, with ``length`` and a unique ``row``) with sequence_id and offset in place of ``row``."""
     counts = {n: c for n, c in pieces.groupBy("length").count().collect()}
+    kept = [f for f in pieces.schema.fields if f.name != "row"]
+    schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     if not counts:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    salts = max(32, sum(counts.values()) // 20_000)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", F.lit("slot")), F.lit(salts)))
+        return pieces.drop("row").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    salts = pieces.sparkSession.createDataFrame([(n, -(-c // SALTED)) for n, c in counts.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).drop("salts")
     cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     cells = cells.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranks = salted.withColumn("own", own).join(cells, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own") - 1).drop("salt", "own", "before")
-    ranks = ranks.select(*pieces.columns, "rank")
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("row"))
+    ranks = salted.withColumn("own", own).join(cells, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own") - 1)
+    ranks = ranks.select(*[f.name for f in kept], "rank")
     return ranks.mapInArrow(_placed(_slots(pack_plan(counts, capacity))), schema)
 
 
 def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "pack")
-    return pack(scratch.write(token_pieces(docs, id_col, text_col, path, capacity), "pieces"), scratch, capacity)
+    pieces = token_pieces(docs, id_col, text_col, path, capacity).withColumn("row", F.monotonically_increasing_id())
+    return pack(scratch.write(pieces, "pieces"), capacity)
 
 
 def op4_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

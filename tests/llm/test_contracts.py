@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from vaultgrid.llm import html_text, line_rules, lm_score, mixing, multi_index, ngram_join, packing, quality_gam, substring_dedup, url_filter
+from vaultgrid.llm import html_text, line_rules, lm_score, mixing, multi_index, ngram_join, packing, quality_gam, sketch, substring_dedup, url_filter
 
 SF = "/root/testdata/sf0.001"
 PASSAGE = " ".join(f"w{i}" for i in range(80))
@@ -283,6 +283,34 @@ def test_substrings(spark, hostile, where):
     assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in substring_dedup.op9_substring_dedup(spark, folder).collect()) == sorted(want)
 
 
+def test_sketch_beyond_its_broadcast(spark, hostile, monkeypatch):
+    """Without a broadcast filter the same words go, and the share of lone keys that pass does not grow with their number."""
+    want = sorted(map(str, substring_dedup.op9_substring_dedup(spark, hostile).collect()))
+    whole = sorted(map(str, substring_dedup.op9_substring_dedup(spark, SF).collect()))
+    monkeypatch.setattr(sketch, "BROADCAST", 0)
+    assert sorted(map(str, substring_dedup.op9_substring_dedup(spark, hostile).collect())) == want
+    assert sorted(map(str, substring_dedup.op9_substring_dedup(spark, SF).collect())) == whole
+    monkeypatch.setattr(sketch, "LEAST_CHUNKS", 1)
+    for n in (10_000, 100_000, 1_000_000):
+        rng = np.random.default_rng(n)
+        keys = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        chunks = sketch.chunks_for(n)
+        touched = sketch.Touched(chunks)
+        touched.add(keys)
+        table = pa.Table.from_batches([touched.batch()])
+        parts = [next(sketch._merged((c,), table.filter(pa.array([c.as_py() == x for x in table["chunk"].to_pylist()])).to_batches())) for c in table["chunk"]]
+        bits = np.zeros((chunks, sketch.DEPTH * sketch.CHUNK // 64), np.int64)
+        for p in parts:
+            bits[p["chunk"][0].as_py()] = p["bits"][0].values.to_numpy()
+        assert sketch.maybe_repeated(keys, bits.view(np.uint8).ravel(), chunks).mean() < 0.06
+
+
+def test_substrings_with_clashing_columns(spark):
+    rows = [(1, PASSAGE, 5, "s"), (2, f"a {PASSAGE} b", 6, "t")]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string, starts int, __id string"))
+    assert sorted((r["doc_id"], r["starts"], r["n_removed"]) for r in got.collect()) == [(1, 5, 0), (2, 6, 80)]
+
+
 def brute_components(rows):
     sets = []
     for i, t, *_ in rows:

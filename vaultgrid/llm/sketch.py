@@ -1,26 +1,33 @@
 """Word hashes and count-min sketches that are merged over the tasks of a cluster.
 
 A sketch here answers one question: can a key occur in two documents or more?
-Each task sends the cells that its documents touch, with counts, packed by chunk
-of the sketch; a chunk's cells are added up in one task, which leaves a bit for
-each cell that reached two. The bits of all chunks are the broadcast filter, of
-``DEPTH * width / 8`` bytes with width at most ``MAX_WIDTH``: a bound that holds
-at any corpus size. A key is estimated repeated if its cell is set in every row;
-estimates are never too low, so no repeated key is lost. Beyond the bound the
-filter passes more keys, and what follows it still decides exactly.
+It is cut into chunks by a hash of the key; a chunk has ``DEPTH`` rows of
+``CHUNK`` cells, and all cells of a key are in its chunk. The number of chunks
+grows with the number of keys, so the share of keys that pass by chance does not
+depend on the corpus's size. Each task sends the cells that its documents touch,
+with counts, packed by chunk; a chunk's cells are added up in one task, which
+leaves a bit for each cell that reached two. A key is estimated repeated if its
+cell is set in every row; estimates are never too low, so no repeated key is
+lost.
+
+Up to ``BROADCAST`` bytes the bits are broadcast as one filter; beyond, they stay
+where they are, one row a chunk, and keys are sent to them (``looked_up``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 DEPTH = 2
 CHUNK = 1 << 16
-#: 2 rows of 2**27 bits: 32 MB.
-MIN_WIDTH, MAX_WIDTH = 1 << 18, 1 << 27
+#: Cells of a row for each key, the fewest chunks, and bytes of bits that are broadcast.
+ROOM, LEAST_CHUNKS, BROADCAST = 6, 4, 32 << 20
 #: Words whose hashes a worker keeps at most.
 KEPT_WORDS = 200_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -87,58 +94,81 @@ def running_min(x: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def cells(keys: np.ndarray, width: int) -> list[np.ndarray]:
-    """A cell of each row of the sketch for each key."""
-    return [((mixed(keys, 11 + row) & np.uint64(width - 1)) + np.uint64(row * width)).astype(np.int64) for row in range(DEPTH)]
+def chunks_for(keys: float) -> int:
+    return max(LEAST_CHUNKS, int(np.ceil(ROOM * keys / CHUNK)))
 
 
-def width_for(keys: float) -> int:
-    return min(MAX_WIDTH, max(MIN_WIDTH, 1 << int(np.ceil(np.log2(max(1.0, 6 * keys))))))
+def places(keys: np.ndarray, chunks: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each key's chunk, and its place in the chunk in each row."""
+    chunk = (mixed(keys, 17) % np.uint64(chunks)).astype(np.int64)
+    return chunk, [((mixed(keys, 11 + row) & np.uint64(CHUNK - 1)) + np.uint64(row * CHUNK)).astype(np.int64) for row in range(DEPTH)]
 
 
 class Touched:
     """What a task's documents add to the sketch."""
 
-    def __init__(self, width: int):
-        self.width, self.parts, self.held = width, [], 0
+    def __init__(self, chunks: int):
+        self.chunks, self.parts, self.held = chunks, [], 0
 
     def add(self, keys: np.ndarray) -> None:
         """The distinct keys of one document."""
-        self.parts += cells(keys, self.width)
+        chunk, at = places(keys, self.chunks)
+        self.parts += [chunk * (DEPTH * CHUNK) + x for x in at]
         self.held += DEPTH * len(keys)
 
     def batch(self) -> pa.RecordBatch:
-        at, n = np.unique(np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64), return_counts=True)
+        at = np.sort(np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64))
         self.parts, self.held = [], 0
-        chunk = at // CHUNK
-        ids, first = np.unique(chunk, return_index=True)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+        n = np.minimum(np.diff(np.append(first, len(at))), 2).astype(np.uint8)
+        at = at[first]
+        ids, first = np.unique(at // (DEPTH * CHUNK), return_index=True)
         ends = np.append(first, len(at))
-        place, count = (at % CHUNK).astype(np.uint16), np.minimum(n, 2).astype(np.uint8)
+        place = (at % (DEPTH * CHUNK)).astype(np.uint32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([place[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), pa.array([count[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())],
+            [pa.array(ids, pa.int64()), pa.array([place[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())],
             ["chunk", "places", "counts"],
         )
 
 
-def _merged(t: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, np.int64)
-    for places, counts in zip(t["places"], t["counts"]):
-        total[np.frombuffer(places.as_py(), np.uint16)] += np.frombuffer(counts.as_py(), np.uint8)
-    bits = np.packbits(total >= 2)
-    return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+def _merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(DEPTH * CHUNK, np.uint8)
+    for batch in batches:
+        for at, counts in zip(batch["places"], batch["counts"]):
+            at = np.frombuffer(at.as_py(), np.uint32)
+            total[at] = np.minimum(total[at] + np.frombuffer(counts.as_py(), np.uint8), 2)
+    words = np.packbits(total >= 2, bitorder="little").view(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([words], pa.list_(pa.int64()))], ["chunk", "bits"])
+
+
+def repeated_bits(touched: DataFrame) -> DataFrame:
+    """(chunk, bits): 64 cells a number, a bit for each that two documents or more touch; a chunk that nothing touched has no row."""
+    return touched.groupBy("chunk").applyInArrow(_merged, "chunk long, bits array<long>")
 
 
-def repeated_bits(touched: DataFrame, width: int) -> np.ndarray:
-    """The filter: a bit for each cell that two documents or more touch."""
-    got = touched.groupBy("chunk").applyInArrow(_merged, "chunk long, bits binary").toArrow()
-    bits = np.zeros(DEPTH * width // 8, np.uint8)
-    for chunk, data in zip(got["chunk"].to_pylist(), got["bits"].to_pylist()):
-        bits[chunk * CHUNK // 8 : (chunk + 1) * CHUNK // 8] = np.frombuffer(data, np.uint8)
-    return bits
+def gathered(bits: DataFrame, chunks: int) -> np.ndarray:
+    """The whole filter, for a number of chunks whose bits are within BROADCAST bytes."""
+    got = bits.toArrow()
+    out = np.zeros((chunks, DEPTH * CHUNK // 64), np.int64)
+    for chunk, words in zip(got["chunk"].to_pylist(), got["bits"].combine_chunks() if got.num_rows else ()):
+        out[chunk] = words.values.to_numpy()
+    return out.view(np.uint8).ravel()
 
 
-def maybe_repeated(keys: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
+def maybe_repeated(keys: np.ndarray, filter_: np.ndarray, chunks: int) -> np.ndarray:
+    chunk, at = places(keys, chunks)
     out = np.ones(len(keys), bool)
-    for at in cells(keys, width):
-        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    for x in at:
+        cell = chunk * (DEPTH * CHUNK) + x
+        out &= (filter_[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
     return out
+
+
+def looked_up(keys: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows of ``keys`` (with chunk and the places at0, at1, ...) that are estimated repeated."""
+    bit = lambda at: F.getbit(F.element_at("bits", (F.shiftright(at, 6) + 1).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    met = keys.join(bits, "chunk")
+    ok: Column = F.lit(True)
+    for row in range(DEPTH):
+        ok = ok & bit(F.col(f"at{row}"))
+    return met.where(ok).drop("bits", "chunk", *[f"at{row}" for row in range(DEPTH)])

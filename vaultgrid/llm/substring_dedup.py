@@ -4,7 +4,8 @@ A window is ``WINDOW`` consecutive words. Its key is the smallest hash of the
 ``GRAM``-word runs in it, so equal windows have equal keys, and neighbouring
 windows mostly share one. A count-min sketch over the keys of each document,
 merged from all tasks, overestimates in how many documents a window stands; only
-windows that it puts at two or more go on. Those are grouped exactly by a
+windows that it puts at two or more go on. The sketch grows with the corpus; a
+small one is broadcast, a larger one stays in its chunks, to which keys are sent. Those are grouped exactly by a
 96-bit hash of their words, smallest id first; a window whose group has a
 smaller id than its document's is removed, and so is every word it covers.
 
@@ -15,7 +16,9 @@ can split the other.
 
 Defined cases: a null text has no words; a null id neither removes nor loses
 anything; rows that repeat id and text get the same result and do not remove
-each other; other columns pass through. An empty table gives an empty result.
+each other; other columns pass through, but for input columns named like the
+results or with the names in ``INSIDE``, which are dropped. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -28,14 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
-from .sketch import Powers, Touched, WordHashes, maybe_repeated, mixed, repeated_bits, running_min, width_for
+from . import sketch
+from .common import Scratch, lean, small_batches, table
+from .sketch import DEPTH, HASHES, Powers, Touched, chunks_for, gathered, looked_up, maybe_repeated, mixed, places, repeated_bits, running_min
 
 WINDOW, GRAM = 50, 8
 #: Windows that a task combines before it passes them on, and cells of the sketch.
-PENDING = 1 << 21
+PENDING = 1 << 20
 
-_hashes, _powers, _second = WordHashes(), Powers(), Powers(0xC2B2AE3D27D4EB4F | 1)
+_powers, _second = Powers(), Powers(0xC2B2AE3D27D4EB4F | 1)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -47,36 +51,65 @@ def window_keys(h: np.ndarray, window: int) -> np.ndarray:
     return running_min(_powers.windows(h, gram), window - gram + 1)
 
 
-def _touching(window: int, width: int):
+def _touching(window: int, chunks: int):
     def run(batches):
-        touched = Touched(width)
+        touched = Touched(chunks)
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
                 words = words_of(text.as_py())
                 if len(words) >= window:
-                    touched.add(np.unique(window_keys(_hashes.of(words), window)))
+                    touched.add(np.unique(window_keys(HASHES.of(words), window)))
                     if touched.held > PENDING:
                         yield touched.batch()
         if touched.held:
             yield touched.batch()
 
-    return run
+    return lean(run, HASHES)
+
+
+def _asking(window: int, chunks: int):
+    """A row for each distinct key of a document: where its cells are."""
+
+    def run(batches):
+        for batch in batches:
+            for doc_id, code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                words = words_of(text.as_py())
+                if len(words) >= window:
+                    keys = np.unique(window_keys(HASHES.of(words), window))
+                    chunk, at = places(keys, chunks)
+                    columns = [np.full(len(keys), doc_id, np.int64), np.full(len(keys), code, np.int64), keys.view(np.int64), chunk, *at]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__id", "__code", "key", "chunk", *(f"at{row}" for row in range(DEPTH))])
+
+    return lean(_batched(run), HASHES)
+
+
+class Filter:
+    """Which keys of a document may be repeated: by the broadcast filter, or by the list that came with the document."""
 
+    def __init__(self, shared=None, chunks: int = 0):
+        self.shared, self.chunks = shared, chunks
 
-def candidates(words: list[bytes], window: int, bits: np.ndarray, width: int):
+    def passes(self, keys: np.ndarray, own: pa.Scalar | None) -> np.ndarray:
+        if self.shared is not None:
+            return maybe_repeated(keys, self.shared.value, self.chunks)
+        return np.isin(keys, np.asarray(own.values).view(np.uint64)) if own.is_valid else np.zeros(len(keys), bool)
+
+
+def candidates(words: list[bytes], window: int, keep: Filter, own: pa.Scalar | None):
     """Starts of the windows that may be repeated, and the two parts of their hashes."""
-    h = _hashes.of(words)
-    at = np.flatnonzero(maybe_repeated(window_keys(h, window), bits, width)) if len(words) >= window else np.zeros(0, np.int64)
+    if len(words) < window:
+        return np.zeros(0, np.int64), None, None
+    h = HASHES.of(words)
+    at = np.flatnonzero(keep.passes(window_keys(h, window), own))
     if not len(at):
-        return at, np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return at, None, None
     one = _powers.windows(h, window)[at].view(np.int64)
     two = (_second.windows(mixed(h, 5), window)[at] >> np.uint64(33)).astype(np.int32)
     return at, one, two
 
 
-def _combined(window: int, width: int, shared):
+def _combined(window: int, keep: Filter):
     def run(batches):
-        bits = shared.value
         parts, held = [], 0
 
         def flush():
@@ -89,34 +122,33 @@ def _combined(window: int, width: int, shared):
             return pa.RecordBatch.from_arrays([pa.array(one[first]), pa.array(two[first]), pa.array(low[first]), pa.array(low[last])], ["h1", "h2", "low", "high"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                at, one, two = candidates(words_of(text.as_py()), window, bits, width)
+            for doc_id, text, own in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
+                at, one, two = candidates(words_of(text.as_py()), window, keep, own)
                 if len(at):
                     parts.append((one, two, np.full(len(at), doc_id, np.int64)))
                     held += len(at)
-            if held > PENDING:
-                yield flush()
-                held = 0
+                    if held > PENDING:
+                        yield flush()
+                        held = 0
         if held:
             yield flush()
 
-    return run
+    return lean(run, HASHES)
 
 
-def _each(window: int, width: int, shared):
+def _each(window: int, keep: Filter):
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            for doc_id, code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-                at, one, two = candidates(words_of(text.as_py()), window, bits, width)
+            for doc_id, code, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
+                at, one, two = candidates(words_of(text.as_py()), window, keep, own)
                 n = len(at)
                 if n:
                     yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(n, doc_id, np.int64)), pa.array(np.full(n, code, np.int64)), pa.array(at.astype(np.int32))], ["h1", "h2", "__id", "__code", "at"])
 
-    return run
+    return lean(_batched(run), HASHES)
 
 
-def _batched(run, rows: int = 200_000):
+def _batched(run, rows: int = 100_000):
     """The record batches of ``run`` in fewer, larger ones."""
 
     def out(batches):
@@ -157,32 +189,46 @@ def _cut(names: list[str], text_at: int, starts_at: int, window: int):
     return run
 
 
+def with_filter(given: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, Filter]:
+    """(__id, __code, text, own) of the documents that may lose words, and what tells their repeated keys: a filter, or ``own``."""
+    chars = given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    chunks = chunks_for(chars / 5 / 20)
+    bits = repeated_bits(given.select("text").mapInArrow(_touching(window, chunks), "chunk long, places binary, counts binary"))
+    if chunks * sketch.CHUNK * DEPTH // 8 <= sketch.BROADCAST:
+        return given.withColumn("own", F.lit(None).cast("array<long>")), Filter(given.sparkSession.sparkContext.broadcast(gathered(bits, chunks)), chunks)
+    asked = given.mapInArrow(_asking(window, chunks), "__id long, __code long, key long, chunk long, " + ", ".join(f"at{row} long" for row in range(DEPTH)))
+    own = looked_up(asked, scratch.write(bits, "bits")).groupBy("__id", "__code").agg(F.collect_set("key").alias("own"))
+    return scratch.write(given.join(own, ["__id", "__code"]).select("__id", "__code", "text", "own"), "marked"), Filter()
+
+
 def removed_windows(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """(__id, __code, starts): the starts of the windows to remove, by id and hash of the text."""
-    sc = docs.sparkSession.sparkContext
+    """(__id, __code, __starts): the starts of the windows to remove, by id and hash of the text."""
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__code"), F.col(text_col).alias("text"))
-    chars = given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    width = width_for(chars / 5 / 20)
-    bits = repeated_bits(given.select("text").mapInArrow(_touching(window, width), "chunk long, places binary, counts binary"), width)
-    shared = sc.broadcast(bits)
-    sent = given.select("__id", "text").mapInArrow(_combined(window, width, shared), "h1 long, h2 int, low long, high long")
+    given, keep = with_filter(given, scratch, window)
+    sent = given.mapInArrow(_combined(window, keep), "h1 long, h2 int, low long, high long")
     groups = sent.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("low") < F.col("high")).select("h1", "h2", "low")
     groups = scratch.write(groups, "groups")
-    each = given.select("__id", "__code", "text").mapInArrow(_batched(_each(window, width, shared)), "h1 long, h2 int, __id long, __code long, at int")
+    each = given.mapInArrow(_each(window, keep), "h1 long, h2 int, __id long, __code long, at int")
     hit = each.join(groups, ["h1", "h2"]).where(F.col("low") < F.col("__id"))
-    return hit.groupBy("__id", "__code").agg(F.collect_list("at").alias("starts"))
+    return hit.groupBy("__id", "__code").agg(F.collect_list("at").alias("__starts"))
+
+
+#: What the operator adds, and names it uses inside; input columns of these names are dropped.
+ADDED = ("n_words", "n_removed", "kept_text", "kept_sha256")
+INSIDE = ("__id", "__code", "__code2", "__of", "__starts")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_text (kept words, single spaces) and kept_sha256."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substrings")
-    starts = removed_windows(docs, scratch, id_col, text_col, window)
-    kept = docs.drop(*[c for c in ("n_words", "n_removed", "kept_text", "kept_sha256") if c not in (id_col, text_col)])
+    kept = docs.drop(*[c for c in (*ADDED, *INSIDE) if c not in (id_col, text_col)])
+    starts = removed_windows(kept, scratch, id_col, text_col, window)
     names = kept.columns
     keyed = kept.withColumn("__code", F.xxhash64(text_col)).withColumn("__of", F.col(id_col).cast("long"))
-    joined = keyed.join(starts.withColumnRenamed("__code", "__code2"), (F.col("__of") == F.col("__id")) & (F.col("__code") == F.col("__code2")), "left").select(*names, "starts")
+    joined = keyed.join(starts.withColumnRenamed("__code", "__code2"), (F.col("__of") == F.col("__id")) & (F.col("__code") == F.col("__code2")), "left").select(*names, "__starts")
     schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])
-    return joined.mapInArrow(_cut(names, names.index(text_col), len(names), window), schema)
+    return joined.mapInArrow(lean(_cut(names, names.index(text_col), len(names), window)), schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

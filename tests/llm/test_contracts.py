@@ -261,6 +261,46 @@ def test_quality(spark, hostile):
     assert len(odd) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in odd)
 
 
+LONG = "<p>" + "Long words of the paragraph go on and on here. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("around", ["<article class='overflow-hidden'>%s</article>", "<div aria-hidden='false'>%s</div>", "<div title='hidden gems'>%s</div>", "<div class='layout has-sidebar'>%s</div>", "<div class='post no-comments'>%s</div>", "<div class='share-price-story'>%s</div>", "<div data-id='story-ad-1'>%s</div>", "<a href=x/>link</a>%s"])
+def test_names_that_only_look_like_noise(around):
+    text = html_text.main_text("<html><body><nav><a href=q>menu</a></nav>" + around % (LONG * 3) + "<footer>foot</footer></body></html>")
+    assert text.count("Long words") == 18 and "menu" not in text and "foot" not in text
+
+
+def test_controls_in_a_sentence_stay():
+    assert "Press Go and name now." in html_text.main_text("<body><p>Press <button>Go</button> and <label>name</label> now.</p>" + LONG)
+    assert "Go" not in html_text.main_text("<body><article>" + LONG + "<div><button>Go</button></div></article>")
+
+
+UNNAMED = "<body><div><a href=a>one</a><a href=b>two</a><a href=c>three</a></div><div>" + LONG * 5 + "<p>Short.</p></div><div><p>Buy</p><p>now</p><a href=d>here</a><a href=e>or there</a></div></body>"
+
+
+def test_density_decides_where_names_do_not(monkeypatch):
+    text = html_text.main_text(UNNAMED)
+    assert text.endswith("Short.") and "Buy" not in text and "one" not in text
+    real = html_text.measured
+
+    def flat(nodes):
+        real(nodes)
+        for n in nodes:
+            n.density = n.total = 0.0
+
+    monkeypatch.setattr(html_text, "measured", flat)
+    assert "Buy" in html_text.main_text(UNNAMED) and "one" in html_text.main_text(UNNAMED)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "x", "<ul><li>" * 10000 + "x", "<table><tr><td>" * 7000 + "x", "<b>" * 20000 + "x", "<a href='" * 20000 + "x", "<p>" * 20000 + "x"])
+def test_deep_and_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    assert html_text.main_text(page).endswith("" if "'" in page else "x")  # a tag that never ends has no text
+    assert time.process_time() - began < 2
+
+
 @pytest.mark.parametrize("where", ["sf", "hostile"])
 def test_substrings(spark, hostile, where):
     folder = SF if where == "sf" else hostile

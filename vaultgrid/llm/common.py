@@ -89,6 +89,15 @@ def known_in(df: DataFrame, keys: DataFrame, on: str, rows: int, bound: int = 1
     return df.join(F.broadcast(keys) if rows <= bound else keys, on)
 
 
+def hashed_sample(df: DataFrame, key: Column, order: list, most: int) -> DataFrame:
+    """At most ``most`` rows, those of the smallest hashes ``key``; a threshold from the count first, so that no task gets ``most`` rows of each partition."""
+    n = df.count()
+    if n > 2 * most:
+        df = df.where(F.pmod(key, F.lit(1 << 30)) < int((1 << 30) * 1.5 * most / n) + 1)
+        key = F.pmod(key, F.lit(1 << 30))
+    return df.orderBy(key, *order).limit(most)
+
+
 def fold_of(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

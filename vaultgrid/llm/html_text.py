@@ -1,17 +1,18 @@
 """Main text of web pages by composite text density.
 
 A page is read into a small DOM (implied end tags, void and raw-text elements,
-unclosed markup). Elements that never hold the article go first: scripts,
-styles, menus, headers, footers, sidebars, notices, adverts, forms, comments,
-by element name or by the words of class, id and role.
+unclosed markup) in time linear in its length. Elements that are never shown or
+never an article go first: scripts, styles, hidden ones, menus, footers,
+sidebars, forms, and what whole class, id or role names call a notice, an advert
+or comments.
 
 Every node then has C characters, T tags, LC characters and LT tags in links;
 its composite density is ``C/T`` times the logarithm of ``C/LC * T/LT`` to the
 base ``ln(C/notLC * LC + LCbody/Cbody * C + e)``. The node with the largest sum
 of its children's densities is the core; the smallest density on its path up to
-the body is the threshold. Beside the path, siblings of at least that density
-and headings stay; inside the core's ``article`` or ``main`` all that is left
-stays.
+the body is the threshold. Beside the path, subtrees of at least that density
+stay; inside the core's ``article`` or ``main`` so does what has more text than
+links. Where the names leave a page without text, it is read without them.
 
 Defined cases: a null or empty page gives an empty text and 0; a page without
 tags is one block; pages of any length are read whole; repeated rows are
@@ -24,21 +25,21 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, small_batches, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|textarea|select|object|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )
-HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NONE = re.compile(r"display\s*:\s*none", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -52,92 +53,119 @@ IMPLIED = {
     "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody", "tfoot"), ("table",)),
 }
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Elements and words of class, id or role that mark what is no part of an article.
-NEVER = frozenset("aside button dialog footer form head input label nav menu search".split())
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies"
-    " disclaimer discussion disqus footer form gdpr login masthead menu menubar modal nav navbar navigation navigations newsletter notice notices pager pagination paywall"
-    " popup promo promotion recommended related respond replies share sharing sidebar sidebars signup skyscraper social sponsor sponsored subscribe"
-    " subscription teaser toolbar topbar widget widgets".split()
+#: Elements that hold no article, and whole class, id or role names that say so.
+NEVER = frozenset("aside dialog footer form head input nav menu search".split())
+LABEL = re.compile(
+    r"(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disclaimer|disqus|footer|login|masthead|menu|menubar|nav|navbar"
+    r"|navigation|newsletter|notices?|pager|pagination|paywall|popup|modal|promo|promotion|recommended|related|replies|respond|share|sharing|sidebar|signup|skyscraper|social|sponsor|sponsored"
+    r"|subscribe|subscription|teasers?|toolbar|topbar|widgets?"
+    r"|(?:site|page|main|top|left|right|primary|secondary|global|article|post)[-_]?(?:nav|navigation|menu|footer|sidebar|banner|comments?)|(?:nav|menu|footer|sidebar)[-_]?(?:bar|left|right|wrapper|container|main|menu|links)"
+    r"|ads?[-_]?(?:slot|unit|box|banner|container|wrapper|block)|(?:google|banner|top|side)[-_]?ads?|(?:cookie|gdpr|consent|privacy)[-_]?(?:banner|notice|bar|popup|consent)"
+    r"|comments?[-_]?(?:list|section|area|form|thread|box|wrapper)|(?:user|reader)[-_]?comments?|(?:social|share|sharing)[-_]?(?:links|buttons|bar|icons|tools|media)|newsletter[-_]?(?:signup|form|box)"
+    r"|related[-_]?(?:posts|articles|links|stories|content|news)|(?:sign|log)[-_]?(?:up|in)[-_]?(?:form|box)?)",
+    re.I,
 )
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "heading")
+    __slots__ = ("tag", "up", "parts", "drop", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, up: Node | None, drop: bool):
-        self.tag, self.up, self.drop, self.parts = tag, up, drop, []
-        self.heading = False
+    def __init__(self, tag: str, up: Node | None, drop: bool = False, noise: bool = False):
+        self.tag, self.up, self.drop, self.noise, self.parts = tag, up, drop, noise, []
 
 
-def dropped(tag: str, attributes: str) -> bool:
+def judged(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is never shown or never an article, and whether its names say that it is none."""
     if tag in NEVER:
-        return True
-    if "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    if HIDDEN.search(attributes):
-        return True
+        return True, True
+    if not attributes or attributes.isspace():
+        return False, False
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in reversed(list(ATTRIBUTE.finditer(attributes)))}
+    if "hidden" in found and found["hidden"].lower() != "until-found" or found.get("aria-hidden", "").strip().lower() == "true" or NONE.search(found.get("style", "")):
+        return True, False
     if tag in ("body", "html", "article", "main"):
-        return False
-    for m in HINT.finditer(attributes):
-        if not WORDS.isdisjoint(w.lower() for w in PART.findall(m[1] or m[2] or m[3] or "")):
-            return True
-    return False
+        return False, False
+    return False, any(LABEL.fullmatch(name) for key in ("class", "id", "role") for name in found.get(key, "").split())
+
+
+class Open:
+    """The open elements; the nearest of any name is found without walking up."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def first_after(self, tags, place: int) -> int | None:
+        """The outermost open element of these names inside the one at ``place``."""
+        found = [p[i] for p in (self.at.get(t, ()) for t in tags) if (i := bisect_right(p, place)) < len(p)]
+        return min(found, default=None)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > max(1, place):
+            self.at[self.stack.pop().tag].pop()
+
+
+P_ENDS = ("table", "td", "th", "button", "body")
 
 
 def parse(page: str) -> Node:
     """The root node; a node's parts are strings and nodes in page order."""
-    root = at = Node("html", None, False)
+    root = Node("html", None)
+    around = Open(root)
     last = 0
-    for m in TOKEN.finditer(page):
+    for m in TOKEN.finditer(page, 0, page.rfind(">") + 1):  # no tag ends after the last one
         if m.start() > last:
-            at.parts.append(page[last : m.start()])
+            around.stack[-1].parts.append(page[last : m.start()])
         last = m.end()
         tag = m[3] or m[6]
         if not tag:
             continue
         tag = tag.lower()
         if m[2] or m[5]:
-            up: Node | None = at
-            while up is not None and up.tag != tag:
-                up = up.up
-            if up is not None and up.up is not None:
-                at = up.up
+            place = around.last((tag,))
+            if place > 0:
+                around.close(place)
             continue
-        if tag in ("html", "body") and at.up is None:
+        if tag in ("html", "body") and (len(around.stack) == 1 or tag == "html"):
             if tag == "body":
-                at.parts.append(node := Node("body", at, False))
-                at = node
+                node = Node("body", root)
+                root.parts.append(node)
+                around.push(node)
             continue
-        if tag in CLOSES_P:
-            up = at
-            while up is not None and up.tag not in ("p", "table", "td", "th", "button", "body"):
-                up = up.up
-            if up is not None and up.tag == "p":
-                at = up.up
+        if tag in CLOSES_P and (place := around.last(("p",))) > around.last(P_ENDS):
+            around.close(place)
         if tag in IMPLIED:
             ends, within = IMPLIED[tag]
-            up, found = at, None
-            while up is not None and up.tag not in within:
-                if up.tag in ends:
-                    found = up
-                up = up.up
-            if found is not None:
-                at = found.up
-        if tag == "body" and at.tag == "head" and at.up is not None:
-            at = at.up
-        node = Node(tag, at, dropped(tag, m[4] or m[7] or ""))
-        at.parts.append(node)
-        if tag not in VOID and not (m[4] or m[7] or "").endswith("/"):
-            at = node
+            place = around.first_after(ends, around.last(within))
+            if place is not None:
+                around.close(place)
+        if tag == "body" and around.last(("head",)) > 0:
+            around.close(around.last(("head",)))
+        up = around.stack[-1]
+        node = Node(tag, up, *judged(tag, m[4] or m[7] or ""))
+        up.parts.append(node)
+        if tag not in VOID:
+            around.push(node)
     if last < len(page):
         tail = page[last:]
-        at.parts.append(tail if not re.match(r"<[a-zA-Z/!]", tail) else "")
+        if not re.match(r"<[a-zA-Z/!]", tail):
+            around.stack[-1].parts.append(tail)
     return root
 
 
-def ordered(root: Node) -> list[Node]:
-    """Nodes that stay, parents first; a header stays in an article only with a heading."""
+def spoken(node: Node) -> bool:
+    """Whether an element has text of its own."""
+    return any(isinstance(x, str) and not x.isspace() for x in node.parts)
+
+
+def ordered(root: Node, sift: bool) -> list[Node]:
+    """Nodes that can be shown, parents first. A header goes unless it heads an article; a control goes unless it stands in a sentence."""
     out, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
@@ -146,7 +174,11 @@ def ordered(root: Node) -> list[Node]:
         for x in node.parts:
             if isinstance(x, Node):
                 if x.tag == "header" and not x.drop:
-                    x.drop = not (inside and any(isinstance(y, Node) and (y.tag in HEADINGS or any(isinstance(z, Node) and z.tag in HEADINGS for z in y.parts)) for y in x.parts))
+                    heads = any(isinstance(y, Node) and (y.tag in HEADINGS or any(isinstance(z, Node) and z.tag in HEADINGS for z in y.parts)) for y in x.parts)
+                    x.noise = x.noise or not (inside and heads)
+                elif x.tag in ("button", "label") and not x.drop:
+                    x.noise = x.noise or not spoken(node)
+                x.drop = x.drop or sift and x.noise
                 if not x.drop:
                     todo.append((x, inside))
     return out
@@ -185,60 +217,61 @@ def main_text(page: str | None) -> str:
     """Blocks of the article, joined by an empty line."""
     if not page:
         return ""
-    nodes = ordered(parse(page))
-    measured(nodes)
-    body = next((n for n in nodes if n.tag == "body"), nodes[0])
-    core = max(nodes, key=lambda n: n.total)
-    if core.total <= 0:
-        core = body
-    article = core
-    while article is not None and article.tag not in ("article", "main"):
-        article = article.up
-    if article is None:
-        inner = [n for n in nodes if n.tag in ("article", "main") and n.chars]
-        if inner and (core is body or core.up is None) and sum(n.tag == inner[0].tag for n in inner) == 1:
-            article = inner[0]
-    out: list[str] = []
-    if article is not None:
-        top, path, threshold = article, {id(article)}, 0.0
-        while article.up is not None and (article.up.tag in ("article", "main")):
-            top = article = article.up
-    else:
-        path, n, threshold = {id(core)}, core, core.density
-        while n.up is not None and n is not body and n.tag != "html":
-            if n is not core:
-                threshold = min(threshold, n.density)
-                path.add(id(n))
-            n = n.up
-        path.add(id(n))
-        top = body if core is not nodes[0] else nodes[0]
-    write(top, core, article is not None, path, threshold, out)
-    text = "".join(out)
-    blocks = (" ".join(entities.unescape(b).split()) for b in text.split("\0"))
-    return "\n\n".join(b for b in blocks if b)
+    for sift in (True, False):  # a page whose names leave nothing is read without them
+        root = parse(page)
+        nodes = ordered(root, sift)
+        measured(nodes)
+        body = next((n for n in nodes if n.tag == "body"), nodes[0])
+        text = selected(body, max(nodes, key=lambda n: n.total))
+        if text:
+            return text
+    return ""
 
 
-def write(top: Node, core: Node, whole: bool, path: set[int], threshold: float, out: list[str]) -> None:
-    """Appends what stays below ``top``; a NUL parts blocks."""
-    todo: list[tuple[object, bool]] = [(top, whole or top is core)]
+def selected(body: Node, core: Node) -> str:
+    """The core's subtree, and beside its path to the body what is as dense as the path at least.
+
+    Inside the core's article, what has more text than links stays too: there a
+    short paragraph is no noise.
+    """
+    if not core.chars:
+        core = body
+    path, n, threshold = {id(core)}, core, core.density
+    inside, article = set(), None
+    while n is not body and n.up is not None:
+        threshold = min(threshold, n.density)
+        if n.tag in ("article", "main"):
+            article = n
+        n = n.up
+        path.add(id(n))
+    threshold = min(threshold, n.density)
+    n = core
+    while article is not None and n is not None:
+        inside.add(id(n))
+        n = n.up if n is not article else None
+    out: list[str] = []
+    todo: list[tuple[object, bool]] = [(body if id(body) in path else core, core is body)]
     while todo:
-        x, all_of_it = todo.pop()
+        x, whole = todo.pop()
         if isinstance(x, str):
             out.append(x)
             continue
         if x.tag == "br":
             out.append(" ")
             continue
+        whole = whole or x is core
         mark = "\0" if x.tag in BLOCK else ""
         out.append(mark)
         if mark:
             todo.append((mark, True))
         for y in reversed(x.parts):
             if isinstance(y, str):
-                todo.append((y.replace("\0", "�"), True))
-            elif not y.drop:
-                if all_of_it or id(y) in path or y.density >= threshold or y.tag in HEADINGS:
-                    todo.append((y, all_of_it or y is core or id(y) not in path))
+                if whole or id(x) in inside or x is not body:
+                    todo.append((y.replace("\0", "�"), True))
+            elif not y.drop and (whole or id(y) in path or y.density >= threshold or id(x) in inside and 2 * y.link_chars <= y.chars):
+                todo.append((y, whole or id(y) not in path))
+    blocks = (" ".join(entities.unescape(b).split()) for b in "".join(out).split("\0"))
+    return "\n\n".join(b for b in blocks if b)
 
 
 def _texts(batches):
@@ -251,7 +284,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every page."""
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     given = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return given.mapInArrow(_texts, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    small_batches(pages.sparkSession)
+    return given.mapInArrow(lean(_texts), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
 
 
 def op7_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:

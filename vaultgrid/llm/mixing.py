@@ -9,17 +9,17 @@ in relative entropy to taking every token once are exponential tilts
 ``exp(lambda_source)``. The dual, the sum over sources of ``S exp(l) - l T``,
 is convex; Newton steps over the distributed table of sources solve it.
 
-Copies. A source's documents are dealt by a hash of their ids into blocks of
+Copies. A source's documents are dealt by a hash of id and text into blocks of
 about ``BLOCK``. In each block, from the longest document to the shortest, a
 document gets the whole number of copies that keeps the running sum of words
 nearest to the running sum of ``rate * size``; what a block misses is at most
 about half its shortest document. No group grows with its source, and reruns
-agree, as order and blocks depend on the rows alone.
+agree, as order and blocks depend on the rows alone (without id: on their place).
 
 Nulls: a null text has size 0 and is taken 0 times its size; a null source is a
 source; a null id is dealt like any other. Repeated rows are separate documents.
-An empty table gives an empty result. Other columns pass through ``mix``; names
-used here (size, source_size, target, rate, copies, taken) are replaced.
+An empty table gives an empty result. Other columns pass through ``mix``; those
+named like what it makes (``MADE``) are replaced.
 """
 
 from __future__ import annotations
@@ -91,23 +91,32 @@ def _rounded(most: int):
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with size, source_size, target, rate, copies and taken."""
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = docs.withColumn("size", word_count(F.col(text_col))) if "size" not in docs.columns else docs
-    return _mixed(sized, scratch, share, cap, id_col, source_col)
+    clash = [c for c in docs.columns if c in MADE and c not in (id_col, text_col, source_col)]
+    sized = docs.drop(*clash).withColumns({"size": word_count(F.col(text_col)), "__turn": dealing(id_col, text_col)})
+    return _mixed(sized, scratch, share, cap, source_col)
 
 
-def _mixed(sized: DataFrame, scratch: Scratch, share: float, cap: float, id_col: str, source_col: str) -> DataFrame:
+#: Names that the operator makes; input columns of these names are replaced.
+MADE = ("size", "source_size", "target", "rate", "docs", "copies", "taken")
+
+
+def dealing(id_col: str, text_col: str) -> Column:
+    """What deals a document to its block: id and text; rows without id, however many of one text, are dealt by place."""
+    return F.xxhash64(id_col, F.xxhash64(text_col), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
+
+
+def _mixed(sized: DataFrame, scratch: Scratch, share: float, cap: float, source_col: str) -> DataFrame:
     targets, n = source_targets(sized.select(F.col(source_col).alias("source"), "size"), scratch, share, cap)
     rates = balanced(targets, scratch).withColumnRenamed("source", "__source")
-    clash = [c for c in ("source_size", "target", "rate", "docs", "copies", "taken") if c in sized.columns]
-    with_rate = attach(sized.drop(*clash).withColumn("__source", F.col(source_col)), rates, "__source", n)
-    key = F.xxhash64(F.col(id_col), F.lit("block"))
-    dealt = with_rate.withColumn("__turn", F.xxhash64(F.lit("turn"), F.col(id_col))).withColumn("__block", F.pmod(key, F.ceil(F.col("docs") / F.lit(BLOCK)))).drop("docs")
+    with_rate = attach(sized.withColumn("__source", F.col(source_col)), rates, "__source", n)
+    block = F.pmod(F.xxhash64("__turn", F.lit("block")), F.ceil(F.col("docs") / F.lit(BLOCK)))
+    dealt = with_rate.withColumn("__block", block).drop("docs")
     schema = T.StructType([f for f in dealt.schema.fields if f.name not in ("__turn", "__block")] + [T.StructField("copies", T.LongType()), T.StructField("taken", T.LongType())])
     return dealt.groupBy("__source", "__block").applyInArrow(_rounded(int(cap)), schema).drop("__source")
 
 
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), dealing("doc_id", "text").alias("__turn"))
     scratch = Scratch(spark, "mix")
-    mixed = _mixed(scratch.write(docs, "sizes"), scratch, 1.5, 2.0, "doc_id", "source")
+    mixed = _mixed(scratch.write(docs, "sizes"), scratch, 1.5, 2.0, "source")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")

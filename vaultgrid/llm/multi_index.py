@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, table
+from .common import Scratch, hashed_sample, table
 
 SAMPLE, SAMPLE_QUERIES = 8192, 256
 BITS, PARTS, TURNS = 64, 4, 40
@@ -153,7 +153,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     given = vectors.withColumn("__q", F.coalesce(is_query, F.lit(False))).where(usable(F.col(vec_col)))
     given = given.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col("__q").alias("q"), F.monotonically_increasing_id().alias("row"))
     given = scratch.write(given, "given")
-    sample = given.orderBy(F.xxhash64("id", "vec"), "row").limit(SAMPLE).select("vec").toArrow()
+    sample = hashed_sample(given, F.xxhash64("id", "vec"), ["row"], SAMPLE).select("vec").toArrow()
     lengths = Counter(sample["vec"].combine_chunks().value_lengths().to_pylist() if sample.num_rows else [])
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

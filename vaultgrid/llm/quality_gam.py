@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, table
+from .common import fold_of, hashed_sample, lean, small_batches, table
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -201,9 +201,11 @@ def _features_of(batches):
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held: int = 1, sample: int = SAMPLE) -> Model:
     """The model, learnt from at most ``sample`` labelled rows outside the held-out fold."""
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y")).where(F.col("__id").isNotNull() & F.col("y").isNotNull() & (fold_of("__id", folds) != held))
-    chosen = marked.orderBy(F.xxhash64(F.col("__id")), "__id", "y").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select(F.col(text_col).alias("text"), "y")
-    got = rows.mapInArrow(_features_of, "y double, x array<double>").toPandas()
+    small_batches(docs.sparkSession)
+    chosen = hashed_sample(marked.distinct(), F.xxhash64(F.col("__id")), ["__id", "y"], sample)
+    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select("__id", F.col(text_col).alias("text"), "y")
+    rows = rows.groupBy("__id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")  # an id that repeats counts once
+    got = rows.mapInArrow(lean(_features_of), "y double, x array<double>").toPandas()
     if not len(got):
         return Model()
     x, y = np.array(got["x"].tolist()), got["y"].to_numpy()
@@ -217,7 +219,7 @@ def _scored(model: Model, at: int, names: list[str]):
             s = model.score(feature_matrix(_texts(batch.column(at))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    return run
+    return lean(run)
 
 
 def with_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -84,13 +84,19 @@ def least_shared(p: int) -> int:
     return (p + 1) // 2
 
 
-def prefix(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray, order: int, length: int) -> np.ndarray:
-    """The first ``length`` tokens of a set, unsorted: by frequency level, then by the order's hash."""
-    rank = mixed(tokens, 101 + order) >> np.uint64(5)
-    if len(hot):
-        at = np.searchsorted(hot, tokens).clip(0, len(hot) - 1)
-        rank |= np.where(hot[at] == tokens, level[at], 0).astype(np.uint64) << np.uint64(59)
-    return tokens[np.argpartition(rank, length - 1)[:length]] if length < len(tokens) else tokens
+def levels(tokens: np.ndarray, hot: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The frequency level of each token; 0 if it is not known as frequent."""
+    if not len(hot):
+        return np.zeros(len(tokens), np.uint64)
+    at = np.searchsorted(hot, tokens).clip(0, len(hot) - 1)
+    return np.where(hot[at] == tokens, level[at], 0).astype(np.uint64)
+
+
+def prefix(tokens: np.ndarray, often: np.ndarray, order: int, length: int) -> np.ndarray:
+    """Places of the first ``length`` tokens of a set, in any order: by frequency level, then by the order's hash."""
+    if length >= len(tokens):
+        return np.arange(len(tokens))
+    return np.argpartition(mixed(tokens, 101 + order) >> np.uint64(5) | often << np.uint64(59), length - 1)[:length]
 
 
 def _frequent(k: int):
@@ -145,22 +151,26 @@ def _described(k: int, percent: int, shared, text_at: int, names: list[str]):
         hot, level = shared.value
         sent: set[int] = set()
         for batch in batches:
-            n, cls, first = [], [], []
+            n, cls, first, common = [], [], [], []
             for text in batch.column(text_at).cast(pa.binary()):
                 s = shingles(text.as_py(), k)
                 n.append(len(s))
                 cls.append(class_of(s) if len(s) else None)
                 if not len(s) or cls[-1] in sent:
                     first.append(None)
+                    common.append(None)
                     continue
                 if len(sent) >= SENT:
                     sent.clear()
                 sent.add(cls[-1])
                 p = prefix_length(len(s), percent)
-                first.append(prefix(s, hot, level, 0, p + least_shared(p) - 1).view(np.int64))
+                often = levels(s, hot, level)
+                at = prefix(s, often, 0, p + least_shared(p) - 1)
+                first.append(s[at[often[at] == 0]].view(np.int64))
+                common.append(s[at[often[at] > 0]].view(np.int64))
             kept = [(c, x) for i, (c, x) in enumerate(zip(names, batch.columns)) if i != text_at]
-            made = [pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(x for _, x in kept), *made], [*(c for c, _ in kept), "n_shingles", "__cls", "__prefix"])
+            made = [pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(x for _, x in kept), *made], [*(c for c, _ in kept), "n_shingles", "__cls", "__prefix", "__frequent"])
 
     return lean(run, HASHES)
 
@@ -176,7 +186,8 @@ def _sets(k: int, percent: int, shared):
                 n.append(len(s))
                 cls.append(class_of(s))
                 p = prefix_length(len(s), percent)
-                for column, x in zip(columns, (s, prefix(s, hot, level, 1, p), prefix(s, hot, level, 2, p))):
+                often = levels(s, hot, level)
+                for column, x in zip(columns, (s, s[prefix(s, often, 1, p)], s[prefix(s, often, 2, p)])):
                     column.append(x.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, longs) for c in columns)], ["cls", "n", "tokens", "prefix1", "prefix2"])
 
@@ -306,17 +317,25 @@ def groups_of(made: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     least; so a class with fewer has none, and the ``least - 1`` most frequent
     ones can go: the rarest token of a pair is in neither's share of them.
     """
-    each = made.where(F.col("__prefix").isNotNull()).select(F.col("__cls").alias("cls"), F.col("n_shingles").alias("n"), F.explode("__prefix").alias("token"))
-    shared = each.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("often")).where(F.col("low") < F.col("high")).select("token", "often")
-    shared = scratch.write(shared, "shared")
-    members = known_in(each, shared, "token", shared.count()).distinct()
+
+    def told(prefix: str) -> DataFrame:
+        return made.where(F.col(prefix).isNotNull()).select(F.col("__cls").alias("cls"), F.col("n_shingles").alias("n"), F.explode(prefix).alias("token"))
+
+    def shared(each: DataFrame) -> DataFrame:
+        # sizes are asked for so that both sides of the join below read one and the same exchange
+        found = each.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("often"), F.min("n").alias("size"))
+        return found.where((F.col("low") < F.col("high")) & (F.col("size") > 0)).select("token", "often")
+
+    # few classes have a token that is not frequent, so its rows are dealt out once; of the others there are at most HOT, counted in tasks first
+    rare = told("__prefix").repartition("token")
+    common = told("__frequent")
+    members = rare.join(shared(rare).hint("merge"), "token").unionByName(common.join(F.broadcast(shared(common)), "token")).distinct()
     p = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     least = F.floor((p + 1) / 2)
     of = W.partitionBy("cls")
     members = members.withColumns({"hits": F.count("*").over(of), "at": F.row_number().over(of.orderBy("often", "token"))})
     members = members.where(F.col("at") <= F.col("hits") - least + 1).select("token", "cls", "n", (1 - F.col("hits") / (p + least - 1)).alias("own"))
     members = scratch.write(members, "members")
-    scratch.drop("shared")
     sizes = members.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
     return scratch.write(members.join(sizes, "token"), "groups")
 
@@ -332,7 +351,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = spark.sparkContext.broadcast(frequent_tokens(given, scratch, k))
     clash = [c for c in docs.columns if (c in ("n_shingles", "component_id", "group_id") or c.startswith("__")) and c not in (id_col, text_col)]
     kept = docs.drop(*clash).withColumn("__code", F.xxhash64(text_col))
-    fields = [f for f in kept.schema.fields if f.name != text_col] + [T.StructField("n_shingles", T.LongType()), T.StructField("__cls", T.LongType()), T.StructField("__prefix", T.ArrayType(T.LongType()))]
+    fields = [f for f in kept.schema.fields if f.name != text_col] + [T.StructField("n_shingles", T.LongType()), T.StructField("__cls", T.LongType()), T.StructField("__prefix", T.ArrayType(T.LongType())), T.StructField("__frequent", T.ArrayType(T.LongType()))]
     made = scratch.write(kept.mapInArrow(_described(k, percent, shared, kept.columns.index(text_col), kept.columns), T.StructType(fields)), "documents")
     classes = made.where(F.col("__cls").isNotNull()).groupBy(F.col("__cls").alias("cls")).agg(F.min(id_col).alias("smallest"), F.min("__code").alias("code"))
     classes = scratch.write(classes, "classes")
@@ -345,7 +364,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = scratch.write(classes.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "smallest"), "named")
     joint = named.groupBy("label").agg(F.min("smallest").alias("component"))
     named = named.join(joint, "label").select(F.col("cls").alias("__cls"), F.col("label").alias("__label"), "component")
-    out = made.drop("__prefix", "__code").withColumn("__row", F.monotonically_increasing_id()).join(named.withColumnRenamed("component", "__component"), "__cls", "left")
+    out = made.drop("__prefix", "__frequent", "__code").withColumn("__row", F.monotonically_increasing_id()).join(named.withColumnRenamed("component", "__component"), "__cls", "left")
     own = F.when(F.col("__cls").isNull(), F.col(id_col)).otherwise(F.col("__component"))
     return out.withColumn("component_id", own).withColumn("group_id", F.coalesce("__label", -1 - F.col("__row"))).drop("__cls", "__row", "__label", "__component")
 

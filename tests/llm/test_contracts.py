@@ -94,6 +94,18 @@ def test_held_out_texts_score_above_unigrams(spark):
     assert r["d"] > 0
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    """The same rows in 2, 32 and 128 partitions, trained by several replicas, score alike, and above unigrams."""
+    monkeypatch.setattr(lm_score, "REPLICA_TOKENS", 1 << 15)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    seen = []
+    for n in (2, 32, 128):
+        got = lm_score.lm_scores(docs.repartition(n)).where("held_out").toPandas().sort_values("doc_id")
+        assert got.score.sum() > got.base_score.sum()
+        seen.append(got.score.to_numpy())
+    assert all(np.allclose(x, seen[0], rtol=1e-6, atol=1e-6) for x in seen[1:])
+
+
 def test_urls(spark, hostile):
     got = {r["page_id"]: tuple(r)[1:] for r in url_filter.op2_url_filter(spark, hostile).collect()}
     assert got == {

@@ -9,9 +9,12 @@ Model. The ``CLASSES`` outcomes are the end of a text, the most frequent words,
 and ``BUCKETS`` classes that share out all other words by their last two bytes.
 With context embeddings ``T1``, ``T2`` for the last and the one before and
 outcome embeddings ``R``, the score of outcome k is ``(T1[a] + T2[b]) . R[k] +
-bias[k]``. Each task trains a copy in numpy with noise-contrastive estimation
-over all its training tokens (noise: the unigram distribution, shared by a
-batch); copies are averaged by token counts, block by block, in Spark.
+bias[k]``. A hash deals the training rows to rounds, and within a round to
+replicas, as many as the corpus has tokens for; a replica trains a copy of the
+last round's model in numpy with noise-contrastive estimation over all its
+tokens in the order of their hashes (noise: the unigram distribution, shared by
+a batch), and copies are averaged by token counts, block by block, in Spark. So
+the model depends on the rows alone, not on how tasks read them.
 
 Normalising. ``exp`` splits over the two contexts, so the normaliser of every
 pair of contexts is one matrix product; token log-probabilities are then exact
@@ -36,15 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_of, table
+from .common import Scratch, fold_of, lean, small_batches, table
 
 HEAD, WORD_BYTES = 1 << 18, 128
 CLASSES, BUCKETS, WIDTH = 2048, 256, 32
-BATCH, NOISE, STEP = 4096, 64, 0.15
+BATCH, NOISE, STEP = 1024, 128, 0.05
 #: Texts scored at a time.
 TEXTS = 256
 #: Words a task counts before it passes them on.
 PENDING = 200_000
+#: Rounds of training, each on its own part of the rows; tokens of a round that one replica trains on; replicas of a round at most.
+ROUNDS, REPLICA_TOKENS, REPLICAS = 4, 1 << 21, 4096
+#: Tokens of a text that are dealt to a replica together.
+CHUNK = 1 << 14
 #: Floats of the model in one block of the averaging.
 SLICE = 1 << 14
 END = b""
@@ -142,13 +149,23 @@ def _rows_added(to: np.ndarray, rows: np.ndarray, g: np.ndarray, squares: np.nda
 
 
 class Trainer:
-    def __init__(self, p: Parameters, noise: np.ndarray, seed: int):
+    """A copy of the model in training; its state is the parameters and AdaGrad's sums."""
+
+    def __init__(self, p: Parameters, noise: np.ndarray, seed: int, squares: np.ndarray | None = None):
         self.p, self.noise, self.rng = Parameters.of(p.flat().copy()), noise, np.random.default_rng(seed)
         self.cumulative = np.cumsum(noise)
         self.log_expected = np.log(NOISE * noise).astype(np.float32)
-        self.squares = [np.full(CLASSES, 1e-2, np.float32) for _ in range(4)]
+        self.squares = np.full((4, CLASSES), 1e-2, np.float32) if squares is None else squares.reshape(4, CLASSES).copy()
         self.seen = 0
 
+    def state(self) -> np.ndarray:
+        return np.concatenate([self.p.flat(), self.squares.ravel()]).astype(np.float32)
+
+    @staticmethod
+    def resumed(state: np.ndarray, noise: np.ndarray, seed: int) -> Trainer:
+        n = len(state) - 4 * CLASSES
+        return Trainer(Parameters.of(state[:n]), noise, seed, state[n:])
+
     def batch(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         p = self.p
         q = p.t1[a] + p.t2[b]
@@ -184,48 +201,73 @@ def _prepared(key, make):
     return _ready[key]
 
 
-def _trained(shared):
-    def run(batches):
-        from pyspark import TaskContext
+def _outcomes(shared):
+    """A row for each run of at most CHUNK tokens of a text: the replica it trains, and the outcomes after the two before it."""
 
-        name, v, flat = shared.value
+    def run(batches):
+        name, v, replicas = shared.value
         place, kind = _prepared(("v", name), v.tables)
-        trainer = Trainer(Parameters.of(flat), noise_of(v), TaskContext.get().partitionId() + 1)
+        for batch in batches:
+            cell, key, outcomes = [], [], []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                words = tokens(text.as_py() or b"")
+                words.append(END)
+                w = np.concatenate([[0, 0], _classes(words, place, kind)[1]]).astype("<u2")
+                for at in range(0, len(words), CHUNK):
+                    key.append(zlib.crc32(at.to_bytes(8, "little"), k & 0xFFFFFFFF) | (k >> 32) << 32)
+                    cell.append(zlib.crc32(key[-1].to_bytes(8, "little", signed=True)) % replicas)
+                    outcomes.append(w[at : at + CHUNK + 2].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(key, pa.int64()), pa.array(outcomes, pa.binary())], ["cell", "key", "outcomes"])
+
+    return run
+
+
+def _trained(shared, seed: int):
+    """The parameters of each replica whose rows the task has, one replica after the other."""
+
+    def run(batches):
+        v, state = shared.value
+        noise = noise_of(v)
+        trainer, cell = None, None
         parts: list[np.ndarray] = []
         held = 0
 
         def drain():
-            w = np.concatenate([x for x, _, _ in parts])
-            a = np.concatenate([y for _, y, _ in parts])
-            b = np.concatenate([z for _, _, z in parts])
+            w, a, b = (np.concatenate([x[i : len(x) - 2 + i] for x in parts]).astype(np.int64) for i in (2, 1, 0))
             parts.clear()
             order = trainer.rng.permutation(len(w))
             for i in range(0, len(w), BATCH):
                 k = order[i : i + BATCH]
                 trainer.batch(a[k], b[k], w[k])
 
+        def done():
+            if parts:
+                drain()
+            out = trainer.state()
+            cuts = range(0, len(out), SLICE)
+            n = len(cuts)
+            columns = [[cell] * n, [i // SLICE for i in cuts], [trainer.seen] * n]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([out[i : i + SLICE].tobytes() for i in cuts], pa.binary())], ["cell", "slice", "seen", "data"])
+
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                words = tokens(text.as_py() or b"")
-                words.append(END)
-                w = _classes(words, place, kind)[1].astype(np.int64)
-                c = np.concatenate([[0, 0], w])
-                parts.append((w, c[1:-1], c[:-2]))
-                held += len(w)
-                if held >= 32 * BATCH:
+            for c, outcomes in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if c != cell:
+                    if trainer is not None:
+                        yield done()
+                    trainer, cell, held = Trainer.resumed(state, noise, seed * 1_000_003 + c), c, 0
+                parts.append(np.frombuffer(outcomes.as_py(), "<u2"))
+                held += len(parts[-1]) - 2
+                if held >= 16 * BATCH:
                     drain()
                     held = 0
-        if held:
-            drain()
-        if trainer.seen:
-            out = trainer.p.flat().astype(np.float32)
-            cuts = range(0, len(out), SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array([i // SLICE for i in cuts], pa.int64()), pa.array([trainer.seen] * len(cuts), pa.int64()), pa.array([out[i : i + SLICE].tobytes() for i in cuts], pa.binary())], ["slice", "seen", "data"])
+        if trainer is not None:
+            yield done()
 
-    return run
+    return lean(run)
 
 
 def _averaged(t: pa.Table) -> pa.Table:
+    t = t.sort_by("cell")  # sums in one order, whatever the tasks were
     weight = t["seen"].to_numpy().astype(np.float64)
     total = 0.0
     for w, data in zip(weight, t["data"]):
@@ -310,21 +352,35 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, float]:
     return Vocabulary(words_, ns, sum(n for _, _, n in by_bin), sum(k for _, k, _ in by_bin), own, total, distinct), least
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, rounds: int = 1) -> DataFrame:
+def learnt(training: DataFrame, v: Vocabulary) -> np.ndarray:
+    """The model's parameters. ``training`` has text and key, a hash of the row."""
+    sc = training.sparkSession.sparkContext
+    state = Trainer(start(v), noise_of(v), 0).state()
+    replicas = int(min(REPLICAS, max(1, v.total // (ROUNDS * REPLICA_TOKENS))))
+    named = sc.broadcast((uuid.uuid4().hex, v, replicas))
+    for k in range(ROUNDS):
+        rows = training.where(F.pmod(F.xxhash64("key", F.lit("round")), F.lit(ROUNDS)) == k).select("key", "text")
+        dealt = rows.mapInArrow(_outcomes(named), "cell long, key long, outcomes binary").repartition(F.col("cell")).sortWithinPartitions("cell", "key", "outcomes")
+        shared = sc.broadcast((v, state))
+        trained = dealt.select("cell", "outcomes").mapInArrow(_trained(shared, k + 1), "cell long, slice long, seen long, data binary")
+        got = trained.groupBy("slice").applyInArrow(_averaged, "slice long, data binary").toArrow()
+        parts = sorted(zip(got["slice"].to_pylist(), got["data"].to_pylist()))
+        if parts:
+            state = np.concatenate([np.frombuffer(x, np.float32) for _, x in parts])
+        shared.unpersist()
+    return state[: len(state) - 4 * CLASSES]
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "lm")
     given = docs.select(F.col(id_col).alias("doc_id"), (fold_of(id_col, folds) == held).alias("held_out"), F.col(text_col).alias("text"))
-    training = given.where(~F.col("held_out")).select("text")
-    counts = scratch.write(training.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    training = given.where(~F.col("held_out")).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    counts = scratch.write(training.select("text").mapInArrow(lean(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     v, least = vocabulary(counts)
-    flat = start(v).flat()
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, v, flat))
-        learnt = training.mapInArrow(_trained(shared), "slice long, seen long, data binary").groupBy("slice").applyInArrow(_averaged, "slice long, data binary").toArrow()
-        got = sorted(zip(learnt["slice"].to_pylist(), learnt["data"].to_pylist()))
-        if got:
-            flat = np.concatenate([np.frombuffer(x, np.float32) for _, x in got])
+    flat = learnt(training, v)
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, v, flat))
     kind = given.schema["doc_id"].dataType.simpleString()
     parts = given.mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word: binary, n: int>>")

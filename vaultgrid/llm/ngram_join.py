@@ -219,6 +219,7 @@ class Stars:
     def __init__(self, members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int):
         self.rest, self.sets, self.scratch, self.percent = members, sets, scratch, percent
         self.links: list[DataFrame] = []
+        self.asked = 0
 
     def fits(self, n1: Column, n2: Column) -> Column:
         return F.lit(100) * F.least(n1, n2) >= F.lit(self.percent) * F.greatest(n1, n2)
@@ -232,9 +233,16 @@ class Stars:
         largest = n * (100 / self.percent)
         return (largest + np) / 3 + (n + largest) * ((100 - self.percent) / (100 + self.percent)) + 1e-6
 
+    def of(self, pairs: DataFrame, a: str, b: str, *columns: str) -> DataFrame:
+        """These columns of the sets that the pairs name, so that a join does not move all the others."""
+        self.asked += 1
+        ids = pairs.select(F.col(a).alias("cls")).union(pairs.select(F.col(b).alias("cls"))).distinct()
+        ids = self.scratch.write(ids, f"asked{self.asked}")
+        return known_in(self.sets.select("cls", *columns), ids, "cls", ids.count())
+
     def measured(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, p) with sizes, gap, ``linked``, ``near`` (of at least half of the union in common) and, within reach, the difference."""
-        sets = self.sets
+        sets = self.of(pairs, "a", "p", "tokens", "prefix1", "prefix2")
         left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"), F.col("prefix1").alias("a1"), F.col("prefix2").alias("a2")), "a")
         both = left.join(sets.select(F.col("cls").alias("p"), F.col("tokens").alias("tp"), F.col("prefix1").alias("p1"), F.col("prefix2").alias("p2")), "p")
         candidate = F.arrays_overlap("a1", "p1") & F.arrays_overlap("a2", "p2")
@@ -248,7 +256,8 @@ class Stars:
         """Links of two classes that meet in a star, one of them near its pivot and not both linked to it."""
         star = star.where(F.col("apart").isNotNull())
         open_ = star.groupBy("p").agg((~F.bool_and("linked") & (F.count("*") > 1)).alias("open")).where("open").select("p")
-        star = star.join(open_, "p").join(self.sets.select(F.col("cls").alias("a"), "prefix1", "prefix2"), "a")
+        star = self.scratch.write(star.join(open_, "p"), f"open{self.asked}")
+        star = star.join(self.of(star, "a", "a", "prefix1", "prefix2").withColumnRenamed("cls", "a"), "a")
         other = star.select("p", *(F.col(c).alias(f"{c}_2") for c in ("a", "n", "gap", "linked", "near", "apart", "prefix1", "prefix2")))
         total = F.col("n") + F.col("n_2")
         meet = (
@@ -262,11 +271,11 @@ class Stars:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link: prefixes meet under the other orders, then sets are compared."""
-        short = self.sets.select("cls", "prefix1", "prefix2")
+        short = self.of(pairs, "a", "b", "prefix1", "prefix2")
         left = pairs.join(short.select(F.col("cls").alias("a"), F.col("prefix1").alias("a1"), F.col("prefix2").alias("a2")), "a")
         met = left.join(short.select(F.col("cls").alias("b"), F.col("prefix1").alias("b1"), F.col("prefix2").alias("b2")), "b")
-        met = met.where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b")
-        sets = self.sets.select("cls", "n", "tokens")
+        met = self.scratch.write(met.where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b"), "met")
+        sets = self.of(met, "a", "b", "n", "tokens")
         full = met.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
         full = full.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
         total = F.col("na") + F.col("nb")
@@ -279,7 +288,7 @@ class Stars:
         pivots = self.scratch.write(pivots, f"pivots{k}")
         met = self.rest.join(pivots, "token").where(F.col("cls") != F.col("p"))
         pairs = met.where(F.abs(F.col("n") - F.col("pn")) <= self.reach(F.col("n"), F.col("pn"))).select(F.col("cls").alias("a"), "p", "n", "pn").distinct()
-        star = self.scratch.write(self.measured(pairs), f"star{k}")
+        star = self.scratch.write(self.measured(self.scratch.write(pairs, f"pairs{k}")), f"star{k}")
         self.links.append(star.where("linked").select("a", F.col("p").alias("b")))
         self.links.append(self.scratch.write(self.among(star), f"among{k}"))
         done = star.where("near").select(F.col("a").alias("cls"), "p")
@@ -303,7 +312,8 @@ class Stars:
         if rows:
             other = self.rest.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"))
             met = self.rest.join(other, "token").where((F.col("cls") < F.col("b")) & self.fits(F.col("n"), F.col("nb")))
-            self.links.append(self.scratch.write(self.verified(met.select(F.col("cls").alias("a"), "b").distinct()), "last"))
+            pairs = self.scratch.write(met.select(F.col("cls").alias("a"), "b").distinct(), "pairs")
+            self.links.append(self.scratch.write(self.verified(pairs), "last"))
         out = self.links[0]
         for x in self.links[1:]:
             out = out.unionByName(x)

@@ -203,7 +203,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y")).where(F.col("__id").isNotNull() & F.col("y").isNotNull() & (fold_of("__id", folds) != held))
     small_batches(docs.sparkSession)
     chosen = hashed_sample(marked.distinct(), F.xxhash64(F.col("__id")), ["__id", "y"], sample)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select("__id", F.col(text_col).alias("text"), "y")
+    given = docs.select(F.col(id_col).alias("__of"), F.col(text_col).alias("text"))
+    rows = given.join(F.broadcast(chosen), F.col("__of") == F.col("__id")).select("__id", "text", "y")
     rows = rows.groupBy("__id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")  # an id that repeats counts once
     got = rows.mapInArrow(lean(_features_of), "y double, x array<double>").toPandas()
     if not len(got):

@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir), with docs in the columns of the table
 ``documents``, and returns what it keeps, in the same columns; the last returns
 packed token pieces. ``run`` writes each stage's rows as Parquet to the shared
 scratch folder and reads them again for the next.
+
+In every stage columns beyond those of ``documents`` are left out, whatever
+their names; an empty table gives an empty one; null lang, source or n_chars
+change nothing but the source that a row is mixed in.
 """
 
 from __future__ import annotations
@@ -22,7 +26,11 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as label 1; it learns from the labelled ones."""
+    """Documents that the quality classifier predicts as label 1; it learns from the labelled ones.
+
+    Null and empty texts are scored like any other; repeated rows go or stay
+    together; a score of exactly 0.5 stays. Without labels all score alike.
+    """
     model = quality_gam.fit_on(docs, table(spark, sf_dir, "labels"))
     return quality_gam.with_quality(docs.select(*COLUMNS), model).where(F.col("predicted") == 1).select(*COLUMNS)
 
@@ -30,7 +38,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-copy group: the one with the smallest id, an id before null.
 
-    Wordless documents stay. A repeated row is a copy of itself and stays once.
+    Wordless documents stay. A repeated row is a copy of itself and stays once,
+    wordless ones too. Of different texts under the smallest id, one stays.
     """
     scratch = Scratch(spark, "copies")
     grouped = ngram_join.components(docs.select("doc_id", "text", F.xxhash64("text").alias("code")), k=NEAR_WORDS, percent=NEAR_PERCENT)
@@ -41,7 +50,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of passages that an earlier document has; emptied documents go."""
+    """Texts without the words of passages that an earlier document has; emptied documents go.
+
+    Null, empty and short texts stay as they are; a null id neither removes nor
+    loses words; rows that repeat id and text do not remove each other. n_chars
+    is counted anew where words went.
+    """
     cut = substring_dedup.dedup_substrings(docs.select(*COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     kept = cut.where((F.col("n_words") - F.col("n_removed") >= LEAST_WORDS) | (F.col("n_removed") == 0))
@@ -50,13 +64,17 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it.
+
+    Null and wordless texts add no words, however often they are taken; a null
+    source is a source; repeated rows are separate documents.
+    """
     taken = mixing.mix(docs.select(*COLUMNS)).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Token pieces with their sequence and offset; a null text is empty, one token; repeated rows are separate documents."""
     return packing.packed_documents(docs)
 
 

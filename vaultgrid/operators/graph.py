@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _shared(spark) -> str:
+def shared_dir(spark) -> str:
+    """The cluster's shared folder; one of our own only on a local master where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vaultgrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -26,7 +29,7 @@ def _shared(spark) -> str:
 def reach(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(src, dst, hops): every node reachable from src in one hop or more, src itself left out."""
     spark = edges.sparkSession
-    root = f"{_shared(spark)}/reach-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/reach-{uuid.uuid4().hex}"
     step = edges.select("src", "dst").where("src <> dst").distinct()
     step.withColumn("hops", F.lit(1)).write.parquet(f"{root}/1")
     step = spark.read.parquet(f"{root}/1").select("src", "dst")
@@ -89,3 +92,8 @@ def flows(ingress: DataFrame, nexus: DataFrame, egress: DataFrame) -> DataFrame:
 def hubs(edges: DataFrame) -> DataFrame:
     """Hub and spoke: consumers of each source, counted and listed in order."""
     return edges.groupBy(F.col("source_id").alias("hub")).agg(F.countDistinct("target_id").alias("consumers"), F.array_join(F.array_sort(F.collect_set("target_id")), ",").alias("spokes"))
+
+
+def algorithms(rows: DataFrame, node: str, algorithm: str) -> DataFrame:
+    """Each node's distinct algorithms, in order."""
+    return rows.groupBy(node).agg(F.array_join(F.array_sort(F.collect_set(algorithm)), ",").alias("algorithms"), F.countDistinct(algorithm).alias("n"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .graph import shared_dir
+
 KEPT_ON_UPDATE = ("created_at", "status")
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str = "id", kept: tuple[str, ...] = KEPT_ON_UPDATE) -> DataFrame:
-    """Changes win, except in ``kept`` columns of rows that are there; the last change of a key counts by its order of columns."""
+    """Changes win, except in ``kept`` columns of rows that are there; of several changes of a key the greatest by its columns in order counts."""
+    rest = [c for c in current.columns if c != key]
+    changes = changes.groupBy(key).agg(F.max(F.struct(*rest)).alias("__x")).select(key, *[F.col(f"__x.{c}").alias(c) for c in rest])
     new = changes.select(*[F.col(c).alias(f"__{c}") for c in current.columns])
     j = current.join(new, current[key] == new[f"__{key}"], "full_outer")
     there = F.col(key).isNotNull()
@@ -20,6 +25,40 @@ def upsert(current: DataFrame, changes: DataFrame, key: str = "id", kept: tuple[
     return j.select(*[pick(c).alias(c) for c in current.columns])
 
 
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with ``seq`` from 1 in a total order: range-sorted, then each row's place in its partition plus the sizes of those before it."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/numbered-{uuid.uuid4().hex}"  # written, so that both reads below see the same places
+    df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).write.parquet(folder)
+    placed = spark.read.parquet(folder)
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))  # a row for each partition
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__p", before.alias("__before"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(sizes), part == F.col("__p")).withColumn("seq", F.col("__before") + inside + 1).drop("__at", "__p", "__before")
+
+
+def newest(projects: DataFrame, by: str, n: int) -> DataFrame:
+    return projects.orderBy(F.desc(by), "id").limit(n)
+
+
+def by_key(rows: DataFrame, key: str, value) -> DataFrame:
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def with_scans(projects: DataFrame, scans: DataFrame) -> DataFrame:
+    """Projects with the status of their last scan and how many there are; one without scans keeps its own."""
+    last = scans.groupBy(F.col("project_id").alias("__id")).agg(F.max_by("status", "scan_id").alias("__status"), F.count("*").alias("scans"))
+    return projects.join(last, F.col("id") == F.col("__id"), "left").select("id", F.coalesce("__status", "status").alias("status"), F.coalesce("scans", F.lit(0)).cast("long").alias("scans"))
+
+
+def advisories(packages: DataFrame, feed: DataFrame, key: str) -> DataFrame:
+    """Packages with the first CVE alias that the advisory feed (key, alias) has for them."""
+    first = feed.where(F.col("alias").startswith("CVE-")).groupBy(key).agg(F.min("alias").alias("cve_id"))
+    return packages.join(first, key, "left")
+
+
 def update(current: DataFrame, key: str, value, changes: dict, allowed: set[str]) -> DataFrame:
     bad = set(changes) - allowed
     if bad:

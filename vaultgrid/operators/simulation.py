@@ -73,3 +73,9 @@ def estate(results: DataFrame) -> DataFrame:
     """One row: mean over positive probabilities, maximum, counts by category."""
     mean = F.round(F.coalesce(F.avg(F.when(F.col("breach") > 0, F.col("breach"))), F.lit(0.0)).cast("decimal(18,6)"), 3).cast("double")
     return results.agg(F.count("*").alias("assets"), mean.alias("mean_breach"), F.max("breach").alias("max_breach"), F.count_if(F.col("risk_category") == "CRITICAL").alias("critical"), F.count_if(F.col("risk_category") == "HIGH").alias("high"))
+
+
+def overridden(scores: DataFrame, simulated: DataFrame) -> DataFrame:
+    """Scores with ``risk``: the simulated category where there is one, else the level by rule."""
+    sim = simulated.select(F.col("asset_id").alias("__id"), "risk_category")
+    return scores.join(sim, F.col("asset_id") == F.col("__id"), "left").drop("__id").withColumn("risk", F.upper(F.coalesce("risk_category", "risk_level")))

@@ -182,7 +182,7 @@ def import_graph(spark, sf):
 
 def _stream_dirs(spark, sf) -> str:
     """A log folder of the events' trace lines, in the shared folder."""
-    root = f"{graph._shared(spark)}/trace-{uuid.uuid4().hex}"
+    root = f"{graph.shared_dir(spark)}/trace-{uuid.uuid4().hex}"
     _trace_lines(spark, sf).select("value").write.text(f"{root}/log")
     return root
 

@@ -164,7 +164,16 @@ def price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.nda
     return best, pick
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[dict[tuple, float], float]:
+def packed(config) -> bytes:
+    """A configuration, (place, times) of its lengths, in a few bytes: tens of thousands are held."""
+    return np.array(config, "<u2").tobytes()
+
+
+def unpacked(config: bytes) -> np.ndarray:
+    return np.frombuffer(config, "<u2").reshape(-1, 2)
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[dict[bytes, float], float]:
     """A fractional solution of the configuration LP within the demand, and a lower bound of sequences from its dual.
 
     Multiplicative weights on the demands: a length's price is its tokens times a
@@ -175,13 +184,13 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[
     """
     covered, weight, bound = np.zeros(len(demand)), np.zeros(len(demand)), 0.0
     jitter = np.random.default_rng(0)
-    uses: dict[tuple, float] = defaultdict(float)
+    uses: dict[bytes, float] = defaultdict(float)
     for k in range(ROUNDS):
         live = np.flatnonzero(demand - covered > 1e-6 * demand)
         if not live.size:
             break
         due = min(1.0, (k + 1) / (0.95 * ROUNDS))
-        value = lengths[live] / capacity * np.exp(weight[live]) * (1 + 0.0005 * jitter.random(live.size))  # else ties always take the same fillers
+        value = lengths[live] / capacity * np.exp(weight[live]) * (1 + 0.002 * jitter.random(live.size))  # else ties always take the same fillers
         best, pick = price(value, lengths[live], capacity)
         if live.size == len(lengths):
             bound = max(bound, float(value @ demand / best[capacity]))
@@ -194,8 +203,8 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[
             if amount > 0:
                 for j, q in config:
                     covered[live[j]] += amount * q
-                uses[tuple((int(live[j]), q) for j, q in config)] += amount
-        weight = np.clip(2.0 * (due - covered / demand), -1.0, 1.0)
+                uses[packed([(live[j], q) for j, q in config])] += amount
+        weight = np.clip(due - covered / demand, -1.0, 1.0)
     return uses, bound
 
 
@@ -208,15 +217,10 @@ class Vertex:
         self.cost = 1.1 * lengths / capacity  # of a basic slack; a configuration costs 1
         self.pivots = 0
 
-    def column(self, config: tuple) -> np.ndarray:
-        out = np.zeros(len(self.lengths))
-        for i, q in config:
-            out[i] = q
-        return out
-
-    def move(self, config: tuple, x: float) -> None:
+    def move(self, config: bytes, x: float) -> None:
         """``config``, used ``x`` times so far, goes where less is left uncovered, until it or a basic one reaches zero."""
-        w = self.inverse[:, [i for i, _ in config]] @ np.array([q for _, q in config], float)
+        pairs = unpacked(config)
+        w = self.inverse[:, pairs[:, 0]] @ pairs[:, 1].astype(float)
         up = 1.0 - self.cost @ w < -1e-9
         if not up and not x:
             return
@@ -232,19 +236,22 @@ class Vertex:
         self.level[out] = x + (step if up else -step)
         self.basic[out], self.cost[out] = config, 1.0
         row = self.inverse[out] / w[out]
-        some = np.flatnonzero(np.abs(w) > 1e-12)
-        self.inverse[some] -= w[some, None] * row
+        for some in np.array_split(np.flatnonzero(np.abs(w) > 1e-12), 8):  # in parts: copies stay small
+            self.inverse[some] -= w[some, None] * row
         self.inverse[out] = row
         self.pivots += 1
         if self.pivots % 300 == 0:
-            self.inverse = np.linalg.inv(np.stack([np.eye(len(row))[i] if c is None else self.column(c) for i, c in self._places()], axis=1))
-
-    def _places(self):
-        free = iter(self.slacks())
-        return [(next(free), c) if c is None else (0, c) for c in self.basic]
-
-    def slacks(self) -> list[int]:
-        return [i for i, c in enumerate(self.basic) if c is None]  # a slack never comes back, so it stands at its own length
+            self.inverse = np.linalg.inv(self.matrix())
+
+    def matrix(self) -> np.ndarray:
+        out = np.zeros((len(self.lengths), len(self.lengths)))
+        for place, config in enumerate(self.basic):
+            if config is None:
+                out[place, place] = 1.0  # a slack never comes back, so it stands at its own length
+            else:
+                pairs = unpacked(config)
+                out[pairs[:, 0], place] = pairs[:, 1]
+        return out
 
 
 def configuration(first: int, pick: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple:
@@ -258,12 +265,12 @@ def configuration(first: int, pick: np.ndarray, lengths: np.ndarray, capacity: i
     return tuple(sorted(config.items()))
 
 
-def vertex(uses: dict[tuple, float], lengths: np.ndarray, demand: np.ndarray, capacity: int) -> dict[tuple, float]:
+def vertex(uses: dict[bytes, float], lengths: np.ndarray, demand: np.ndarray, capacity: int) -> dict[bytes, float]:
     """The solution moved to a vertex, one configuration at a time."""
     covered = np.zeros(len(lengths))
     for c, x in uses.items():
-        for i, q in c:
-            covered[i] += x * q
+        pairs = unpacked(c)
+        covered[pairs[:, 0]] += x * pairs[:, 1]
     at = Vertex(lengths, np.maximum(demand - covered, 0.0), capacity)
     for c in sorted(uses, key=lambda c: (uses[c], c)):
         at.move(c, uses[c])
@@ -280,7 +287,7 @@ def configuration_lp(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[
     demand = np.array([need[n] for n in lengths.tolist()], float)
     uses, bound = fractional(lengths, demand, capacity)
     found = vertex(uses, lengths, demand, capacity)
-    return {tuple((int(lengths[i]), q) for i, q in c): v for c, v in found.items()}, whole + bound
+    return {tuple((int(lengths[i]), q) for i, q in unpacked(c).tolist()): v for c, v in found.items()}, whole + bound
 
 
 def rounded(uses: dict[tuple, float], counts: dict[int, int], up: float) -> list[tuple[tuple, int]]:

@@ -69,3 +69,50 @@ def test_entry_works_without_the_training_operators(tmp_path):
 def test_map_lookup(spark):
     lines = spark.createDataFrame([(1, '{"bom-ref":"A","name":"X","properties":[{"name":"k","value":"1"},{"name":"k","value":"2"}]}')], "asset_seq long, line string")
     assert documents.properties(lines).select(F.col("p")["k"].alias("v")).first()["v"] == "1"
+
+
+POM = """<project><parent><groupId>com.acme</groupId><version>9</version></parent><artifactId>app</artifactId>
+<properties><java.version>17</java.version><java-version>x</java-version><bc.v>${major}.2</bc.v><major>1</major></properties>
+<dependencyManagement><dependencies><dependency><groupId>org.jasypt</groupId><artifactId>jasypt</artifactId><version>${bc.v}</version></dependency></dependencies></dependencyManagement>
+<dependencies><dependency><groupId>org.bouncycastle</groupId><artifactId>bcprov-jdk18on</artifactId><version>${bc.v}-jdk${java.version}</version></dependency>
+<dependency><groupId>org.jasypt</groupId><artifactId>jasypt</artifactId></dependency>
+<dependency><groupId>com.acme</groupId><artifactId>core</artifactId><version>${project.version}</version></dependency>
+<dependency><groupId>x</groupId><artifactId>y</artifactId><version>${missing}</version></dependency></dependencies></project>"""
+
+
+def test_maven_placeholders_managed_versions_and_own_modules(spark):
+    got = {r["package"]: r["version"] for r in texts.maven(files(spark, ("pom.xml", POM))).collect()}
+    assert got == {"org.bouncycastle:bcprov-jdk18on": "1.2-jdk17", "org.jasypt:jasypt": "1.2", "x:y": "managed"}
+
+
+def test_a_module_without_facts_is_local(spark):
+    both = files(spark, ("pkg/shared.py", "X = 1"), ("app.py", "import pkg.shared"))
+    assert [tuple(r) for r in python_code.import_edges(python_code.python_facts(both), both).collect()] == [("shared", "app")]
+
+
+def test_journal_folds_every_action(spark):
+    journal = spark.createDataFrame([(i, "b", "a", now) for i, now in ((1, "a"), (2, "b"), (3, "a"), (4, "b"), (5, "b"))], "tx_id int, sha_before string, sha_after string, sha_now string")
+    steps = {1: ["undo"], 2: ["undo", "redo"], 3: ["undo", "redo", "undo"], 4: ["redo"], 5: ["undo", "undo"]}
+    actions = spark.createDataFrame([(k, i, a) for k, v in steps.items() for i, a in enumerate(v)], "tx_id int, pos int, action string")
+    assert {r["tx_id"]: r["state"] for r in registry.journal_state(journal, actions).collect()} == {1: "REVERTED", 2: "APPLIED", 3: "REVERTED", 4: "REFUSED", 5: "REFUSED"}
+
+
+def test_knapsacks_are_the_same_without_the_items_that_cannot_count(spark):
+    import numpy as np
+
+    from vaultgrid.operators import portfolio
+
+    rng = np.random.default_rng(4)
+    rows = [("p", i, f"A{i}", float(v), float(c), round(float(v / c), 3)) for i, (v, c) in enumerate(zip(rng.integers(0, 9, 400), rng.integers(1, 6, 400) / 2))]
+    items = spark.createDataFrame(rows, "portfolio string, asset_seq long, asset_id string, delta_r double, cost_dev_weeks double, efficiency double")
+    kept = portfolio.optimal(items, "portfolio", 10.0).where("is_selected")
+    order = sorted((r for r in rows if r[3] > 0), key=lambda r: (-r[5], -r[3], r[4], r[1]))
+    chosen = portfolio.knapsack(np.array([round(r[4] * 100) for r in order]), np.array([r[3] for r in order]), 1000)
+    assert sorted(r["asset_seq"] for r in kept.collect()) == sorted(r[1] for r, c in zip(order, chosen) if c)
+    spent, ids = 0, []
+    for r in order:
+        if spent + round(r[4] * 100) <= 1000:
+            spent, ids = spent + round(r[4] * 100), [*ids, r[2]]
+    got = portfolio.greedy(items, "portfolio", 10.0).first()
+    assert (got["weeks"], got["asset_ids"]) == (spent / 100, ",".join(ids))
+    assert portfolio.contenders(items, "portfolio", 1000, "asset_seq").count() < 60

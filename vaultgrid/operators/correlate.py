@@ -2,7 +2,7 @@
 
 Matches are expressed as equi keys wherever the rule allows; a substring rule
 joins a dimension that is broadcast only within a counted bound, and beyond it
-is met through its words.
+the operator refuses.
 """
 
 from __future__ import annotations
@@ -37,11 +37,21 @@ def band_join(left: DataFrame, right: DataFrame, file: str, line: str, other_lin
     return first_match(l, r, on, key, order).drop("__b", "__bucket", "__file")
 
 
+def first_inference(assets: DataFrame, inferences: DataFrame, line: str, variable: str, order: str, width: int = 5) -> DataFrame:
+    """Assets, each with the first inference of its file that is within ``width`` lines or whose variable stands in the matched code."""
+    inf = inferences.withColumnRenamed("file_path", "__file")
+    named = (F.col(variable) != "") & F.contains(F.col("matched_code"), F.col(variable))
+    on = (F.col("file_path") == F.col("__file")) & ((F.abs(F.col("line_number") - F.col(line)) <= width) | named)
+    rest = [c for c in inf.columns if c not in (order, "__file")]
+    met = assets.select("asset_id", "file_path", "line_number", "matched_code").join(inf, on).groupBy("asset_id").agg(F.min(F.struct(order, *rest)).alias("__x"))
+    return assets.join(met.withColumnRenamed("asset_id", "__id"), F.col("asset_id") == F.col("__id"), "left").select(*assets.columns, *[F.col(f"__x.{c}").alias(c) for c in (order, *rest)])
+
+
 def contained_first(left: DataFrame, dim: DataFrame, texts: list[str], word: str, key: str, order: str, bound: int = SMALL) -> DataFrame:
     """Left rows with the first dimension row whose ``word`` stands in one of the texts."""
     n = dim.count()
     if n > bound:
-        raise ValueError(f"{n} rows to look for in texts; the bound is {bound}: look them up by words instead")
+        raise ValueError(f"{n} rows to look for in texts; the bound is {bound}")
     on = None
     for t in texts:
         one = F.contains(F.lower(left[t]), F.lower(dim[word]))
@@ -51,6 +61,9 @@ def contained_first(left: DataFrame, dim: DataFrame, texts: list[str], word: str
 
 def longest_contained(left: DataFrame, dim: DataFrame, text: str, word: str, key: str) -> DataFrame:
     """Exact match first, else the longest word contained (ties by the word)."""
+    n = dim.count()
+    if n > SMALL:
+        raise ValueError(f"{n} rows to look for in texts; the bound is {SMALL}")
     d = F.broadcast(dim)
     exact = left.join(d, left[text] == dim[word], "left")
     rest = exact.where(F.col(word).isNull()).select(*left.columns)

@@ -50,10 +50,24 @@ def knapsack(weight: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray
     return chosen
 
 
+def contenders(items: DataFrame, by: str, grid: int, seq: str) -> DataFrame:
+    """Items that a knapsack of ``grid`` hundredths can take: of each weight, the first in order that fit together.
+
+    Any later item of a weight could be exchanged for one of these at no loss, so
+    neither the exact nor the greedy choice ever takes it. What is left of a
+    portfolio is at most about ``grid * ln(grid)`` items, however many it has.
+    """
+    weight = F.greatest(F.lit(1), F.round(F.col("cost_dev_weeks") * 100).cast("long"))
+    ranked = items.where("delta_r > 0").withColumn("__w", weight)
+    at = F.row_number().over(W.partitionBy(by, "__w").orderBy(*_order(seq)))
+    return ranked.withColumn("__n", at).where(F.col("__n") <= grid).where(F.col("__n") * F.col("__w") <= grid).drop("__n", "__w")
+
+
 def optimal(items: DataFrame, by: str, budget: float, seq: str = "asset_seq") -> DataFrame:
     """Adds is_selected: the exact optimum of each portfolio on a grid of 0.01 weeks."""
     grid = max(0, round(budget * 100))
-    schema = T.StructType([*items.schema.fields, T.StructField("is_selected", T.BooleanType())])
+    kinds = {f.name: f for f in items.schema.fields}
+    schema = T.StructType([kinds[by], kinds[seq]])
 
     def solve(t: pa.Table) -> pa.Table:
         value, cost = t["delta_r"].to_numpy(), t["cost_dev_weeks"].to_numpy()
@@ -62,9 +76,11 @@ def optimal(items: DataFrame, by: str, budget: float, seq: str = "asset_seq") ->
         out = np.zeros(len(value), bool)
         if len(live) and grid:
             out[live] = knapsack(np.maximum(1, np.rint(cost[live] * 100).astype(np.int64)), value[live], grid)
-        return t.append_column("is_selected", pa.array(out))
+        return t.select([by, seq]).filter(pa.array(out))
 
-    return items.groupBy(by).applyInArrow(solve, schema)
+    live = contenders(items, by, grid, seq).select(by, seq, "delta_r", "cost_dev_weeks", "efficiency")
+    taken = live.groupBy(by).applyInArrow(solve, schema).select(F.col(by).alias("__by"), F.col(seq).alias("__seq"))
+    return items.join(taken, (F.col(by) == F.col("__by")) & (F.col(seq) == F.col("__seq")), "left").withColumn("is_selected", F.col("__seq").isNotNull()).drop("__by", "__seq")
 
 
 def greedy(items: DataFrame, by: str, budget: float, seq: str = "asset_seq") -> DataFrame:
@@ -77,5 +93,7 @@ def greedy(items: DataFrame, by: str, budget: float, seq: str = "asset_seq") ->
         F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<string>").alias("ids")),
         lambda acc, x: F.when(acc["spent"] + cents(x) <= round(budget * 100), F.struct((acc["spent"] + cents(x)).alias("spent"), F.array_append(acc["ids"], x["id"]).alias("ids"))).otherwise(acc),
     )
-    out = items.groupBy(by).agg(fold.alias("f"))
-    return out.select(by, (F.col("f.spent") / 100).alias("weeks"), F.size("f.ids").cast("long").alias("selected"), F.array_join("f.ids", ",").alias("asset_ids"))
+    made = contenders(items, by, round(budget * 100), seq).groupBy(F.col(by).alias("__by")).agg(fold.alias("f"))
+    out = items.select(by).distinct().join(made, F.col(by) == F.col("__by"), "left")
+    nothing = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<string>").alias("ids"))
+    return out.withColumn("f", F.coalesce("f", nothing)).select(by, (F.col("f.spent") / 100).alias("weeks"), F.size("f.ids").cast("long").alias("selected"), F.array_join("f.ids", ",").alias("asset_ids"))

@@ -105,15 +105,21 @@ def line_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def journal_state(journal: DataFrame, actions: DataFrame) -> DataFrame:
-    """State of each transaction after its last undo or redo, refused where the file's checksum moved on.
+    """State of each transaction after all its undos and redos, refused where the last is out of turn or the file's checksum moved on.
 
-    ``journal``: tx_id, sha_before, sha_after, sha_now; ``actions``: tx_id, pos, action.
+    ``journal``: tx_id, sha_before, sha_after, sha_now; ``actions``: tx_id, pos,
+    action. An undo needs an applied transaction and a redo a reverted one;
+    actions out of turn before the last change nothing.
     """
-    last = actions.groupBy("tx_id").agg(F.max_by("action", "pos").alias("action"))
-    j = journal.join(last, "tx_id", "left")
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("pos", "action"))), lambda x: x["action"])
+    turned = actions.groupBy("tx_id").agg(steps.alias("steps"))
+    j = journal.join(turned, "tx_id", "left").withColumn("action", F.element_at("steps", -1))
+    turn = lambda on, a: F.when(on & (a == "undo"), False).when(~on & (a == "redo"), True).otherwise(on)
+    on = F.aggregate(F.slice("steps", 1, F.greatest(F.size("steps") - 1, F.lit(0))), F.lit(True), turn)
     state = (
-        F.when(F.col("action").isNull() | ((F.col("action") == "redo") & (F.col("sha_now") == F.col("sha_before"))), "APPLIED")
-        .when((F.col("action") == "undo") & (F.col("sha_now") == F.col("sha_after")), "REVERTED")
+        F.when(F.col("action").isNull(), "APPLIED")
+        .when((F.col("action") == "redo") & ~on & (F.col("sha_now") == F.col("sha_before")), "APPLIED")
+        .when((F.col("action") == "undo") & on & (F.col("sha_now") == F.col("sha_after")), "REVERTED")
         .otherwise("REFUSED")
     )
     return j.select("tx_id", "action", state.alias("state"))

@@ -187,13 +187,14 @@ def endpoints(spark, sf):
 
 
 @query(
-    f"""WITH {ASSETS_SQL}, inf AS (SELECT event_id, 'svc' || (user_id % 40) || '/src/mod_' || (event_id % 300) || '.py' AS file_path, CAST(event_id % 500 + 1 AS INTEGER) AS inf_line, event_type FROM events)
-    SELECT asset_id, event_id, event_type, inf_line FROM assets a LEFT JOIN inf ON a.file_path = inf.file_path AND abs(a.line_number - inf_line) <= 60
+    f"""WITH {ASSETS_SQL}, a AS (SELECT *, ['click()', 'purchase(x)', 'h = view', ''][asset_seq % 4 + 1] AS matched_code FROM assets), inf AS (SELECT event_id, 'svc' || (user_id % 40) || '/src/mod_' || (event_id % 300) || '.py' AS file_path, CAST(event_id % 500 + 1 AS INTEGER) AS inf_line, event_type FROM events)
+    SELECT asset_id, event_id, event_type, inf_line FROM a LEFT JOIN inf ON a.file_path = inf.file_path AND (abs(a.line_number - inf_line) <= 5 OR contains(matched_code, event_type))
     QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY event_id NULLS LAST) = 1"""
 )
 def nearest_inference(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.concat(F.lit("svc"), (F.col("user_id") % 40).cast("string"), F.lit("/src/mod_"), (F.col("event_id") % 300).cast("string"), F.lit(".py")).alias("file_path"), (F.col("event_id") % 500 + 1).cast("int").alias("inf_line"), "event_type")
-    return correlate.band_join(estate.assets(spark, sf), e, "file_path", "line_number", "inf_line", 60, "asset_id", ["event_id"]).select("asset_id", "event_id", "event_type", "inf_line")
+    a = estate.assets(spark, sf).withColumn("matched_code", estate.pick(["click()", "purchase(x)", "h = view", ""], F.col("asset_seq") % 4))
+    return correlate.first_inference(a, e, "inf_line", "event_type", "event_id").select("asset_id", "event_id", "event_type", "inf_line")
 
 
 @query(
@@ -345,12 +346,12 @@ def _edges(spark, sf) -> DataFrame:
     node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     a = table(spark, sf, "nation").select(node("R", "n_regionkey").alias("src"), node("N", "n_nationkey").alias("dst"))
     b = table(spark, sf, "supplier").select(node("N", "s_nationkey").alias("src"), node("S", "s_suppkey").alias("dst"))
-    c = table(spark, sf, "lineitem").where("l_suppkey % 10 = 0").select(node("S", "l_suppkey").alias("src"), node("P", "l_partkey").alias("dst")).distinct()
+    c = table(spark, sf, "lineitem").select(node("S", "l_suppkey").alias("src"), node("P", "l_partkey").alias("dst")).distinct()
     return a.unionByName(b).unionByName(c)
 
 
 _EDGES = """e AS (SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst FROM nation UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier
-  UNION ALL SELECT DISTINCT 'S' || l_suppkey, 'P' || l_partkey FROM lineitem WHERE l_suppkey % 10 = 0)"""
+  UNION ALL SELECT DISTINCT 'S' || l_suppkey, 'P' || l_partkey FROM lineitem)"""
 _CLOSURE = _EDGES + ", c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src), n AS (SELECT src AS node_id FROM e UNION SELECT dst FROM e)"
 
 

@@ -126,10 +126,10 @@ _RULES = [("weak-hash", [("hashlib.md5", "hashlib.sha256"), ("hashlib.sha1", "ha
 @query(
     """WITH b AS (SELECT 'p' || s_suppkey || '/m.py' AS path, 'import hashlib' || chr(10) || 'a = hashlib.md5(x)' || chr(10) || 'b = hashlib.md5(y)' || chr(10) || 'c = hashlib.sha1(z)' || chr(10) || 'key = 1024' || chr(10) || '# ' || s_suppkey AS c FROM supplier),
     r AS (SELECT path, 'weak-hash' AS rule, 3 AS changes, replace(replace(c, 'hashlib.md5', 'hashlib.sha256'), 'hashlib.sha1', 'hashlib.sha256') AS n, c FROM b UNION ALL SELECT path, 'key-size', 1, replace(c, '1024', '3072'), c FROM b)
-    SELECT path, rule, CAST(changes AS INTEGER) AS changes, sha256(c) AS sha_before, sha256(n) AS sha_after FROM r WHERE path <> 'p1024/m.py'"""
+    SELECT path, rule, CAST(CASE WHEN rule = 'key-size' THEN (length(c) - length(replace(c, '1024', ''))) // 4 ELSE changes END AS INTEGER) AS changes, sha256(c) AS sha_before, sha256(n) AS sha_after FROM r"""
 )
 def patch_plan(spark, sf):
-    files = _files(spark, sf, F.concat(F.lit(_BODY + "# "), F.col("s_suppkey").cast("string")), "m.py", "s_suppkey <> 1024")
+    files = _files(spark, sf, F.concat(F.lit(_BODY + "# "), F.col("s_suppkey").cast("string")), "m.py")
     return registry.patches(files, _RULES).select("path", "rule", "changes", "sha_before", "sha_after")
 
 
@@ -173,8 +173,9 @@ def buffer_hazards(spark, sf):
 def import_graph(spark, sf):
     k = F.col("s_suppkey").cast("string")
     mods = table(spark, sf, "supplier").select(F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), F.lit("import hashlib\nimport pkg.shared\n").alias("content"))
-    shared = table(spark, sf, "region").limit(1).select(F.lit("src/shared.py").alias("path"), F.lit("import os\n").alias("content"))
-    return python_code.import_edges(python_code.python_facts(mods.unionByName(shared)))
+    shared = spark.createDataFrame([("src/shared.py", "X = 1\n")], "path string, content string")  # a module that says nothing else
+    files = mods.unionByName(shared)
+    return python_code.import_edges(python_code.python_facts(files), files)
 
 
 # ------------------------------------------------------------- streams

@@ -116,3 +116,62 @@ def test_knapsacks_are_the_same_without_the_items_that_cannot_count(spark):
     got = portfolio.greedy(items, "portfolio", 10.0).first()
     assert (got["weeks"], got["asset_ids"]) == (spent / 100, ",".join(ids))
     assert portfolio.contenders(items, "portfolio", 1000, "asset_seq").count() < 60
+
+
+def found(source, language):
+    from vaultgrid.sources import token_scan
+
+    return [(line, algorithm, origin, key) for line, _, _, algorithm, _, _, origin, key, _ in token_scan.scan(source, language)]
+
+
+def test_java_constants_comments_and_misuse():
+    source = """import javax.crypto.*;
+class A { static final String ALG = "AES" + "/ECB/" + "PKCS5Padding"; // Cipher.getInstance("DES")
+ void f(String p) { Cipher c = Cipher.getInstance(A.ALG); Mac.getInstance(p);
+ new Random(); new PBEKeySpec(pw, salt, 100); new PBEKeySpec(pw, salt, 200000);
+ ks.load(in, "secret".toCharArray()); ks.load(in, pw);
+ String u = "http://x.com", v = "http://www.w3.org/x";
+ /* new Socket() */ new Socket(h, 1); new SecretKeySpec("k".getBytes(), "AES"); new SecretKeySpec(raw, "AES");
+ KeyPairGenerator.getInstance("DSA"); SSLContext.getInstance("TLSv1.2"); } }"""
+    assert [(line, a) for line, a, _, _ in found(source, "java")] == [
+        (3, "AES-ECB"), (3, "DYNAMIC_UNRESOLVED"), (4, "UNTRUSTED-PRNG"), (4, "PBE-WEAK-ITERATION"), (5, "PREDICTABLE-KEYSTORE-PASSWORD"), (6, "CLEARTEXT-HTTP"), (7, "UNENCRYPTED-SOCKET"), (7, "PREDICTABLE-KEY"), (8, "DSA"), (8, "TLSV1.2"),
+    ]
+
+
+def test_script_arguments_tell_where_they_come_from():
+    source = "a = createHash(process.env.H || 'md5')\nb = crypto.createHash(config.get('h'))\nc = crypto.createHash(row.alg)\nd = crypto.createHash('sha' + '-256'.trim())\ne = crypto.createHash(x)\nlet x = 'md5'; x = 'sha1'\nforge.pki.rsa.generateKeyPair({bits: 4096}); ml_kem768.keygen(); jwt.sign(t)"
+    assert found(source, "javascript") == [
+        (1, "MD5", "ENV", "H"), (2, "DYNAMIC_UNRESOLVED", "CONFIG", "h"), (3, "DYNAMIC_UNRESOLVED", "DATABASE", "row.alg"), (4, "SHA-256", "STATIC", ""), (5, "DYNAMIC_UNRESOLVED", "PARAMETER", "x"),
+        (7, "RSA-4096", "STATIC", ""), (7, "ML-KEM-768", "STATIC", ""), (7, "JWT-HMAC-SHA256", "STATIC", ""),
+    ]
+
+
+def test_go_rust_and_ruby():
+    assert [a for _, a, _, _ in found('package m\nimport d "crypto/des"\nimport "fmt"\nfunc f() { d.NewCipher(k); fmt.Print(1) }', "go")] == ["crypto/des.NewCipher"]
+    assert [a for _, a, _, _ in found("use curve25519_dalek::ristretto::X;\nuse sha2::Sha512;\nstruct U2048(u8);\nconst LWE_Q: u32 = 1;", "rust")] == ["RISTRETTO255", "SHA-512", "RSA-2048", "LWE-2048"]
+    ruby = "c = OpenSSL::Cipher.new('aes-128-cbc')\nd = OpenSSL::Digest::SHA1.new # OpenSSL::Cipher.new('des')\nOpenSSL::HMAC.hexdigest('sha256', k, x)\nOpenSSL::KDF.hkdf(k)\nBCrypt::Password.create(p)\nJWT.encode(p, k, 'RS256')\nActiveSupport::MessageEncryptor.new(k)"
+    assert [a for _, a, _, _ in found(ruby, "ruby")] == ["AES-128-CBC", "SHA-1", "HMAC-SHA-256", "HKDF", "BCRYPT", "JWT-RS256", "AES-256-GCM"]
+
+
+def test_code_scan_takes_odd_files(spark):
+    from vaultgrid.sources import token_scan
+
+    odd = files(spark, ("a.java", None), ("b.js", ""), ("c.go", "crypto \"unclosed"), ("d.py", "crypto"), ("e.rb", "OpenSSL::" * 2000), ("f.ts", "crypto.createHash(" * 2000))
+    assert {r["path"] for r in token_scan.code_findings(odd).collect()} <= {"f.ts"}
+
+
+def test_registered_signatures_replace_and_come_last(spark):
+    from vaultgrid.operators import lookups
+
+    dim = lookups.signatures(spark).select("ord", "id", "symbol")
+    new = spark.createDataFrame([("go.crypto.md5.new", "Other"), ("zz", "New")], "id string, symbol string")
+    got = {r["id"]: (r["ord"], r["symbol"]) for r in lookups.register(dim, new).collect()}
+    assert len(got) == 47 and got["go.crypto.md5.new"] == (46, "Other") and got["zz"] == (47, "New")
+
+
+def test_weakness_of_nothing_known(spark):
+    from vaultgrid.operators import lookups
+
+    rows = spark.createDataFrame([(1, None, "x"), (2, "", "GOST"), (3, "nothing", "uses 3DES")], "id int, cwe string, name string")
+    got = lookups.weakness_of(rows, lookups.weaknesses(spark), ["cwe", "name"])
+    assert {r["id"]: r["cwe_id"] for r in got.collect()} == {1: None, 2: None, 3: "CWE-327"}

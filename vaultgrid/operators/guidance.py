@@ -18,6 +18,11 @@ STANDARD = {
 }
 
 
+def broken_name(algorithm: Column) -> Column:
+    """Whether a name stands for something broken or misused."""
+    return rules.has_any(F.upper(algorithm), BROKEN_NAMES)
+
+
 def _in(name: Column, *words: str) -> Column:
     return rules.has_any(name, list(words))
 

@@ -363,6 +363,18 @@ def test_substrings_with_clashing_columns(spark):
     assert sorted((r["doc_id"], r["starts"], r["n_removed"]) for r in got.collect()) == [(1, 5, 0), (2, 6, 80)]
 
 
+@pytest.mark.parametrize("module, name, sql", [(substring_dedup, "op9_substring_dedup", substring_dedup.OP9_SQL), (ngram_join, "op10_ngram_jaccard", ngram_join.OP10_SQL)])
+def test_duplicates_match_sql(spark, module, name, sql):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    cur = con.execute(sql)
+    names = [d[0] for d in cur.description]
+    got = getattr(module, name)(spark, folder)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(str(tuple(r[c] for c in names)) for r in got.collect()) == sorted(str(tuple(r)) for r in cur.fetchall())
+
+
 def brute_components(rows):
     sets = []
     for i, t, *_ in rows:

@@ -7,12 +7,12 @@ from .line_rules import OP5_SQL, op5_line_frequency
 from .lm_score import op1_nce_scoring
 from .mixing import op3_entropy_mix
 from .multi_index import op6_multi_index
-from .ngram_join import op10_ngram_jaccard
+from .ngram_join import OP10_SQL, op10_ngram_jaccard
 from .packing import op4_config_packing
 from .quality_gam import op8_quality_gam
-from .substring_dedup import op9_substring_dedup
+from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_nce_scoring, op2_url_filter, op3_entropy_mix, op4_config_packing, op5_line_frequency, op6_multi_index, op7_html_density, op8_quality_gam, op9_substring_dedup, op10_ngram_jaccard)}
 
-ORACLES = {"op2_url_filter": OP2_SQL, "op5_line_frequency": OP5_SQL}
+ORACLES = {"op2_url_filter": OP2_SQL, "op5_line_frequency": OP5_SQL, "op9_substring_dedup": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}

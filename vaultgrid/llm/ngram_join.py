@@ -382,3 +382,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+#: The same by SQL, on tables small enough for all pairs that share a shingle: links, and what a recursion over them reaches.
+OP10_SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [md5(array_to_string(ws, ' '))] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: md5(array_to_string(ws[i:i + 3], ' ')))) END AS sh FROM d),
+t AS (SELECT r, len(sh) AS n, unnest(sh) AS h FROM s),
+links AS (SELECT a.r AS a, b.r AS b FROM t a JOIN t b ON a.h = b.h AND a.r < b.r GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT r AS a, r AS b FROM s UNION SELECT reached.a, e.b FROM reached JOIN e ON reached.b = e.a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id FROM s JOIN reached ON reached.a = s.r JOIN s o ON o.r = reached.b GROUP BY s.r, s.doc_id, s.sh"""

@@ -265,12 +265,27 @@ def efficient_frontier(spark, sf):
     return portfolio.frontier(_items(spark, sf), "portfolio")
 
 
-@query()
+_LIVE = """ranked AS (SELECT *, greatest(1, CAST(round(cost_dev_weeks * 100) AS BIGINT)) AS cents, row_number() OVER (PARTITION BY portfolio ORDER BY efficiency DESC, delta_r DESC, cost_dev_weeks, asset_seq) AS n FROM items WHERE delta_r > 0)"""
+
+
+@query(
+    f"""WITH RECURSIVE {ITEMS_SQL}, {_LIVE}, dp AS (
+      SELECT DISTINCT portfolio, CAST(0 AS BIGINT) AS n, list_transform(range(0, {round(BUDGET * 100) + 1}), lambda c: {{'v': 0.0::DOUBLE, 'ids': ''}}) AS best FROM ranked
+      UNION ALL SELECT dp.portfolio, r.n, list_transform(range(0, {round(BUDGET * 100) + 1}), lambda c: CASE WHEN c >= r.cents AND best[c - r.cents + 1].v + r.delta_r > best[c + 1].v THEN {{'v': best[c - r.cents + 1].v + r.delta_r, 'ids': best[c - r.cents + 1].ids || ',' || r.asset_id || ','}} ELSE best[c + 1] END)
+      FROM dp JOIN ranked r ON r.portfolio = dp.portfolio AND r.n = dp.n + 1),
+    done AS (SELECT portfolio, best[{round(BUDGET * 100) + 1}].ids AS ids FROM dp QUALIFY row_number() OVER (PARTITION BY portfolio ORDER BY n DESC) = 1)
+    SELECT portfolio, asset_id, delta_r, cost_dev_weeks, coalesce(delta_r > 0 AND contains(ids, ',' || asset_id || ','), false) AS is_selected FROM items LEFT JOIN done USING (portfolio)"""
+)
 def optimal_portfolio(spark, sf):
     return portfolio.optimal(_items(spark, sf), "portfolio", BUDGET).select("portfolio", "asset_id", "delta_r", "cost_dev_weeks", "is_selected")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ITEMS_SQL}, {_LIVE}, g AS (
+      SELECT DISTINCT portfolio, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS spent, CAST([] AS VARCHAR[]) AS ids FROM items
+      UNION ALL SELECT g.portfolio, r.n, CASE WHEN spent + cents <= {round(BUDGET * 100)} THEN spent + cents ELSE spent END, CASE WHEN spent + cents <= {round(BUDGET * 100)} THEN list_append(ids, asset_id) ELSE ids END FROM g JOIN ranked r ON r.portfolio = g.portfolio AND r.n = g.n + 1)
+    SELECT portfolio, spent / 100 AS weeks, CAST(len(ids) AS BIGINT) AS selected, array_to_string(ids, ',') AS asset_ids FROM g QUALIFY row_number() OVER (PARTITION BY portfolio ORDER BY n DESC) = 1"""
+)
 def greedy_portfolio(spark, sf):
     return portfolio.greedy(_items(spark, sf), "portfolio", BUDGET)
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
 from vaultgrid.functions import rules
@@ -76,18 +77,20 @@ def test_reach_of_dag_and_cycle(spark):
     assert got["common"] == "SUPERSPREADER" and got["pay"] == "INTERMEDIARY" and got["alone"] == "CONSUMER"
 
 
-def test_merkle_of_odd_sizes(spark):
-    for n in (1, 2, 5, 7):
+@pytest.mark.parametrize("fold", [2, 10])
+def test_merkle_of_odd_sizes(spark, monkeypatch, fold):
+    monkeypatch.setattr(commitment, "FOLD", fold)
+    for n in (1, 2, 5, 7, 17, 21):
         digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
         level = digests
         while len(level) > 1:
             level = [hashlib.sha256(bytes.fromhex(a) + bytes.fromhex(b)).hexdigest() for a, b in zip(level[::2], level[1::2] + level[-1:] * (len(level) % 2))]
         leaves = spark.createDataFrame([(i, str(i), d) for i, d in enumerate(digests)], "idx long, asset_id string, digest string")
-        levels = commitment.tree(leaves, n)
-        assert levels[-1].first()["digest"] == level[0]
-        ok = commitment.proofs(leaves, levels).select(commitment.verified(F.col("digest"), F.col("path"), F.lit(level[0])).alias("ok"), commitment.verified(F.sha2("digest", 256), F.col("path"), F.lit(level[0])).alias("bad")).collect()
+        got = commitment.root(leaves, n).first()
+        assert (got["height"], got["root"]) == ((n - 1).bit_length(), level[0])
+        ok = commitment.proofs(leaves, n).select(commitment.verified(F.col("digest"), F.col("path"), F.lit(level[0])).alias("ok"), commitment.verified(F.sha2("digest", 256), F.col("path"), F.lit(level[0])).alias("bad")).collect()
         assert all(r["ok"] and not r["bad"] for r in ok) and len(ok) == n
-    assert commitment.tree(leaves, 0)[-1].first()["digest"] == "0" * 64
+    assert commitment.root(leaves, 0).first()["root"] == "0" * 64
 
 
 def test_band_join_first_match(spark):

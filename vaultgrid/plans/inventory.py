@@ -401,8 +401,8 @@ def simulated_risk(spark, sf):
 
 def _root_and_proofs(spark, sf):
     leaves = _leaf_rows(spark, sf)
-    levels = commitment.tree(leaves, leaves.count())
-    return levels[-1].first()["digest"], commitment.proofs(leaves, levels)
+    n = leaves.count()
+    return commitment.root(leaves, n).first()["root"], commitment.proofs(leaves, n)
 
 
 @query(f"WITH {ASSETS_SQL} SELECT asset_id, asset_seq % 10 <> 0 AS leaf_holds, asset_seq % 15 <> 7 AS path_holds FROM assets")

@@ -175,3 +175,54 @@ def test_weakness_of_nothing_known(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "", "GOST"), (3, "nothing", "uses 3DES")], "id int, cwe string, name string")
     got = lookups.weakness_of(rows, lookups.weaknesses(spark), ["cwe", "name"])
     assert {r["id"]: r["cwe_id"] for r in got.collect()} == {1: None, 2: None, 3: "CWE-327"}
+
+
+def test_a_new_language_can_be_added(spark):
+    from vaultgrid.sources import token_scan
+
+    def kotlin(source):
+        for i, chain, _ in source.chains():
+            if chain == "Crypto.weak":
+                yield i, token_scan.Found("kt", "MD5", "HASH")
+
+    got = token_scan.code_findings(files(spark, ("a.kt", "val x = Crypto.weak(1)"), ("b.js", "crypto.createHash('md5')")), {"kt": "kotlin"}, {"kotlin": kotlin}).collect()
+    assert sorted((r["path"], r["language"], r["algorithm"]) for r in got) == [("a.kt", "kotlin", "MD5"), ("b.js", "javascript", "MD5")]
+
+
+def test_scans_begin_and_end(spark):
+    projects, history = registry.empty_tables(spark)
+    projects = projects.unionByName(spark.createDataFrame([(1, "a", "p", "t0", None, True, 1, "IDLE"), (2, "b", "q", "t0", None, True, 1, "IDLE")], registry.PROJECTS))
+    projects, history = registry.begun(projects, history, 1, 7, "t1")
+    assert {r["id"]: r["status"] for r in projects.collect()} == {1: "SCANNING", 2: "IDLE"}
+    projects, history = registry.ended(projects, history, 7, "t2", "READY", 5, 1)
+    assert {r["id"]: (r["status"], r["last_scanned"]) for r in projects.collect()} == {1: ("READY", "t2"), 2: ("IDLE", None)}
+    assert [tuple(r)[3:] for r in history.collect()] == [("t2", "READY", 5, 1)]
+    after = projects.unionByName(projects.where("id = 2").withColumn("id", F.lit(3).cast("long")))
+    assert sorted(r["id"] for r in registry.changed(registry.empty_tables(spark)[0].unionByName(projects.where("id = 2")), after, "id", "status").collect()) == [1, 3]
+
+
+def test_artifacts_that_are_missing_or_broken(spark, tmp_path):
+    from vaultgrid.sources import artifacts
+
+    assert artifacts.artifact(spark, str(tmp_path / "none.json"), "a int").count() == 0
+    for name, text in (("p1", '{"a": 1}'), ("p2", '{"a": 2}')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "bill.json").write_text(text)
+    (tmp_path / "broken.json").write_text('{"a": ')
+    assert artifacts.artifact(spark, str(tmp_path / "broken.json"), "a int").count() == 0
+    assert sorted(tuple(r) for r in artifacts.projects(spark, str(tmp_path), "bill.json", "a int").collect()) == [(1, "p1"), (2, "p2")]
+    sheet = spark.createDataFrame([("s", 1, "T1", "c1", "A.java, B.java", "yes"), ("s", 2, "", "c2", "C.java", "no"), ("s", 3, "T2", "", "", ""), ("s", 4, "", "c3", "D.java", None)], "sheet string, line_no int, tier string, case string, files string, expected string")
+    assert sorted(tuple(r) for r in artifacts.ground_truth(sheet).collect()) == [("T1", "c1", "A.java", True), ("T1", "c1", "B.java", True), ("T1", "c2", "C.java", False), ("T2", "c3", "D.java", False)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from vaultgrid.__main__ import main
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "A.java").write_text('class A { Object f() { return Cipher.getInstance("DES/ECB/PKCS5Padding"); } }')
+    (tmp_path / "src" / "b.go").write_text('package m\nimport "crypto/sha256"\nfunc f() { sha256.New() }')
+    assert main(["list"]) == 0 and "risk_summary" in capsys.readouterr().out
+    assert main(["scan", str(tmp_path), "--fail-on", "critical"], spark) == 1
+    assert main(["scan", str(tmp_path), "--fail-on", "critical", "--max", "1", "--out", str(tmp_path / "out")], spark) == 0
+    assert sorted(r["algorithm"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["DES-ECB", "SHA-256"]
+    assert main(["run", "top_algorithms", "/root/testdata/sf0.001"], spark) == 0

@@ -97,3 +97,59 @@ def hubs(edges: DataFrame) -> DataFrame:
 def algorithms(rows: DataFrame, node: str, algorithm: str) -> DataFrame:
     """Each node's distinct algorithms, in order."""
     return rows.groupBy(node).agg(F.array_join(F.array_sort(F.collect_set(algorithm)), ",").alias("algorithms"), F.countDistinct(algorithm).alias("n"))
+
+
+#: The node that keys of wallets and environment files belong to.
+SERVICE = "backend-service"
+
+
+def built(imports: DataFrame, assets: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Edges (src, dst) of the dependency network, from a provider to what depends on it.
+
+    ``imports``: src, dst; ``assets``: file_path; ``dependencies``: package,
+    manifest_path, ecosystem. An organisation's authority provides its entities;
+    keys and environment files provide the service; a package provides the folder
+    that declares it, or the ecosystem's application.
+    """
+    parts = F.split("file_path", "/")
+    at = F.array_position(parts, "organizations").cast("int")  # from 1; 0: none
+    of = lambda i: F.get(parts, at + i)
+    entity = (at > 0) & of(2).isin("orderers", "peers", "users") & of(3).isNotNull()
+    key = (at == 0) & F.arrays_overlap(parts, F.array(F.lit("wallet"), F.lit("keys")))
+    env = (at == 0) & ~key & F.col("file_path").endswith(".env")
+    stem = F.regexp_extract("file_path", r"([^/]+?)(\.[^./]*)?$", 1)
+    src = F.when(entity, F.concat(of(1), F.lit("-ca"))).when(key, stem).when(env, ".env")
+    dst = F.when(entity, of(3)).when(key | env, SERVICE)
+    owned = assets.select(src.alias("src"), dst.alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    folder = F.regexp_extract("manifest_path", r"([^/]+)/[^/]+$", 1)
+    declared = dependencies.where("package <> ''").select(F.col("package").alias("src"), F.when(folder == "", F.concat("ecosystem", F.lit("-app"))).otherwise(folder).alias("dst"))
+    return imports.select("src", "dst").unionByName(owned).unionByName(declared).distinct()
+
+
+def resolved_r0(assets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``assets`` with r0: of the first node (ord, node_id, file_path, r0) that is named like the component or the file, or has its path; at least 1."""
+    stem = F.regexp_extract("file_path", r"([^/]+?)(\.[^./]*)?$", 1)
+    probes = assets.select("asset_id", F.explode(F.array_distinct(F.array(F.struct(F.lit("id").alias("k"), F.col("component_name").alias("v")), F.struct(F.lit("id").alias("k"), stem.alias("v")), F.struct(F.lit("path").alias("k"), F.col("file_path").alias("v"))))).alias("p")).select("asset_id", "p.k", "p.v")
+    names = nodes.select(F.lit("id").alias("k"), F.col("node_id").alias("v"), "ord", "r0").unionByName(nodes.select(F.lit("path").alias("k"), F.col("file_path").alias("v"), "ord", "r0")).where("v IS NOT NULL")
+    first = probes.join(names, ["k", "v"]).groupBy("asset_id").agg(F.min(F.struct("ord", "r0")).alias("x"))
+    found = first.select(F.col("asset_id").alias("__id"), F.col("x.r0").alias("__r0"))
+    return assets.drop("r0").join(found, F.col("asset_id") == F.col("__id"), "left").withColumn("r0", F.greatest(F.lit(1), F.coalesce("__r0", F.lit(1))).cast("long")).drop("__id", "__r0")
+
+
+def flow_tiers(nodes: DataFrame, edges: DataFrame, passes: int = 3) -> DataFrame:
+    """(node_id, tier) of nodes (node_id, superspreader, has_crypto): 0 for origins to 4 for the isolated.
+
+    After the first guess each pass moves a node behind the last one before it
+    that stands as far or farther, all nodes at once.
+    """
+    into = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("__in"))
+    out = edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("__out"))
+    rows = nodes.join(into, "node_id", "left").join(out, "node_id", "left").na.fill(0, ["__in", "__out"])
+    origin = F.col("superspreader") | F.contains("node_id", F.lit("-ca")) | ((F.col("__in") == 0) & (F.col("__out") > 0))
+    first = F.when(origin, 0).when(F.col("has_crypto"), 1).when((F.col("__in") > 0) & (F.col("__out") > 0), 2).when(F.col("__in") + F.col("__out") > 0, 3).otherwise(4)
+    tiers = rows.select("node_id", first.alias("tier"))
+    for _ in range(passes):
+        before = edges.join(tiers.select(F.col("node_id").alias("src"), F.col("tier").alias("__s")), "src").select(F.col("dst").alias("__to"), "__s").where("__s < 3")
+        pushed = tiers.join(before, F.col("node_id") == F.col("__to"), "left").groupBy("node_id").agg(F.max("tier").alias("tier"), F.max(F.when(F.col("tier") <= F.col("__s"), F.col("__s") + 1)).alias("__t"))
+        tiers = pushed.select("node_id", F.greatest("tier", F.coalesce("__t", F.col("tier"))).alias("tier"))
+    return tiers

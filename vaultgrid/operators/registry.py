@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -25,6 +25,38 @@ def upsert(current: DataFrame, changes: DataFrame, key: str = "id", kept: tuple[
     return j.select(*[pick(c).alias(c) for c in current.columns])
 
 
+#: The registry's tables.
+PROJECTS = "id long, name string, path string, created_at string, last_scanned string, auto_scan boolean, scans_per_day int, status string"
+HISTORY = "id long, project_id long, started_at string, finished_at string, status string, assets long, critical long"
+
+
+def empty_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([], PROJECTS), spark.createDataFrame([], HISTORY)
+
+
+def begun(projects: DataFrame, history: DataFrame, project, scan_id: int, at: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables after a scan of a project began."""
+    row = history.sparkSession.createDataFrame([(scan_id, project, at, None, "SCANNING", None, None)], HISTORY)
+    return update(projects, "id", project, {"status": "SCANNING"}, {"status"}), history.unionByName(row)
+
+
+def ended(projects: DataFrame, history: DataFrame, scan_id: int, at: str, status: str, assets: int, critical: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables after a scan ended; its project gets the status and the time."""
+    done = update(history, "id", scan_id, {"finished_at": at, "status": status, "assets": assets, "critical": critical}, {"finished_at", "status", "assets", "critical"})
+    of = done.where(F.col("id") == scan_id).select(F.col("project_id").alias("__p"))  # one row
+    p = projects.join(F.broadcast(of), F.col("id") == F.col("__p"), "left")
+    mine = F.col("__p").isNotNull()
+    p = p.withColumns({"status": F.when(mine, F.lit(status)).otherwise(F.col("status")), "last_scanned": F.when(mine, F.lit(at)).otherwise(F.col("last_scanned"))})
+    return p.drop("__p"), done
+
+
+def changed(before: DataFrame, after: DataFrame, key: str, version: str) -> DataFrame:
+    """(key, version) of rows that are new or whose version moved on since ``before``."""
+    old = before.select(F.col(key).alias("__k"), F.col(version).alias("__v"))
+    j = after.join(old, F.col(key) == F.col("__k"), "left")
+    return j.where(F.col("__k").isNull() | ~F.col(version).eqNullSafe(F.col("__v"))).select(key, version)
+
+
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` with ``seq`` from 1 in a total order: range-sorted, then each row's place in its partition plus the sizes of those before it."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import factory, graph, guidance, lookups, portfolio, posture, reports, scoring
-from ..sources import material, token_scan
+from ..sources import lineage_scan, material, token_scan
 from . import catalog, estate
 from .catalog import BUDGET, _edges, _nodes, query, scored
 from .estate import ITEMS_SQL, SCORED_SQL, pick, table
@@ -229,3 +229,79 @@ def specification_lookup(spark, sf):
 def manifest_dedup(spark, sf):
     d = _deps(spark, sf)
     return d.groupBy("manifest_path", "package").agg(F.min("dep_id").alias("first")).select("manifest_path", "package")
+
+
+# ------------------------------------------------------------- lineage and networks
+
+_JS = "const a = process.env.ALG_{k};\nconst p = process.env.PORT;\nconst c = crypto.createCipheriv({arg}, k, iv);\nconst r = crypto.generateKeyPairSync('rsa', {});\n{keep}\n"
+_ARGS = ["process.env.ALG_X", "config.get('cipher')", "'aes-256-gcm'", "mode"]
+_ARG_NODE = ["INGRESS:ENV:ALG_X", "INGRESS:CONFIG:cipher", None, "INGRESS:PARAMETER:mode"]
+_KEEP = ["redis.set(x, c);", "db.save(c);", "contract.submitTransaction(c);", "log(c);", "q.xadd(c)"]
+_KEEP_NODE = ["EGRESS:CACHE:redis_store:", "EGRESS:DATABASE:sql_store:", "EGRESS:LEDGER:fabric", None, "EGRESS:STREAM:redis_stream:"]
+
+
+def _traced(spark, sf):
+    k = F.col("s_suppkey")
+    text = F.replace(F.replace(F.replace(F.lit(_JS), F.lit("{k}"), (k % 7).cast("string")), F.lit("{arg}"), pick(_ARGS, k % 4)), F.lit("{keep}"), pick(_KEEP, k % 5))
+    return table(spark, sf, "supplier").select(F.concat(F.lit("s"), k.cast("string"), F.lit(".js")).alias("path"), text.alias("content"))
+
+
+_TRACED = f"""tr AS (SELECT 's' || s_suppkey || '.js' AS path, 'INGRESS:ENV:ALG_' || (s_suppkey % 7) AS env, {_list(_ARG_NODE)}[s_suppkey % 4 + 1] AS arg, CASE WHEN s_suppkey % 5 IN (0, 1, 4) THEN {_list(_KEEP_NODE)}[s_suppkey % 5 + 1] || 's' || s_suppkey || '.js' ELSE {_list(_KEEP_NODE)}[s_suppkey % 5 + 1] END AS keep FROM supplier),
+  nx AS (SELECT *, 'NEXUS:' || path || ':3' AS a, 'NEXUS:' || path || ':4' AS b FROM tr),
+  ed AS (SELECT env AS source_id, a AS target_id, 'FEEDS' AS edge_type FROM nx UNION SELECT env, b, 'FEEDS' FROM nx UNION SELECT arg, a, 'FEEDS' FROM nx WHERE arg IS NOT NULL UNION SELECT arg, b, 'FEEDS' FROM nx WHERE starts_with(arg, 'INGRESS:ENV') OR starts_with(arg, 'INGRESS:CONFIG') UNION SELECT a, keep, 'REACHES' FROM nx WHERE keep IS NOT NULL UNION SELECT b, keep, 'REACHES' FROM nx WHERE keep IS NOT NULL)"""
+
+
+@query(f"WITH {_TRACED} SELECT source_id, target_id, edge_type FROM ed")
+def source_lineage(spark, sf):
+    return lineage_scan.lineage_graph(lineage_scan.lineage_events(_traced(spark, sf)))[1]
+
+
+@query(f"WITH {_TRACED}, n AS (SELECT source_id AS node_id FROM ed UNION SELECT target_id FROM ed) SELECT node_id, string_split(node_id, ':')[1] AS category, CASE WHEN starts_with(node_id, 'NEXUS') THEN 'CALLSITE' ELSE string_split(node_id, ':')[2] END AS source_type FROM n")
+def source_lineage_nodes(spark, sf):
+    return lineage_scan.lineage_graph(lineage_scan.lineage_events(_traced(spark, sf)))[0]
+
+
+_NET = """net AS (SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst FROM nation UNION SELECT 'org' || (s_suppkey % 9) || '-ca', 'peer' || s_suppkey FROM supplier WHERE s_suppkey % 4 = 0 UNION SELECT 'k' || s_suppkey, 'backend-service' FROM supplier WHERE s_suppkey % 4 = 1 UNION SELECT '.env', 'backend-service' FROM supplier WHERE s_suppkey % 4 = 2
+  UNION SELECT 'lib-' || l_suppkey, 'app' || (l_orderkey % 50) FROM lineitem UNION SELECT 'root-' || n_name, 'npm-app' FROM nation)"""
+
+
+def _network(spark, sf):
+    n = table(spark, sf, "nation")
+    imports = n.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("dst"))
+    k = F.col("s_suppkey")
+    s = k.cast("string")
+    paths = F.when(k % 4 == 0, F.concat(F.lit("net/organizations/peerOrganizations/org"), (k % 9).cast("string"), F.lit("/peers/peer"), s, F.lit("/msp/x.pem"))).when(k % 4 == 1, F.concat(F.lit("app/wallet/k"), s, F.lit(".id"))).when(k % 4 == 2, F.concat(F.lit("d"), s, F.lit("/.env"))).otherwise(F.concat(F.lit("src/m"), s, F.lit(".py")))
+    deps = _deps(spark, sf).select("package", "manifest_path", "ecosystem").unionByName(n.select(F.concat(F.lit("root-"), "n_name").alias("package"), F.lit("package.json").alias("manifest_path"), F.lit("npm").alias("ecosystem")))
+    return graph.built(imports, table(spark, sf, "supplier").select(paths.alias("file_path")), deps)
+
+
+@query(f"WITH {_NET} SELECT src, dst FROM net")
+def dependency_network(spark, sf):
+    return _network(spark, sf)
+
+
+_PASS = "t{i} AS (SELECT t.node_id, greatest(max(t.tier), coalesce(max(CASE WHEN t.tier <= s.tier AND s.tier < 3 THEN s.tier + 1 END), max(t.tier))) AS tier FROM t{h} t LEFT JOIN net ON dst = t.node_id LEFT JOIN t{h} s ON s.node_id = src GROUP BY 1)"
+
+
+@query(
+    f"""WITH {_NET}, nd AS (SELECT src AS node_id FROM net UNION SELECT dst FROM net UNION SELECT 'alone'), g AS (SELECT node_id, (SELECT count(*) FROM net WHERE dst = node_id) AS i, (SELECT count(*) FROM net WHERE src = node_id) AS o FROM nd),
+    t0 AS (SELECT node_id, CASE WHEN node_id = 'app7' OR contains(node_id, '-ca') OR (i = 0 AND o > 0) THEN 0 WHEN starts_with(node_id, 'peer') THEN 1 WHEN i > 0 AND o > 0 THEN 2 WHEN i + o > 0 THEN 3 ELSE 4 END AS tier FROM g), {", ".join(_PASS.format(i=i, h=i - 1) for i in (1, 2, 3))}
+    SELECT node_id, CAST(tier AS INTEGER) AS tier FROM t3"""
+)
+def flow_tiers(spark, sf):
+    e = _network(spark, sf)
+    n = _nodes(e).unionByName(spark.createDataFrame([("alone",)], "node_id string"))
+    return graph.flow_tiers(n.select("node_id", (F.col("node_id") == "app7").alias("superspreader"), F.col("node_id").startswith("peer").alias("has_crypto")), e)
+
+
+@query(
+    f"""WITH {estate.ASSETS_SQL}, nd AS (SELECT p_partkey AS ord, CASE p_partkey % 3 WHEN 0 THEN lower(replace(p_name, ' ', '_')) || ':x' WHEN 1 THEN 'mod_' || (p_partkey % 300) ELSE 'none' || p_partkey END AS node_id, CASE WHEN p_partkey % 6 = 5 THEN 'svc' || (p_partkey % 40) || '/src/mod_' || (p_partkey % 300) || '.py' END AS file_path, p_partkey % 9 AS r0 FROM part)
+    SELECT asset_id, greatest(1, coalesce(n.r0, 1)) AS r0 FROM assets a LEFT JOIN nd n ON n.node_id = a.component_name OR n.node_id = regexp_extract(a.file_path, '([^/]+?)(\\.[^./]*)?$', 1) OR n.file_path = a.file_path QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY ord NULLS LAST) = 1"""
+)
+def graph_r0_of_assets(spark, sf):
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit(":x"))).when(k % 3 == 1, F.concat(F.lit("mod_"), s(k % 300))).otherwise(F.concat(F.lit("none"), s(k)))
+    path = F.when(k % 6 == 5, F.concat(F.lit("svc"), s(k % 40), F.lit("/src/mod_"), s(k % 300), F.lit(".py")))
+    nodes = table(spark, sf, "part").select(k.alias("ord"), name.alias("node_id"), path.alias("file_path"), (k % 9).alias("r0"))
+    return graph.resolved_r0(estate.assets(spark, sf), nodes).select("asset_id", "r0")

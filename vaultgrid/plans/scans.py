@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import factory, graph, guidance, lookups, portfolio, posture, reports, scoring
-from ..sources import lineage_scan, material, token_scan
+from ..sources import lineage_scan, material, python_code, token_scan
 from . import catalog, estate
 from .catalog import BUDGET, _edges, _nodes, query, scored
 from .estate import ITEMS_SQL, SCORED_SQL, pick, table
@@ -305,3 +305,23 @@ def graph_r0_of_assets(spark, sf):
     path = F.when(k % 6 == 5, F.concat(F.lit("svc"), s(k % 40), F.lit("/src/mod_"), s(k % 300), F.lit(".py")))
     nodes = table(spark, sf, "part").select(k.alias("ord"), name.alias("node_id"), path.alias("file_path"), (k % 9).alias("r0"))
     return graph.resolved_r0(estate.assets(spark, sf), nodes).select("asset_id", "r0")
+
+
+# ------------------------------------------------------------- Python sources
+
+#: (call, algorithm, role, key size, weakness)
+_PY_CALLS = [
+    ("hashlib.md5(x)", "MD5", "HASH", 128, "CWE-328"), ("hashlib.new('sha' + '-1')", "SHA-1", "HASH", 160, "CWE-328"), ("hashlib.sha384(x)", "SHA384", "HASH", 256, None), ("hmac.new(k, m)", "HMAC-SHA256", "HASH", 256, None),
+    ("algorithms.TripleDES(k)", "3DES", "ENCRYPTION", 192, "CWE-327"), ("hashes.SHA256()", "SHA256", "HASH", 256, None), ("aead.AESGCM(k)", "AES-256-GCM", "ENCRYPTION", 256, None), ("rsa.generate_private_key(e, 2048)", "RSA-2048", "SIGNATURE", 2048, "CWE-326"),
+    ("ec.generate_private_key(c)", "ECDSA-P256", "SIGNATURE", 256, "CWE-326"), ("box.encrypt(m)", "AES-256-GCM", "ENCRYPTION", 256, None), ("key.sign(m)", "ECDSA-P256", "SIGNATURE", 256, "CWE-326"), ("DES.new(k)", "DES", "ENCRYPTION", 64, "CWE-327"),
+    ("Fernet(k)", "AES-256-GCM", "ENCRYPTION", 256, None), ("print(m)", None, None, None, None),
+]
+
+
+@query(f"SELECT DISTINCT 'm' || l_orderkey || '_' || l_linenumber || '.py' AS path, CAST(2 AS INTEGER) AS line_no, algorithm, primitive_type, CAST(key_size AS INTEGER) AS key_size, cwe FROM lineitem JOIN (VALUES {_values([(i, *c[1:]) for i, c in enumerate(_PY_CALLS)])}) v(i, algorithm, primitive_type, key_size, cwe) ON i = (l_orderkey * 7 + l_linenumber) % {len(_PY_CALLS)} WHERE algorithm IS NOT NULL")
+def python_findings(spark, sf):
+    k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    path = F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(".py"))
+    text = F.concat(F.lit("import hashlib\nv = "), pick([c[0] for c in _PY_CALLS], k % len(_PY_CALLS)), F.lit("\n"))
+    files = table(spark, sf, "lineitem").select(path.alias("path"), text.alias("content"))
+    return python_code.findings(python_code.python_facts(files))

@@ -312,7 +312,7 @@ def graph_r0_of_assets(spark, sf):
 #: (call, algorithm, role, key size, weakness)
 _PY_CALLS = [
     ("hashlib.md5(x)", "MD5", "HASH", 128, "CWE-328"), ("hashlib.new('sha' + '-1')", "SHA-1", "HASH", 160, "CWE-328"), ("hashlib.sha384(x)", "SHA384", "HASH", 256, None), ("hmac.new(k, m)", "HMAC-SHA256", "HASH", 256, None),
-    ("algorithms.TripleDES(k)", "3DES", "ENCRYPTION", 192, "CWE-327"), ("hashes.SHA256()", "SHA256", "HASH", 256, None), ("aead.AESGCM(k)", "AES-256-GCM", "ENCRYPTION", 256, None), ("rsa.generate_private_key(e, 2048)", "RSA-2048", "SIGNATURE", 2048, "CWE-326"),
+    ("algorithms.TripleDES(k)", "3DES", "ENCRYPTION", 192, "CWE-327"), ("hashes.SHA256()", "SHA-256", "HASH", 256, None), ("aead.AESGCM(k)", "AES-256-GCM", "ENCRYPTION", 256, None), ("rsa.generate_private_key(e, 2048)", "RSA-2048", "SIGNATURE", 2048, "CWE-326"),
     ("ec.generate_private_key(c)", "ECDSA-P256", "SIGNATURE", 256, "CWE-326"), ("box.encrypt(m)", "AES-256-GCM", "ENCRYPTION", 256, None), ("key.sign(m)", "ECDSA-P256", "SIGNATURE", 256, "CWE-326"), ("DES.new(k)", "DES", "ENCRYPTION", 64, "CWE-327"),
     ("Fernet(k)", "AES-256-GCM", "ENCRYPTION", 256, None), ("print(m)", None, None, None, None),
 ]

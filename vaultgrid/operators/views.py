@@ -74,6 +74,21 @@ def remediable(category: Column, algorithm: Column) -> Column:
     return F.coalesce(category != "PQC", F.lit(True)) & ~any_of(LEFT_ALONE) & ~a.isin("AES-256-GCM", "AES-256") & any_of(REPLACEABLE)
 
 
+# --- fixed values: findings that a change of text alone cannot mend
+SEMANTIC = ["RSA", "ECDSA", "ECDH", "ED25519", "ASYMMETRIC", "UNTRUSTED-PRNG", "CLEARTEXT-HTTP", "IMPROPER-SSL", "DUMMY-CERT", "DUMMY-HOSTNAME", "DYNAMIC_UNRESOLVED", "SECURE-PRNG"]
+
+
+def needs_design(algorithm: Column) -> Column:
+    """Whether a finding needs a change of keys, interfaces or protocols, so that no rewriting takes it."""
+    return reduce(lambda x, y: x | y, [F.contains(F.upper(F.coalesce(algorithm, F.lit(""))), F.lit(w)) for w in SEMANTIC])
+
+
+def ranked_nodes(nodes: DataFrame, limit: int) -> DataFrame:
+    """The nodes of the largest blast radius, then of the largest reach."""
+    keys = [F.desc("share_pct"), F.desc("r0"), F.col("node_id")]
+    return nodes.orderBy(*keys).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*keys)))
+
+
 def in_folders(path: Column, folders: list[str]) -> Column:
     """Whether a part of the path is one of the folders; without folders every path is in."""
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(f) for f in folders])) if folders else F.lit(True)

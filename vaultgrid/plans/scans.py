@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from ..operators import factory, graph, guidance, lookups, portfolio, posture, reports, scoring
-from ..sources import lineage_scan, material, python_code, token_scan
+from ..operators import factory, graph, guidance, lookups, portfolio, posture, reports, scoring, views
+from ..sources import lineage_scan, material, python_code, texts, token_scan
 from . import catalog, estate
 from .catalog import BUDGET, _edges, _nodes, query, scored
 from .estate import ITEMS_SQL, SCORED_SQL, pick, table
@@ -325,3 +325,55 @@ def python_findings(spark, sf):
     text = F.concat(F.lit("import hashlib\nv = "), pick([c[0] for c in _PY_CALLS], k % len(_PY_CALLS)), F.lit("\n"))
     files = table(spark, sf, "lineitem").select(path.alias("path"), text.alias("content"))
     return python_code.findings(python_code.python_facts(files))
+
+
+# ------------------------------------------------------------- manifests, endpoints, rankings
+
+_MANIFESTS = [
+    ("package.json", '{"dependencies":{"elliptic":"{v}","left-pad":"1"}}', "npm", "elliptic", "{v}"), ("Cargo.toml", '[dependencies]\nsha2 = "{v}"\n', "cargo", "sha2", "{v}"), ("go.mod", "module x\nrequire golang.org/x/crypto v{v}\n", "go", "golang.org/x/crypto", "v{v}"),
+    ("requirements.txt", "cryptography=={v}\ncryptography>=1\n", "pypi", "cryptography", None), ("build.gradle.kts", "implementation(\"com.google.crypto.tink:tink:{v}\")\n", "maven", "com.google.crypto.tink:tink", "{v}"), ("notes.md", "elliptic", None, None, None),
+]
+
+
+@query(f"SELECT 'p' || s_suppkey || '/' || f AS manifest_path, e AS ecosystem, p AS package FROM supplier JOIN (VALUES {_values([(i, c[0], c[2], c[3]) for i, c in enumerate(_MANIFESTS)])}) v(i, f, e, p) ON i = s_suppkey % {len(_MANIFESTS)} WHERE e IS NOT NULL")
+def manifest_discovery(spark, sf):
+    k = F.col("s_suppkey")
+    files = table(spark, sf, "supplier").select(F.concat(F.lit("p"), k.cast("string"), F.lit("/"), pick([m[0] for m in _MANIFESTS], k % len(_MANIFESTS))).alias("path"), F.replace(pick([m[1] for m in _MANIFESTS], k % len(_MANIFESTS)), F.lit("{v}"), k.cast("string")).alias("content"))
+    return texts.manifests(files).select("manifest_path", "ecosystem", "package")
+
+
+_STATUS = [("POST_QUANTUM", "MIGRATED_PQC", "PQC_NATIVE", "LOW"), ("CLASSICAL_ASYMMETRIC", "DEPENDS_ON_ALG", "CLASSICAL_ONLY", "HIGH"), ("BLOCKCHAIN_CORE", "VULNERABLE_CLASSICAL", "CLASSICAL_ONLY", "HIGH"), ("SYMMETRIC_OR_HASH", "SAFE_SYMMETRIC", "TRANSITION", "LOW"), ("BLOCKCHAIN_CORE", "CLASSICAL_HYBRID", "TRANSITION", "MEDIUM"), ("OTHER", "UNKNOWN", "TRANSITION", "LOW")]
+
+
+@query(f"SELECT p_partkey, s AS status, r AS risk FROM part JOIN (VALUES {_values([(i, c[2], c[3]) for i, c in enumerate(_STATUS)])}) v(i, s, r) ON i = p_partkey % {len(_STATUS)}")
+def dependency_statuses(spark, sf):
+    at = F.col("p_partkey") % len(_STATUS)
+    return table(spark, sf, "part").select("p_partkey", texts.dependency_status(pick([c[0] for c in _STATUS], at), pick([c[1] for c in _STATUS], at)).alias("d")).select("p_partkey", "d.status", "d.risk")
+
+
+_TARGETS = [
+    ("https://Api{k}.example.com:8443/v1?x", "api{k}.example.com", 8443, False), ("http://h{k}.org/a", "h{k}.org", 80, False), ("h{k}.org:25/x", "h{k}.org", 25, False), ("[2001:db8::{k}]:99", "2001:db8::{k}", 99, True), ("[::{k}]", "::{k}", 443, True),
+    ("fe80::{k}:1", "fe80::{k}:1", 443, True), ("10.0.0.{k}", "10.0.0.{k}", 443, True), (" host{k}#x ", "host{k}", 443, False), ("h{k}:port", "h{k}", 443, False), ("https://u:p@s{k}/x", "s{k}", 443, False), ("/only/path", None, None, None),
+]
+
+
+@query(f"SELECT c_custkey, replace(h, '{{k}}', CAST(c_custkey AS VARCHAR)) AS host, CAST(p AS INTEGER) AS port, a AS is_address FROM customer JOIN (VALUES {', '.join('(' + ', '.join(['NULL' if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else repr(x) for x in (i, *c[1:])]) + ')' for i, c in enumerate(_TARGETS))}) v(i, h, p, a) ON i = c_custkey % {len(_TARGETS)}")
+def endpoint_targets(spark, sf):
+    k = F.col("c_custkey")
+    t = F.replace(pick([c[0] for c in _TARGETS], k % len(_TARGETS)), F.lit("{k}"), k.cast("string"))
+    return table(spark, sf, "customer").select("c_custkey", texts.endpoint(t).alias("e")).select("c_custkey", "e.host", "e.port", "e.is_address")
+
+
+@query(
+    "WITH RECURSIVE " + catalog._CLOSURE + ", b AS (SELECT node_id, count(dst) AS r0, round(CAST(100.0::DOUBLE * (count(dst) + 1) / (SELECT count(*) FROM n) AS DECIMAL(18,6)), 1)::DOUBLE AS share_pct FROM n LEFT JOIN c ON c.src = node_id GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY share_pct DESC, r0 DESC, node_id) AS INTEGER) AS rank, node_id, r0 FROM b QUALIFY rank <= 25"
+)
+def blast_ranking(spark, sf):
+    e = _edges(spark, sf)
+    closure = graph.reach(e)
+    n = _nodes(e)
+    return views.ranked_nodes(graph.blast(closure, n).join(graph.reach_counts(n, closure), "node_id"), 25).select("rank", "node_id", "r0")
+
+
+@query(f"WITH {estate.CLASSIFIED_SQL} SELECT asset_id, regexp_matches(u, 'RSA|ECDSA|ECDH|ED25519|ASYMMETRIC|UNTRUSTED-PRNG|CLEARTEXT-HTTP|IMPROPER-SSL|DUMMY-CERT|DUMMY-HOSTNAME|DYNAMIC_UNRESOLVED|SECURE-PRNG') AS needs_design FROM classified")
+def semantic_only(spark, sf):
+    return estate.assets(spark, sf).select("asset_id", views.needs_design(F.col("algorithm")).alias("needs_design"))

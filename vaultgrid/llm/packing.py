@@ -44,7 +44,7 @@ ROUNDS, ROUNDINGS = 240, (0.0, 0.25, 0.5, 1.0)
 #: Pieces of one length that are ranked in one task.
 SALTED = 20_000
 #: Words whose ids a worker keeps at most.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 #: Words of which one is empty or has white space at an edge.
 EDGE = re.compile(r"(?:^|\0)(?:[\s\0]|$)|\s(?:\0|$)")
 #: Texts encoded at a time.
@@ -240,7 +240,7 @@ class Vertex:
             self.inverse[some] -= w[some, None] * row
         self.inverse[out] = row
         self.pivots += 1
-        if self.pivots % 300 == 0:
+        if self.pivots % 1500 == 0:
             self.inverse = np.linalg.inv(self.matrix())
 
     def matrix(self) -> np.ndarray:
@@ -272,7 +272,7 @@ def vertex(uses: dict[bytes, float], lengths: np.ndarray, demand: np.ndarray, ca
         pairs = unpacked(c)
         covered[pairs[:, 0]] += x * pairs[:, 1]
     at = Vertex(lengths, np.maximum(demand - covered, 0.0), capacity)
-    for c in sorted(uses, key=lambda c: (uses[c], c)):
+    for c in sorted(uses, key=lambda c: (-uses[c], c)):
         at.move(c, uses[c])
     return {c: float(v) for c, v in zip(at.basic, at.level) if c is not None and v > 1e-9}
 

@@ -37,7 +37,7 @@ from .sketch import DEPTH, HASHES, Powers, Touched, chunks_for, gathered, looked
 
 WINDOW, GRAM = 50, 8
 #: Windows that a task combines before it passes them on, and cells of the sketch.
-PENDING = 1 << 21
+PENDING = 1 << 20
 
 _powers, _second = Powers(), Powers(0xC2B2AE3D27D4EB4F | 1)
 
@@ -64,7 +64,7 @@ def _touching(window: int, chunks: int):
         if touched.held:
             yield touched.batch()
 
-    return lean(run)
+    return lean(run, HASHES)
 
 
 def _asking(window: int, chunks: int):
@@ -80,7 +80,7 @@ def _asking(window: int, chunks: int):
                     columns = [np.full(len(keys), doc_id, np.int64), np.full(len(keys), code, np.int64), keys.view(np.int64), chunk, *at]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__id", "__code", "key", "chunk", *(f"at{row}" for row in range(DEPTH))])
 
-    return lean(_batched(run))
+    return lean(_batched(run), HASHES)
 
 
 class Filter:
@@ -133,7 +133,7 @@ def _combined(window: int, keep: Filter):
         if held:
             yield flush()
 
-    return lean(run)
+    return lean(run, HASHES)
 
 
 def _each(window: int, keep: Filter):
@@ -145,7 +145,7 @@ def _each(window: int, keep: Filter):
                 if n:
                     yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(n, doc_id, np.int64)), pa.array(np.full(n, code, np.int64)), pa.array(at.astype(np.int32))], ["h1", "h2", "__id", "__code", "at"])
 
-    return lean(_batched(run))
+    return lean(_batched(run), HASHES)
 
 
 def _batched(run, rows: int = 100_000):

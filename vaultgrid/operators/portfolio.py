@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .graph import shared_dir
+
+
 def _order(seq: str):
     return [F.desc("efficiency"), F.desc("delta_r"), F.asc("cost_dev_weeks"), F.asc(seq)]
 
@@ -50,6 +55,13 @@ def knapsack(weight: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray
     return chosen
 
 
+def measured(items: DataFrame, *columns: str) -> DataFrame:
+    """These columns, written and read again: the optimizer need not carry the expressions of the measures through every step after them."""
+    folder = f"{shared_dir(items.sparkSession)}/items-{uuid.uuid4().hex}"
+    items.select(*columns).write.parquet(folder)
+    return items.sparkSession.read.parquet(folder)
+
+
 def contenders(items: DataFrame, by: str, grid: int, seq: str) -> DataFrame:
     """Items that a knapsack of ``grid`` hundredths can take: of each weight, the first in order that fit together.
 
@@ -57,10 +69,10 @@ def contenders(items: DataFrame, by: str, grid: int, seq: str) -> DataFrame:
     neither the exact nor the greedy choice ever takes it. What is left of a
     portfolio is at most about ``grid * ln(grid)`` items, however many it has.
     """
+    ranked = items.where("delta_r > 0")
+    at = F.row_number().over(W.partitionBy(by, "cost_dev_weeks").orderBy(*_order(seq)))
     weight = F.greatest(F.lit(1), F.round(F.col("cost_dev_weeks") * 100).cast("long"))
-    ranked = items.where("delta_r > 0").withColumn("__w", weight)
-    at = F.row_number().over(W.partitionBy(by, "__w").orderBy(*_order(seq)))
-    return ranked.withColumn("__n", at).where(F.col("__n") <= grid).where(F.col("__n") * F.col("__w") <= grid).drop("__n", "__w")
+    return ranked.withColumn("__n", at).where(F.col("__n") <= grid).where(F.col("__n") * weight <= grid).drop("__n")
 
 
 def optimal(items: DataFrame, by: str, budget: float, seq: str = "asset_seq") -> DataFrame:
@@ -78,7 +90,7 @@ def optimal(items: DataFrame, by: str, budget: float, seq: str = "asset_seq") ->
             out[live] = knapsack(np.maximum(1, np.rint(cost[live] * 100).astype(np.int64)), value[live], grid)
         return t.select([by, seq]).filter(pa.array(out))
 
-    live = contenders(items, by, grid, seq).select(by, seq, "delta_r", "cost_dev_weeks", "efficiency")
+    live = contenders(measured(items, by, seq, "delta_r", "cost_dev_weeks", "efficiency"), by, grid, seq)
     taken = live.groupBy(by).applyInArrow(solve, schema).select(F.col(by).alias("__by"), F.col(seq).alias("__seq"))
     return items.join(taken, (F.col(by) == F.col("__by")) & (F.col(seq) == F.col("__seq")), "left").withColumn("is_selected", F.col("__seq").isNotNull()).drop("__by", "__seq")
 
@@ -93,6 +105,7 @@ def greedy(items: DataFrame, by: str, budget: float, seq: str = "asset_seq") ->
         F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<string>").alias("ids")),
         lambda acc, x: F.when(acc["spent"] + cents(x) <= round(budget * 100), F.struct((acc["spent"] + cents(x)).alias("spent"), F.array_append(acc["ids"], x["id"]).alias("ids"))).otherwise(acc),
     )
+    items = measured(items, by, seq, "asset_id", "delta_r", "cost_dev_weeks", "efficiency")
     made = contenders(items, by, round(budget * 100), seq).groupBy(F.col(by).alias("__by")).agg(fold.alias("f"))
     out = items.select(by).distinct().join(made, F.col(by) == F.col("__by"), "left")
     nothing = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<string>").alias("ids"))

@@ -74,7 +74,7 @@ def table_lines(rows: DataFrame, columns: list[str], order: list[Column], first:
 
     shown = rows.orderBy(*order).limit(limit)
     n = F.row_number().over(W.orderBy(*order)) + first + 1
-    body = shown.select(n.alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]), F.lit(" |")).alias("line"))
+    body = shown.select(n.alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |")).alias("line"))
     head = [(first, "| " + " | ".join(columns) + " |"), (first + 1, "|" + "---|" * len(columns))]
     return rows.sparkSession.createDataFrame(head, "n int, line string").unionByName(body.withColumn("n", F.col("n").cast("int")))
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import time
 import zlib
 
 import duckdb
@@ -276,6 +277,23 @@ def test_quality(spark, hostile):
 LONG = "<p>" + "Long words of the paragraph go on and on here. " * 6 + "</p>"
 
 
+def test_plan_of_all_lengths_returns_in_a_session(spark):
+    """1,023 lengths, whose vertex moves thousands of times, planned in a process that has started a JVM."""
+    counts = {n: 1 + n * 7919 % 23 for n in range(1, 1024)}
+    assert spark.range(1).count() == 1
+    began = time.monotonic()
+    plan = packing.pack_plan(counts)
+    assert time.monotonic() - began < 30
+    used = collections.Counter()
+    for config, m in plan:
+        assert sum(n * k for n, k in config.items()) <= 1024
+        for n, k in config.items():
+            used[n] += k * m
+    assert used == counts
+    tokens = sum(n * c for n, c in counts.items())
+    assert sum(m for _, m in plan) <= 1.002 * tokens / 1024
+
+
 @pytest.mark.parametrize("around", ["<article class='overflow-hidden'>%s</article>", "<div aria-hidden='false'>%s</div>", "<div title='hidden gems'>%s</div>", "<div class='layout has-sidebar'>%s</div>", "<div class='post no-comments'>%s</div>", "<div class='share-price-story'>%s</div>", "<div data-id='story-ad-1'>%s</div>", "<a href=x/>link</a>%s"])
 def test_names_that_only_look_like_noise(around):
     text = html_text.main_text("<html><body><nav><a href=q>menu</a></nav>" + around % (LONG * 3) + "<footer>foot</footer></body></html>")

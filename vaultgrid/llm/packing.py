@@ -41,6 +41,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Rounds of the multiplicative weights; fractions that the roundings tried round up.
 ROUNDS, ROUNDINGS = 240, (0.0, 0.25, 0.5, 1.0)
+#: Changes of the vertex that enter its inverse at a time; after so many such blocks it is refined.
+BLOCK, REFINED = 64, 8
 #: Pieces of one length that are ranked in one task.
 SALTED = 20_000
 #: Words whose ids a worker keeps at most.
@@ -214,13 +216,15 @@ class Vertex:
     def __init__(self, lengths: np.ndarray, level: np.ndarray, capacity: int):
         self.lengths, self.capacity, self.level = lengths, capacity, level
         self.inverse, self.basic = np.eye(len(lengths)), [None] * len(lengths)
+        self.left, self.right = np.zeros((len(lengths), BLOCK)), np.zeros((BLOCK, len(lengths)))  # the inverse is inverse - left @ right
         self.cost = 1.1 * lengths / capacity  # of a basic slack; a configuration costs 1
         self.pivots = 0
 
     def move(self, config: bytes, x: float) -> None:
         """``config``, used ``x`` times so far, goes where less is left uncovered, until it or a basic one reaches zero."""
         pairs = unpacked(config)
-        w = self.inverse[:, pairs[:, 0]] @ pairs[:, 1].astype(float)
+        held, times = self.pivots % BLOCK, pairs[:, 1].astype(float)
+        w = self.inverse[:, pairs[:, 0]] @ times - self.left[:, :held] @ (self.right[:held, pairs[:, 0]] @ times)
         up = 1.0 - self.cost @ w < -1e-9
         if not up and not x:
             return
@@ -235,24 +239,37 @@ class Vertex:
         self.level -= step * fall
         self.level[out] = x + (step if up else -step)
         self.basic[out], self.cost[out] = config, 1.0
-        row = self.inverse[out] / w[out]
-        for some in np.array_split(np.flatnonzero(np.abs(w) > 1e-12), 8):  # in parts: copies stay small
-            self.inverse[some] -= w[some, None] * row
-        self.inverse[out] = row
+        self.right[held] = (self.inverse[out] - self.left[out, :held] @ self.right[:held]) / w[out]
+        self.left[:, held] = w
+        self.left[out, held] -= 1.0
         self.pivots += 1
-        if self.pivots % 1500 == 0:
-            self.inverse = np.linalg.inv(self.matrix())
-
-    def matrix(self) -> np.ndarray:
-        out = np.zeros((len(self.lengths), len(self.lengths)))
+        if self.pivots % BLOCK == 0:
+            self.inverse -= self.left @ self.right
+            if self.pivots % (REFINED * BLOCK) == 0:
+                self.refine()
+
+    def residual(self) -> np.ndarray:
+        """How far basis times inverse is from the identity; the basis has a few numbers a column, so this is a sum of few rows."""
+        out = np.eye(len(self.lengths))
         for place, config in enumerate(self.basic):
             if config is None:
-                out[place, place] = 1.0  # a slack never comes back, so it stands at its own length
+                out[place] -= self.inverse[place]  # a slack never comes back, so it stands at its own length
             else:
-                pairs = unpacked(config)
-                out[pairs[:, 0], place] = pairs[:, 1]
+                for i, q in unpacked(config).tolist():
+                    out[i] -= q * self.inverse[place]
         return out
 
+    def refine(self) -> None:
+        """Newton steps on the inverse, which only has rounding errors to lose.
+
+        No inversion by LAPACK: the threaded one does not return in a process that has started a JVM.
+        """
+        for _ in range(4):
+            wrong = self.residual()
+            if np.abs(wrong).max() < 1e-9:
+                return
+            self.inverse += self.inverse @ wrong
+
 
 def configuration(first: int, pick: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple:
     """The dearest configuration through a length: (place, times) of its lengths."""

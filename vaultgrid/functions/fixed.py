@@ -120,3 +120,25 @@ EXPIRY_COLUMNS = ["expires_at", "valid_until", "ttl_timestamp", "expiry"]
 ARCHIVAL_MODELS = ["patient", "medical", "ballot", "vote", "audit"]
 SHORT_LIVED_MODELS = ["session", "token", "otp", "nonce"]
 EXPIRY_FIELDS = ["expiresat", "validuntil", "expireafterseconds", "ttl"]
+
+# --- fixed values: words of a call that makes cryptography
+MAKERS = frozenset((
+    "encrypt", "cipher", "generate_private_key", "generate_key", "generatekeypair", "generate_key_pair", "derivekey", "derive_key", "sign", "digest", "hexdigest", "hmac", "token", "token_bytes",
+    "urandom", "seal", "derive", "key_exchange", "ecdh", "kem", "sha256", "sha384", "sha512", "sha1", "md5", "hashlib", "new",
+))
+
+# --- fixed values: where a value ends, by what the call contains; the first group counts
+SINKS = [
+    ("EPHEMERAL", "Network socket or HTTP transmission; transient volatile buffer zeroed on session close.", [
+        ".sendall", ".send", "socket", "SSLSocket", "stream.write", "transport.write", "channel.write", "setheader", "set_header", "response.write", "res.write",
+    ]),
+    ("EPHEMERAL", "Explicit memory zeroization/destruction call found in scope.", ["sodium_memzero", "explicit_bzero", "Arrays.fill", "memset", "del "]),
+    ("SHORT_TERM", "Transient caching layer with TTL expiration.", ["redis.setex", "redis.set", "memcached.set", "cache.set", "session_cache"]),
+    ("OPERATIONAL", "Relational/document database persistence sink (active operational store).", [
+        "session.add", "session.commit", "session.save", "db.session", "repository.save", "repository.saveAndFlush", "cursor.execute", "PreparedStatement.executeUpdate", "insert_one", "insert_many",
+        "save_record",
+    ]),
+    ("ARCHIVAL", "Long-term disk, file, or cloud object storage archive sink.", [
+        "s3.put_object", "s3.upload_file", "s3_client.put_object", "blobClient.upload_blob", "bucket.blob", "cloud_storage", "open(", "write(", "archive", "backup", "cold_storage",
+    ]),
+]

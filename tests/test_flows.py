@@ -1,8 +1,8 @@
-"""Data flow of Python sources, on hand cases."""
+"""Data flow of Python sources and values of Java expressions, on hand cases."""
 
 import pytest
 
-from vaultgrid.sources import data_flow
+from vaultgrid.sources import data_flow, java_flow, token_scan
 
 
 def events(source):
@@ -71,3 +71,60 @@ def test_levels_of_agility_and_intent(spark):
     files = spark.createDataFrame([(f"{i}", s) for i, s in enumerate(sources)], "path string, content string")
     got = {r["path"]: (r["agility_level"], r["intent_class"]) for r in data_flow.traced(files).collect()}
     assert got == {"0": (1, "CONFIDENTIALITY_ENVELOPE"), "1": (0, "CONFIDENTIALITY_ENVELOPE"), "2": (1, "CONFIDENTIALITY_ENVELOPE"), "3": (5, "CONFIDENTIALITY_ENVELOPE"), "4": (0, "AUTHENTICATION_SIGNATURE")}
+
+
+def java(body):
+    text = body if body.startswith("class") else "class A { %s }" % body
+    return [(r[3], r[6]) for r in token_scan.scan(text.replace("<<", "MessageDigest.getInstance(").replace(">>", ");"), "java")]
+
+
+LOST = ("DYNAMIC_UNRESOLVED", "PARAMETER")
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ('void f(){ String a="MD5"; <<a>> } void g(){ String a="SHA-1"; <<a>> }', [("MD5", "STATIC"), ("SHA-1", "STATIC")]),
+        ('String a="MD5"; void f(){ String a="SHA-256"; <<a>> <<this.a>> } void g(){ <<a>> }', [("SHA-256", "STATIC"), ("MD5", "STATIC")]),
+        ('void f(){ String a="MD5"; { String b="x"; a="SHA-1"; } <<a>> }', [("SHA-1", "STATIC")]),
+        ('void f(boolean b){ <<b ? "MD5" : "MD5">> <<b ? "MD5" : "SHA-1">> <<true ? "SHA-256" : "MD5">> }', [("MD5", "STATIC"), LOST, ("SHA-256", "STATIC")]),
+        ('void f(){ if (false) { <<"MD5">> } else { <<"SHA-1">> } }', [("SHA-1", "STATIC")]),
+        ('static final int N = 3; void f(){ if (N > 2 && !(N == 4)) <<"SHA-1">> else <<"MD5">> }', [("SHA-1", "STATIC")]),
+        ('static int N = 3; void g(){ N = 1; } void f(){ if (N > 2) <<"SHA-1">> else <<"MD5">> }', [("SHA-1", "STATIC"), ("MD5", "STATIC")]),
+        ('void f(int n){ String a="MD5"; if (n > 2) a="SHA-1"; else a="SHA-1"; <<a>> }', [("SHA-1", "STATIC")]),
+        ('void f(int n){ String a="MD5"; while (n-- > 0) { <<a>> a="SHA-1"; } }', [LOST]),
+        ('void f(int n){ String a; switch (n) { case 1: a="MD5"; break; default: a="SHA-1"; } <<a>> }', [LOST]),
+        ('void f(){ String a="MD5"; try { a="SHA-1"; g(); } catch (E e) { <<a>> } finally { <<a>> } }', [LOST]),
+        ('static String h(){ return k().toUpperCase(); } static String k(){ return "sha" + -256; } void f(){ <<h()>> <<A.k()>> }', [("SHA-256", "STATIC")]),
+        ('static String h(boolean b){ if (b) return "MD5"; return "SHA-1"; } void f(){ <<h(true)>> }', [LOST]),
+        ('static String h(int n, String x){ return x; } void f(){ <<h(1, "MD5")>> <<h(2, "SHA-1")>> }', [("MD5", "STATIC"), ("SHA-1", "STATIC")]),
+        ('static String h(String x){ return h(x); } void f(){ <<h("MD5")>> }', [LOST]),
+        ('void f(){ Map<String, String> m = new HashMap<>(); m.put("x", "MD5"); <<m.get("x")>> <<m.get("y")>> }', [("MD5", "STATIC"), LOST]),
+        ('void f(){ Runnable r = () -> { String b = "SHA-1"; <<b>> }; Object o = new Object() { String c = "MD5"; void g() { <<c>> } }; }', [("SHA-1", "STATIC"), ("MD5", "STATIC")]),
+        ('void f(){ <<String.valueOf("MD5")>> <<(String) "SHA-1">> <<new String("SHA-256")>> <<"sha".concat("-512").replace("sha", "SHA")>> }', [("MD5", "STATIC"), ("SHA-1", "STATIC"), ("SHA-256", "STATIC"), ("SHA-512", "STATIC")]),
+        ('class A { class B { static final String X = "MD5"; } void f(){ <<B.X>> <<a.b.B.X>> } }', [("MD5", "STATIC")]),
+        ('void f(){ byte[] iv = new byte[16]; rnd.nextBytes(iv); new IvParameterSpec(iv); }', []),
+        ('void f(){ byte[] iv = "0123456789".getBytes(); new IvParameterSpec(iv); }', [("STATIC-IV", "STATIC")]),
+        ('void f(){ int n = 10; n *= 3; new PBEKeySpec(p, salt, n); int m = 100 * 5; new PBEKeySpec(p, salt, m); }', [("PBE-WEAK-ITERATION", "STATIC")]),
+    ],
+)
+def test_java_values(body, want):
+    got = java(body)
+    assert got == list(dict.fromkeys(want)) or got == want
+
+
+def test_java_callers_in_other_files(spark):
+    a = 'class A { void f(String p) { Cipher.getInstance(p); } void g(String q) { Cipher.getInstance(q); } void h(String r) { Cipher.getInstance(r); } }'
+    b = 'class B { void m(String t) { A x = new A(); x.f(t); } void n() { m("DES/CBC/PKCS5Padding"); A.g(K.NAME); other.h("AES"); } }'
+    files = spark.createDataFrame([("s/A.java", a.replace(" void", "\n void")), ("s/B.java", b), ("s/K.java", 'class K { static final String NAME = "RC4"; }'), ("t/C.java", 'class C { void z() { A.h("RC2"); } }'), ("s/n.java", None), ("s/deep.java", "class D { void f() { " + "{" * 9000 + " } }")], "path string, content string")
+    got = {(r["line_no"], r["algorithm"], r["origin"]) for r in java_flow.followed(token_scan.code_findings(files), files).where("path = 's/A.java'").collect()}
+    assert got == {(2, "DES-CBC", "CALLER"), (3, "RC4", "CALLER"), (4, "DYNAMIC_UNRESOLVED", "PARAMETER")}
+
+
+def test_java_walk_ends_on_any_tokens():
+    import random
+
+    words = 'class A { } ( ) ; = , . if else for while do try catch switch case : return new String "MD5" a b int + - == < && ? ! [ ] true 1 -> this f MessageDigest.getInstance( { } ( ) ; @X nextBytes'.split(" ")
+    draw = random.Random(0)
+    for _ in range(3000):
+        token_scan.scan(" ".join(draw.choice(words) for _ in range(draw.randint(1, 80))), "java")

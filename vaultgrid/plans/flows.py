@@ -1,10 +1,10 @@
-"""Queries of data flow, registered by import: where the values of written sources end."""
+"""Queries of data flow, registered by import: where the values of written sources end, and what their arguments are."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import data_flow
+from ..sources import data_flow, java_flow, token_scan
 from .catalog import query
 from .estate import pick, table
 from .inventory import _list
@@ -52,3 +52,42 @@ def python_data_flow(spark, sf):
     files = table(spark, sf, "part").select(F.concat(F.lit("p"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("content"))
     found = data_flow.traced(files)
     return found.select("path", "variable", "line_no", "tier", "confidence", "review_required", "sink_call", "sink_line", F.col("n_events").cast("long").alias("n_events"), "evidence_level", "intent_class")
+
+
+#: Bodies with places for two names of algorithms and a number; which of the names is found: 1, 2, 0 (neither is certain), -1 (the code cannot run); the line.
+_JAVA = [
+    ('  byte[] f() {\n    String a = "<1>";\n    {\n      String b = "<2>";\n    }\n    return MessageDigest.getInstance(a).digest();\n  }\n  void g() { String a = "<2>"; }', 1, 7),
+    ('  String a = "<2>";\n  byte[] f() {\n    String a = "<1>";\n    return MessageDigest.getInstance(a).digest();\n  }', 1, 5),
+    ('  byte[] f(boolean b) {\n    String a = <n> > 2 ? "<1>" : "<2>";\n    return MessageDigest.getInstance(a).digest();\n  }', 3, 4),
+    ('  static final int N = <n>;\n  byte[] f() {\n    String a = "<2>";\n    if (N * 2 >= 6) {\n      a = "<1>";\n    }\n    return MessageDigest.getInstance(a).digest();\n  }', 3, 8),
+    ('  byte[] f(int n) {\n    String a = "<1>";\n    if (n > 2) a = "<2>";\n    return MessageDigest.getInstance(a).digest();\n  }', 0, 5),
+    ('  static String pick(int n, String x) { return x.trim(); }\n  static String one() { return "<1>"; }\n  byte[] f() {\n    return MessageDigest.getInstance(pick(1, " " + one())).digest();\n  }', 1, 5),
+    ('  byte[] f() {\n    if (false) {\n      return MessageDigest.getInstance("<1>").digest();\n    }\n    while (1 > 2) { MessageDigest.getInstance("<2>"); }\n    return null;\n  }', -1, 0),
+    ('  byte[] f(int n) {\n    String a = "<1>";\n    for (int i = 0; i < n; i++) {\n      a = "<2>";\n    }\n    return MessageDigest.getInstance(a).digest();\n  }', 0, 7),
+    ('  byte[] f() {\n    Map<String, String> m = new HashMap<>();\n    m.put("x", "<1>");\n    m.put("y", "<2>");\n    return MessageDigest.getInstance(m.get("x")).digest();\n  }', 1, 6),
+    ('  byte[] f(String p) {\n    return MessageDigest.getInstance(p).digest();\n  }', 1, 3),
+    ('  byte[] f() {\n    return MessageDigest.getInstance(Names.MAIN).digest();\n  }', 1, 3),
+    ('  private final String kept;\n  A(String given) { this.kept = given; }\n  byte[] f() {\n    return MessageDigest.getInstance(kept).digest();\n  }', 1, 5),
+]
+#: Another file of the folder: it passes a name through two calls, keeps one as a constant, and builds an object with one.
+_OTHER = 'class Names {\n  static final String MAIN = "<1>";\n  void a(A x) { b(x, "<1>"); new A("<1>"); }\n  void b(A x, String q) { x.f(q); }\n}'
+_NAMES = ["MD5", "SHA-1", "SHA-256", "SHA-512", "MD2"]
+
+
+def _java_sources(spark, sf):
+    k, n = F.col("p_partkey"), len(_JAVA)
+    body = F.concat(F.lit("class A {\n"), pick([b for b, *_ in _JAVA], k % n), F.lit("\n}\n"))
+    fill = lambda text: F.replace(F.replace(F.replace(text, F.lit("<1>"), pick(_NAMES, k % 5)), F.lit("<2>"), pick(_NAMES, (k + 2) % 5)), F.lit("<n>"), (k % 6).cast("string"))
+    at = lambda name: F.concat(F.lit("j"), k.cast("string"), F.lit(f"/{name}.java"))
+    part = table(spark, sf, "part")
+    return part.select(at("A").alias("path"), fill(body).alias("content")).unionByName(part.select(at("Names").alias("path"), fill(F.lit(_OTHER)).alias("content")))
+
+
+@query(
+    f"""WITH k AS (SELECT p_partkey AS k, {_list([x[1] for x in _JAVA])}[p_partkey % {len(_JAVA)} + 1] AS which, {_list([x[2] for x in _JAVA])}[p_partkey % {len(_JAVA)} + 1] AS line, p_partkey % {len(_JAVA)} AS shape, p_partkey % 6 AS n, {_list(_NAMES)}[p_partkey % 5 + 1] AS one, {_list(_NAMES)}[(p_partkey + 2) % 5 + 1] AS two FROM part)
+    SELECT 'j' || k || '/A.java' AS path, CAST(line AS INTEGER) AS line_no, CASE which WHEN 1 THEN one WHEN 3 THEN CASE WHEN n > 2 THEN one ELSE two END ELSE 'DYNAMIC_UNRESOLVED' END AS algorithm, CASE WHEN shape IN (9, 10, 11) THEN 'CALLER' WHEN which = 0 THEN 'PARAMETER' ELSE 'STATIC' END AS origin FROM k WHERE which >= 0"""
+)
+def java_values(spark, sf):
+    """Scopes, shadowing, branches that cannot run, helper methods, loops, maps, and what other files pass on, in twelve shapes of source."""
+    files = _java_sources(spark, sf)
+    return java_flow.followed(token_scan.code_findings(files), files).select("path", "line_no", "algorithm", "origin")

@@ -45,11 +45,12 @@ from .ngram_join import connected
 
 COSINE = 0.93
 #: Blocks of a vector, vectors of a cell in a task, components that a cell is cut by at most.
-BLOCKS, CELL, CUTS = 8, 2048, 4
+BLOCKS, CELL, CUTS = 8, 8192, 4
 #: Rows that the rotation is fitted on, and pairs that are verified at a time.
 SAMPLE, CHECKED = 8192, 1 << 15
-#: What rounding can change in a squared distance of unit vectors, and more.
-SLACK = 1e-9
+#: What rounding can change in a squared distance of unit vectors, and more, in doubles and in floats; distances compared at a time.
+SLACK, FLOAT_SLACK = 1e-9, 1e-5
+COMPARED = 1 << 21
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -116,6 +117,13 @@ class Blocks:
         return within.argmax(0)
 
 
+    def halves(self, y: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Factors, in floats, whose product is above 0 for pairs within budget in block b (and for few others): (budget - distance) / 2."""
+        z = y[:, self.parts[b]].astype(np.float32)
+        size, ones = np.square(z).sum(1, keepdims=True) / 2, np.ones((len(z), 1), np.float32)
+        return np.concatenate([z, np.float32((self.budget[b] + FLOAT_SLACK) / 2) - size, ones], 1), np.concatenate([z, ones, -size], 1)
+
+
 class Plans:
     """The blocks of each vector length; lengths that the sample lacks are not rotated."""
 
@@ -193,28 +201,31 @@ def _linked(shared, least: float):
         y = blocks.turned(unit(x))
         joined = range(len(blocks.parts)) if block == EVERY else [block]
         at, asks = np.flatnonzero(home), np.flatnonzero(rows["asks"].to_numpy())
-        count, one, two = np.zeros(len(node), np.int64), [], []
-        for some in np.array_split(asks, max(len(asks) * len(at) // (1 << 21), 1)):
-            near = np.zeros((len(some), len(at)), bool)
-            for b in joined:
-                z, of = y[some][:, blocks.parts[b]], y[at][:, blocks.parts[b]]
-                near |= np.square(z).sum(1)[:, None] + np.square(of).sum(1) - 2 * (z @ of.T) <= blocks.budget[b] + SLACK
+        count, root = np.zeros(len(node), np.int64), np.arange(len(node))
+        sides = [blocks.halves(y, b) for b in joined]
+        whole = len(at) == len(asks) == len(node)  # each pair is met once, not once from either side
+        step = max(COMPARED // max(len(at), 1), 1)
+        for k in range(0, len(asks), step):
+            some, homes = asks[k : k + step], at[k:] if whole else at
+            near = np.zeros((len(some), len(homes)), bool)
+            for left, right in sides:
+                near |= left[some] @ right[homes].T > 0
             i, j = np.nonzero(near)
-            i, j = some[i], at[j]
-            other = node[i] != node[j]
+            i, j = some[i], homes[j]
+            other = i < j if whole else node[i] != node[j]
             i, j = i[other], j[other]
-            for k in range(0, len(i), CHECKED):
-                a, b = i[k : k + CHECKED], j[k : k + CHECKED]
+            for m in range(0, len(i), CHECKED):
+                a, b = i[m : m + CHECKED], j[m : m + CHECKED]
                 links = cosines(x[a], x[b]) >= least
                 if block != EVERY:
                     links &= blocks.first(y[a], y[b]) == block
                 a, b = a[links], b[links]
                 np.add.at(count, a, copies[b])
-                one.append(a)
-                two.append(b)
-        if not one:
-            return pa.table({"node": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-        root = roots_of(len(node), np.concatenate(one), np.concatenate(two))
+                if whole:
+                    np.add.at(count, b, copies[a])
+                a, b = root[a], root[b]
+                if (a != b).any():
+                    root = roots_of(len(node), a, b)[root]
         told = np.flatnonzero((count > 0) | (root != np.arange(len(node))))
         return pa.table({"node": node[told], "n": count[told], "other": node[root[told]]})
 

@@ -15,7 +15,9 @@ its own length and, one place on or not, under the next length.
 Merge. In each (gram, length, place) the posted words' grams form an inverted
 index. For a word that looks itself up, the postings of its grams, within the
 limits of length and place, are merged by a heap; words that the merge yields at
-least as often as the bound asks are verified letter by letter. Postings of more
+least as often as the bound asks are verified letter by letter. The list of the
+key's own gram, which holds every posted word, counts one and is not merged; of
+a few posted words all are verified. Postings of more
 than ``POSTED`` words are dealt to several tasks, each of which all lookups
 visit, so no task holds more and no pair is lost.
 
@@ -55,6 +57,8 @@ Q = 3
 GRAMS = len(LETTERS) ** Q
 #: Distinct words that a task adds up at a time, words posted together in one task.
 PENDING, POSTED = 1 << 18, 4096
+#: Posted words of a key that are verified without a merge, and rows of a task that merges.
+FEW, ROWS = 3, 100_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -190,33 +194,46 @@ def shared_at_least(longest: int) -> int:
 
 def one_edit(a: bytes, b: bytes) -> bool:
     """Whether exactly one letter inserted, deleted or replaced makes one of the other."""
+    if len(a) == len(b):
+        apart = int.from_bytes(a) ^ int.from_bytes(b)
+        return bool(apart) and (apart.bit_length() - 1) // 8 == ((apart & -apart).bit_length() - 1) // 8  # one byte differs
     if len(a) > len(b):
         a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
+    if len(b) - len(a) > 1:
         return False
     at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+    return a[at:] == b[at + 1 :]
 
 
 class Index:
-    """The posted words of one key: an inverted list, in rising order of words, for each gram and place."""
-
-    def __init__(self, words: list[bytes]):
-        self.words = words
-        self.lists: dict[tuple[bytes, int], list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            for at in range(len(w) - Q + 1):
-                self.lists[w[at : at + Q], at].append(i)
+    """The posted words of a key: an inverted list, in rising order of words, for each gram and place but the key's own."""
+
+    def __init__(self, words: list[bytes], place: int):
+        self.words, self.length = words, len(words[0])
+        self.lists: list[dict[bytes, list[int]]] = []
+        if len(words) > FEW:
+            self.lists = [defaultdict(list) for _ in range(self.length - Q + 1)]
+            for i, w in enumerate(words):
+                for at, of in enumerate(self.lists):
+                    of[w[at : at + Q]].append(i)
+            self.lists[place] = {}
 
     def near(self, word: bytes) -> list[int]:
         """The posted words, as long as ``word`` or one longer, that are one edit from it."""
-        if not self.words:
+        words, longer = self.words, self.length - len(word)
+        least = shared_at_least(self.length) - 1  # the key's gram is shared by all
+        if not self.lists or least <= 0:
+            return [i for i, w in enumerate(words) if one_edit(word, w)]
+        lists = []
+        for at in range(len(word) - Q + 1):
+            gram = word[at : at + Q]
+            for of in self.lists[at : at + longer + 1]:
+                if gram in of:
+                    lists.append(of[gram])
+        if len(lists) < least:
             return []
-        longer = len(self.words[0]) - len(word)
-        lists = [x for at in range(len(word) - Q + 1) for on in range(longer + 1) for x in [self.lists.get((word[at : at + Q], at + on))] if x]
-        least = max(shared_at_least(len(word) + longer), 1)
-        found = [i for i, run in groupby(heapq.merge(*lists)) if sum(1 for _ in run) >= least]
-        return [i for i in found if one_edit(word, self.words[i])]
+        found = lists[0] if len(lists) == 1 else [i for i, run in groupby(heapq.merge(*lists)) if least == 1 or sum(1 for _ in run) >= least]
+        return [i for i in found if one_edit(word, words[i])]
 
 
 def _near(batches):
@@ -238,7 +255,7 @@ def _near(batches):
     def begin(asked: bool = True):
         nonlocal index
         if index is None and len(posted) > 1 - asked:
-            index = Index(posted)
+            index = Index(posted, key[2])
             if len(posted) > 1:
                 for w, n in zip(posted, counts):
                     ask(w, n)
@@ -266,7 +283,7 @@ def near_words(words: DataFrame, scratch: Scratch, posted_most: int = POSTED) ->
     """(word, other, other_n): every pair of words one edit apart, in both directions."""
     shared = words.sparkSession.sparkContext.broadcast(gram_ranks(words))
     posted = scratch.write(words.select("word", "n").mapInArrow(_posted(shared), POSTINGS), "posted")
-    rows = dealt(posted, posted_most).repartition(*KEY, "salt").sortWithinPartitions(*KEY, "salt", "asks", "word")
+    rows = dealt(posted, posted_most).repartition(posted.count() // ROWS + 1, *KEY, "salt").sortWithinPartitions(*KEY, "salt", "asks", "word")
     found = rows.mapInArrow(lean(_near), "a string, na long, b string, nb long")
     one, two = F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("other_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("na").alias("other_n"))
     return found.select(F.explode(F.array(one, two)).alias("x")).select("x.*").distinct()

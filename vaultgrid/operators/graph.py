@@ -71,8 +71,13 @@ def classes(nodes: DataFrame, r0: DataFrame, edges: DataFrame, threshold: int =
 
 def blast(closure: DataFrame, nodes: DataFrame) -> DataFrame:
     """Blast radius: reachable nodes and the node itself, and their share of all nodes."""
-    total = nodes.agg(F.count("*").alias("total"))
-    counted = reach_counts(nodes, closure).crossJoin(F.broadcast(total))  # one row
+    return blast_of(reach_counts(nodes, closure))
+
+
+def blast_of(r0: DataFrame) -> DataFrame:
+    """The same from counts (node_id, r0) of all nodes."""
+    total = r0.agg(F.count("*").alias("total"))
+    counted = r0.crossJoin(F.broadcast(total))  # one row
     share = F.round((100.0 * (F.col("r0") + 1) / F.col("total")).cast("decimal(18,6)"), 1).cast("double")
     return counted.select("node_id", (F.col("r0") + 1).alias("radius"), share.alias("share_pct"))
 

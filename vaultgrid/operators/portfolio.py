@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .graph import shared_dir
+from .reach import Steps
+from .running import totals
 
 
 def _order(seq: str):
@@ -20,13 +19,13 @@ def _order(seq: str):
 
 def running(items: DataFrame, by: str, seq: str = "asset_seq") -> DataFrame:
     """Rank, cumulative weeks and cumulative share of risk in each portfolio, best first."""
-    w = W.partitionBy(by).orderBy(*_order(seq))
-    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     gain = F.col("delta_r").cast("decimal(18,2)")
     cost = F.when(F.col("delta_r") > 0, F.col("cost_dev_weeks").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))
-    total = F.sum(gain).over(W.partitionBy(by))
-    share = F.when(total > 0, F.round((F.sum(gain).over(so_far).cast("double") / total.cast("double") * 100).cast("decimal(18,6)"), 1)).otherwise(F.lit(100).cast("decimal(18,1)"))
-    return items.withColumns({"rank": F.row_number().over(w), "cumulative_weeks": F.sum(cost).over(so_far).cast("double"), "cumulative_pct": share.cast("double")})
+    told = totals(items, by, _order(seq), {"gain": gain, "cost": cost})
+    total = F.col("all_gain")
+    share = F.when(total > 0, F.round((F.col("so_far_gain").cast("double") / total.cast("double") * 100).cast("decimal(18,6)"), 1)).otherwise(F.lit(100).cast("decimal(18,1)"))
+    told = told.withColumns({"rank": F.col("rank").cast("int"), "cumulative_weeks": F.col("so_far_cost").cast("double"), "cumulative_pct": share.cast("double")})
+    return told.drop("so_far_gain", "so_far_cost", "all_gain", "all_cost")
 
 
 def frontier(items: DataFrame, by: str, seq: str = "asset_seq") -> DataFrame:
@@ -57,9 +56,7 @@ def knapsack(weight: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray
 
 def measured(items: DataFrame, *columns: str) -> DataFrame:
     """These columns, written and read again: the optimizer need not carry the expressions of the measures through every step after them."""
-    folder = f"{shared_dir(items.sparkSession)}/items-{uuid.uuid4().hex}"
-    items.select(*columns).write.parquet(folder)
-    return items.sparkSession.read.parquet(folder)
+    return Steps(items.sparkSession, "items").write(items.select(*columns))
 
 
 def contenders(items: DataFrame, by: str, grid: int, seq: str) -> DataFrame:

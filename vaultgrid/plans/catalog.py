@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import fixed, rules
-from ..operators import commitment, correlate, graph, portfolio, posture, scoring, simulation
+from ..operators import commitment, correlate, graph, portfolio, posture, reach, scoring, simulation
 from ..sources import texts
 from . import estate
 from .estate import ASSETS_SQL, CLASSIFIED_SQL, ITEMS_SQL, SCORED_SQL, table
@@ -376,13 +376,13 @@ def _nodes(edges: DataFrame) -> DataFrame:
 @query(f"WITH RECURSIVE {_CLOSURE} SELECT node_id, count(dst) AS r0 FROM n LEFT JOIN c ON c.src = node_id GROUP BY 1")
 def graph_reach(spark, sf):
     e = _edges(spark, sf)
-    return graph.reach_counts(_nodes(e), graph.reach(e))
+    return reach.reached(e)
 
 
 @query(f"WITH RECURSIVE {_CLOSURE} SELECT node_id, count(dst) + 1 AS radius, round(CAST(100.0::DOUBLE * (count(dst) + 1) / (SELECT count(*) FROM n) AS DECIMAL(18,6)), 1)::DOUBLE AS share_pct FROM n LEFT JOIN c ON c.src = node_id GROUP BY 1")
 def graph_blast(spark, sf):
     e = _edges(spark, sf)
-    return graph.blast(graph.reach(e), _nodes(e))
+    return graph.blast_of(reach.reached(e))
 
 
 @query(f"WITH {_EDGES} SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1")
@@ -398,7 +398,7 @@ def graph_classes(spark, sf):
     e = _edges(spark, sf)
     n = _nodes(e)
     kinds = n.select("node_id", F.left("node_id", F.lit(1)).isin("R", "S").alias("vulnerable"), (F.left("node_id", F.lit(1)) == "N").alias("safe"))
-    return graph.classes(kinds, graph.reach_counts(n, graph.reach(e)), e)
+    return graph.classes(kinds, reach.reached(e), e)
 
 
 _LINEAGE = """ing AS (SELECT DISTINCT 'f' || (user_id % 50) AS f, 'in:' || event_type AS id FROM events WHERE event_type IN ('click', 'view')), nex AS (SELECT DISTINCT 'f' || (user_id % 50) AS f, 'nx:' || (user_id % 50) AS id FROM events), egr AS (SELECT DISTINCT 'f' || (user_id % 50) AS f, 'out:' || event_type AS id FROM events WHERE event_type NOT IN ('click', 'view')),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from ..operators import factory, graph, guidance, lookups, portfolio, posture, reports, scoring, views
+from ..operators import factory, graph, guidance, lookups, portfolio, posture, reach, reports, scoring, views
 from ..sources import lineage_scan, material, python_code, texts, token_scan
 from . import catalog, estate
 from .catalog import BUDGET, _edges, _nodes, query, scored
@@ -182,7 +182,7 @@ def graph_document(spark, sf):
     e = _edges(spark, sf)
     n = _nodes(e)
     kinds = n.select("node_id", F.left("node_id", F.lit(1)).isin("R", "S").alias("vulnerable"), (F.left("node_id", F.lit(1)) == "N").alias("safe"))
-    lines = reports.graph_lines(graph.classes(kinds, graph.reach_counts(n, graph.reach(e)), e), e)
+    lines = reports.graph_lines(graph.classes(kinds, reach.reached(e), e), e)
     return lines.select("kind", "id", F.get_json_object("line", "$.color").alias("color"), F.get_json_object("line", "$.size").cast("int").alias("size"))
 
 
@@ -372,9 +372,8 @@ def endpoint_targets(spark, sf):
 )
 def blast_ranking(spark, sf):
     e = _edges(spark, sf)
-    closure = graph.reach(e)
-    n = _nodes(e)
-    return views.ranked_nodes(graph.blast(closure, n).join(graph.reach_counts(n, closure), "node_id"), 25).select("rank", "node_id", "r0")
+    r0 = reach.reached(e)
+    return views.ranked_nodes(graph.blast_of(r0).join(r0, "node_id"), 25).select("rank", "node_id", "r0")
 
 
 @query(f"WITH {estate.CLASSIFIED_SQL} SELECT asset_id, regexp_matches(u, 'RSA|ECDSA|ECDH|ED25519|ASYMMETRIC|UNTRUSTED-PRNG|CLEARTEXT-HTTP|IMPROPER-SSL|DUMMY-CERT|DUMMY-HOSTNAME|DYNAMIC_UNRESOLVED|SECURE-PRNG') AS needs_design FROM classified")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import re
 import time
 import zlib
 
@@ -322,6 +323,34 @@ def test_density_decides_where_names_do_not(monkeypatch):
     assert "Buy" in html_text.main_text(UNNAMED) and "one" in html_text.main_text(UNNAMED)
 
 
+def test_density_decides_on_the_table_and_names_break_ties(monkeypatch):
+    """Without densities nearly all pages change; without the names of noise only few do."""
+    pages = [h for (h,) in duckdb.connect().execute("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    want = [html_text.main_text(h) for h in pages]
+    changed = lambda: sum(a != html_text.main_text(h) for a, h in zip(want, pages))
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "LABEL", re.compile("(?!)"))
+        m.setattr(html_text, "NEVER", frozenset())
+        assert changed() <= 0.05 * len(pages)
+    real = html_text.measured
+
+    def flat(nodes):
+        real(nodes)
+        for n in nodes:
+            n.density = n.total = 0.0
+
+    monkeypatch.setattr(html_text, "measured", flat)
+    assert changed() >= 0.9 * len(pages)
+
+
+def test_a_name_that_lies_keeps_its_article():
+    """A dense part is the article, whatever it is called; a thin one of the same name goes."""
+    story = "".join(f"<p>{'A long enough paragraph of the story, with many words in it. ' * 3}{k}</p>" for k in range(5))
+    thin = "<p>Subscribe now to our letter.</p>"
+    for name in ("widget", "promo", "share"):
+        assert html_text.main_text(f"<body><div class={name}>{story}</div><div class={name}>{thin}</div></body>").count("\n\n") == 4
+
+
 @pytest.mark.parametrize("page", ["<div>" * 20000 + "x", "<ul><li>" * 10000 + "x", "<table><tr><td>" * 7000 + "x", "<b>" * 20000 + "x", "<a href='" * 20000 + "x", "<p>" * 20000 + "x"])
 def test_deep_and_broken_pages_take_linear_time(page):
     import time

@@ -1,18 +1,23 @@
 """Main text of web pages by composite text density.
 
 A page is read into a small DOM (implied end tags, void and raw-text elements,
-unclosed markup) in time linear in its length. Elements that are never shown or
-never an article go first: scripts, styles, hidden ones, menus, footers,
-sidebars, forms, and what whole class, id or role names call a notice, an advert
-or comments.
+unclosed markup) in time linear in its length. What is never shown goes first:
+scripts, styles, heads, hidden elements.
 
 Every node then has C characters, T tags, LC characters and LT tags in links;
 its composite density is ``C/T`` times the logarithm of ``C/LC * T/LT`` to the
 base ``ln(C/notLC * LC + LCbody/Cbody * C + e)``. The node with the largest sum
 of its children's densities is the core; the smallest density on its path up to
 the body is the threshold. Beside the path, subtrees of at least that density
-stay; inside the core's ``article`` or ``main`` so does what has more text than
-links. Where the names leave a page without text, it is read without them.
+stay whose children are dense themselves: a line of an advert or a footer has no
+children that add up. Inside the core's ``article`` or ``main`` what has more
+text than links stays.
+
+Names break ties only. Menus, footers, sidebars, forms, and what whole class, id
+or role names call a notice, an advert or comments are no cores, and go where
+the sum of their densities is below the core's; one that is as dense as the core
+is no noise, whatever its name. Where the names leave a page without text, it is
+read without them.
 
 Defined cases: a null or empty page gives an empty text and 0; a page without
 tags is one block; pages of any length are read whole; repeated rows are
@@ -54,7 +59,7 @@ IMPLIED = {
 }
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that hold no article, and whole class, id or role names that say so.
-NEVER = frozenset("aside dialog footer form head input nav menu search".split())
+NEVER = frozenset("aside dialog footer form input nav menu search".split())
 LABEL = re.compile(
     r"(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disclaimer|disqus|footer|login|masthead|menu|menubar|nav|navbar"
     r"|navigation|newsletter|notices?|pager|pagination|paywall|popup|modal|promo|promotion|recommended|related|replies|respond|share|sharing|sidebar|signup|skyscraper|social|sponsor|sponsored"
@@ -76,8 +81,10 @@ class Node:
 
 def judged(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element is never shown or never an article, and whether its names say that it is none."""
+    if tag == "head":
+        return True, False
     if tag in NEVER:
-        return True, True
+        return False, True
     if not attributes or attributes.isspace():
         return False, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in reversed(list(ATTRIBUTE.finditer(attributes)))}
@@ -164,8 +171,8 @@ def spoken(node: Node) -> bool:
     return any(isinstance(x, str) and not x.isspace() for x in node.parts)
 
 
-def ordered(root: Node, sift: bool) -> list[Node]:
-    """Nodes that can be shown, parents first. A header goes unless it heads an article; a control goes unless it stands in a sentence."""
+def ordered(root: Node) -> list[Node]:
+    """Nodes that can be shown, parents first. A header is noise unless it heads an article, a control unless it stands in a sentence."""
     out, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
@@ -178,7 +185,6 @@ def ordered(root: Node, sift: bool) -> list[Node]:
                     x.noise = x.noise or not (inside and heads)
                 elif x.tag in ("button", "label") and not x.drop:
                     x.noise = x.noise or not spoken(node)
-                x.drop = x.drop or sift and x.noise
                 if not x.drop:
                     todo.append((x, inside))
     return out
@@ -213,23 +219,37 @@ def measured(nodes: list[Node]) -> None:
             n.up.total += n.density
 
 
+def core_of(nodes: list[Node], named: bool) -> Node:
+    """The node with the largest sum of its children's densities; with names, none in noise, and noise adds nothing."""
+    if not named:
+        return max(nodes, key=lambda n: n.total)
+    best, most, noisy = nodes[0], 0.0, set()
+    for n in nodes:  # parents first
+        if n.noise or id(n.up) in noisy:
+            noisy.add(id(n))
+            continue
+        total = sum(x.density for x in n.parts if isinstance(x, Node) and not x.drop and not x.noise)
+        if total > most:
+            best, most = n, total
+    return best
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article, joined by an empty line."""
     if not page:
         return ""
-    for sift in (True, False):  # a page whose names leave nothing is read without them
-        root = parse(page)
-        nodes = ordered(root, sift)
-        measured(nodes)
-        body = next((n for n in nodes if n.tag == "body"), nodes[0])
-        text = selected(body, max(nodes, key=lambda n: n.total))
+    nodes = ordered(parse(page))
+    measured(nodes)
+    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    for named in (True, False):  # a page whose names leave nothing is read without them
+        text = selected(body, core_of(nodes, named), named)
         if text:
             return text
     return ""
 
 
-def selected(body: Node, core: Node) -> str:
-    """The core's subtree, and beside its path to the body what is as dense as the path at least.
+def selected(body: Node, core: Node, named: bool) -> str:
+    """The core's subtree, and beside its path to the body what is as dense as the path at least, and has dense children.
 
     Inside the core's article, what has more text than links stays too: there a
     short paragraph is no noise.
@@ -268,7 +288,9 @@ def selected(body: Node, core: Node) -> str:
             if isinstance(y, str):
                 if whole or id(x) in inside or x is not body:
                     todo.append((y.replace("\0", "�"), True))
-            elif not y.drop and (whole or id(y) in path or y.density >= threshold or id(x) in inside and 2 * y.link_chars <= y.chars):
+            elif y.drop or named and y.noise and id(y) not in path and y.total < core.total:
+                continue
+            elif whole or id(y) in path or y.density >= threshold and y.total > 0 or id(x) in inside and 2 * y.link_chars <= y.chars:
                 todo.append((y, whole or id(y) not in path))
     blocks = (" ".join(entities.unescape(b).split()) for b in "".join(out).split("\0"))
     return "\n\n".join(b for b in blocks if b)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import data_flow, java_flow, token_scan
+from ..sources import data_flow, imports, java_flow, token_scan
 from .catalog import query
 from .estate import pick, table
 from .inventory import _list
@@ -91,3 +91,45 @@ def java_values(spark, sf):
     """Scopes, shadowing, branches that cannot run, helper methods, loops, maps, and what other files pass on, in twelve shapes of source."""
     files = _java_sources(spark, sf)
     return java_flow.followed(token_scan.code_findings(files), files).select("path", "line_no", "algorithm", "origin")
+
+
+#: By key: what a script, a Go file, a Rust file and a Python file import, and what that is below the project's folder; * stands for the project's name, a name without a suffix is a package.
+_SPECS = {
+    "web/app.ts": [("import { a } from './lib/aes';", "web/lib/aes.ts"), ("const a = require('./lib/rsa')", "web/lib/rsa/index.js"), ("export * from '../web/lib/md5.mjs'", "web/lib/md5.mjs"), ("import 'node-forge/lib'", "node-forge"), ("import x from './lib/aes.js'", "web/lib/aes.ts")],
+    "svc/main.go": [('import "*.org/x/a"', "svc/a/k.go"), ('import (\n\t"fmt"\n)', "fmt"), ('import b "*.org/x/a/b"', "svc/a/b/k.go")],
+    "rs/src/main.rs": [("use crate::net::Tls;", "rs/src/net/mod.rs"), ("use crate::{util::Key};", "rs/src/util.rs"), ("use sha2::Sha256;", "sha2"), ("mod net;", "rs/src/net/mod.rs")],
+    "py/pkg/core.py": [("from .keys import K", "py/pkg/keys.py"), ("import pkg.deep.er", "py/pkg/deep/er.py"), ("from . import keys", "py/pkg/keys.py"), ("import hashlib", "hashlib"), ("from pkg.deep import er", "py/pkg/deep/er.py"), ("from pkg.deep import Thing", "py/pkg/deep/__init__.py")],
+}
+_MEMBERS = ["web/lib/aes.ts", "web/lib/rsa/index.js", "web/lib/md5.mjs", "svc/a/k.go", "svc/a/k_test.go", "svc/a/b/k.go", "rs/src/net/mod.rs", "rs/src/util.rs", "py/pkg/keys.py", "py/pkg/deep/er.py", "py/pkg/deep/__init__.py"]
+
+
+def _projects(spark, sf):
+    """A project of four languages for each part."""
+    part, name = table(spark, sf, "part"), F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
+    at = lambda p: F.concat(name, F.lit("/" + p))
+    rows = [(p, F.lit("")) for p in _MEMBERS] + [("svc/go.mod", F.concat(F.lit("module "), name, F.lit(".org/x\n")))]
+    rows += [(p, F.replace(pick([t for t, _ in specs], F.col("p_partkey") % len(specs)), F.lit("*"), name) if p == "svc/main.go" else pick([t for t, _ in specs], F.col("p_partkey") % len(specs))) for p, specs in _SPECS.items()]
+    out = None
+    for p, content in rows:
+        one = part.select(at(p).alias("path"), content.alias("content"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _imported() -> str:
+    each = []
+    for p, specs in _SPECS.items():
+        found = f"{_list([s for _, s in specs])}[p_partkey % {len(specs)} + 1]"
+        each.append(f"SELECT CASE WHEN contains({found}, '.') THEN 'm' || p_partkey || '/' ELSE '' END || {found} AS src, 'm' || p_partkey || '/{p}' AS dst, NOT contains({found}, '.') AS external FROM part")
+    return " UNION ALL ".join(each)
+
+
+@query(_imported())
+def module_edges(spark, sf):
+    """Edges from the file, or the package from elsewhere, that an import means, across the folders of projects in four languages."""
+    return imports.resolved(_projects(spark, sf)).select("src", "dst", "external")
+
+
+@query(f"WITH e AS ({_imported()}), s AS (SELECT CASE WHEN external THEN src ELSE regexp_extract(src, '([^/]+?)(\\.[^./]*)?$', 1) END AS src, regexp_extract(dst, '([^/]+?)(\\.[^./]*)?$', 1) AS dst FROM e) SELECT DISTINCT src, dst FROM s WHERE src <> dst")
+def module_network(spark, sf):
+    return imports.by_stem(imports.resolved(_projects(spark, sf)))

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from vaultgrid.operators import simulation
-from vaultgrid.plans import catalog, contagion, corpora, flows, inventory, more, outputs, scans, stores  # noqa: F401
+from vaultgrid.plans import catalog, contagion, corpora, flows, inventory, journals, more, outputs, scans, stores  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

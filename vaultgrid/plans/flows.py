@@ -133,3 +133,31 @@ def module_edges(spark, sf):
 @query(f"WITH e AS ({_imported()}), s AS (SELECT CASE WHEN external THEN src ELSE regexp_extract(src, '([^/]+?)(\\.[^./]*)?$', 1) END AS src, regexp_extract(dst, '([^/]+?)(\\.[^./]*)?$', 1) AS dst FROM e) SELECT DISTINCT src, dst FROM s WHERE src <> dst")
 def module_network(spark, sf):
     return imports.by_stem(imports.resolved(_projects(spark, sf)))
+
+
+#: Every rule of the scanners: a file's name, its lines, and the findings (line, rule, algorithm); the whole stands below as many empty lines as the key says.
+_RULES = [
+    ("K.java", 'class K implements X509TrustManager {\n  public void checkServerTrusted(X509Certificate[] c, String a) {}\n  void f(Socket s) throws Exception {\n    Cipher.getInstance("AES/GCM/NoPadding");\n    Signature.getInstance("SHA256withRSA");\n    KeyPairGenerator.getInstance("DSA");\n    KeyGenerator.getInstance("AES");\n    KeyAgreement.getInstance("ECDH");\n    Mac.getInstance("HmacMD5");\n    SecretKeyFactory.getInstance("PBKDF2");\n    SSLContext.getInstance("TLSv1.1");\n    new java.util.Random();\n    new Socket("h", 1);\n    byte[] iv = new byte[16];\n    rnd.nextBytes(iv);\n    new IvParameterSpec(iv);\n    new IvParameterSpec("0000".getBytes());\n    new SecretKeySpec("key".getBytes(), "AES");\n    new PBEKeySpec(p, salt, 10 * 99);\n    new PBEParameterSpec(salt, 5000);\n    r.setSeed(4);\n    ks.load(in, "changeit".toCharArray());\n    u = "http://plain.example";\n    v = "http://www.w3.org/x";\n  }\n}',
+     [(1, "X509TrustManager", "DUMMY-CERT-VALIDATION"), (4, "jca:Cipher", "AES-GCM"), (5, "jca:Signature", "SHA256WITHRSA"), (6, "jca:KeyPairGenerator", "DSA"), (7, "jca:KeyGenerator", "AES"), (8, "jca:KeyAgreement", "ECDH"), (9, "jca:Mac", "HMACMD5"), (10, "jca:SecretKeyFactory", "PBKDF2"), (11, "jca:SSLContext", "TLSV1.1"), (12, "new:Random", "UNTRUSTED-PRNG"), (13, "new:Socket", "UNENCRYPTED-SOCKET"), (17, "new:IvParameterSpec", "STATIC-IV"), (18, "new:SecretKeySpec", "PREDICTABLE-KEY"), (19, "new:PBEKeySpec", "PBE-WEAK-ITERATION"), (21, "setSeed", "PREDICTABLE-SEED"), (22, "KeyStore.load", "PREDICTABLE-KEYSTORE-PASSWORD"), (23, "url", "CLEARTEXT-HTTP")]),
+    ("H.java", "class H implements HostnameVerifier {\n  public boolean verify(String h, SSLSession s) { return true; }\n}\nclass I implements HostnameVerifier {\n  public boolean verify(String h, SSLSession s) {\n    if (h.isEmpty()) return false;\n    return true;\n  }\n}\nclass J implements X509TrustManager {\n  public void checkServerTrusted(X509Certificate[] c, String a) throws E { throw new E(); }\n}",
+     [(1, "HostnameVerifier", "DUMMY-HOSTNAME-VERIFIER"), (4, "HostnameVerifier", "TLS-HOSTNAME-VERIFIER")]),
+    ("j.ts", "ml_dsa65.sign(m);\nml_kem768.keygen();\nforge.pki.rsa.generateKeyPair({ bits: 3072 });\nrsaBlindService.signBlinded(x);\nconst p = constants.RSA_NO_PADDING;\ncrypto.generateKeyPairSync('ed25519');\ncrypto.createDecipheriv('aes-256-cbc', k, iv);\ncrypto.createHmac('sha256', k);\ncrypto.createVerify('RSA-SHA256');\njwt.sign(t);\ncreateHash('sha1');",
+     [(1, "noble", "ML-DSA-65"), (2, "noble", "ML-KEM-768"), (3, "forge", "RSA-3072"), (4, "blind", "RSA-2048"), (5, "padding", "RSA-2048"), (6, "generateKeyPairSync", "ED25519"), (7, "createDecipheriv", "AES-256-CBC"), (8, "createHmac", "HMAC-SHA-256"), (9, "createVerify", "RSA-SHA256"), (10, "jwt", "JWT-HMAC-SHA256"), (11, "createHash", "SHA-1")]),
+    ("r.rs", "struct U2048(u8);\nuse curve25519_dalek::ristretto::RistrettoPoint;\nconst LWE_Q: u64 = 1;\nstruct LweCiphertext;\nlet h = sha2::Sha512::new();",
+     [(1, "struct", "RSA-2048"), (2, "dalek", "RISTRETTO255"), (3, "lwe", "LWE-2048"), (4, "lwe", "LWE-2048"), (5, "sha2", "SHA-512")]),
+    ("s.rb", "c = OpenSSL::Cipher.new('aes-128-gcm')\nd = OpenSSL::Digest::SHA384.new\nOpenSSL::HMAC.digest('sha512', k, x)\nOpenSSL::KDF.scrypt(p)\nk = OpenSSL::PKey::EC.new(384)\nActiveSupport::MessageEncryptor.new(k)\nBCrypt::Password.create(p)\nJWT.decode(t, k, 'ES512')",
+     [(1, "openssl:Cipher", "AES-128-GCM"), (2, "openssl:Digest", "SHA-384"), (3, "openssl:HMAC", "HMAC-SHA-512"), (4, "openssl:KDF", "SCRYPT"), (5, "openssl:PKey", "EC-384"), (6, "rails", "AES-256-GCM"), (7, "bcrypt", "BCRYPT"), (8, "jwt", "JWT-ES512")]),
+]
+
+
+@query(
+    "WITH r(f, n, rule, algorithm) AS (VALUES " + ", ".join(f"('{f}', {n}, '{rule}', '{a}')" for f, _, found in _RULES for n, rule, a in found) + ") SELECT 'r' || s_suppkey || '/' || f AS path, CAST(n + s_suppkey % 7 AS INTEGER) AS line_no, rule, algorithm FROM supplier, r"
+)
+def scanner_rules(spark, sf):
+    """Every rule of the scanners of Java, JavaScript, Rust and Ruby, each file some lines further down."""
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    files = None
+    for name, text, _ in _RULES:
+        one = s.select(F.concat(F.lit("r"), k.cast("string"), F.lit("/" + name)).alias("path"), F.concat(F.repeat(F.lit("\n"), (k % 7).cast("int")), F.lit(text)).alias("content"))
+        files = one if files is None else files.unionByName(one)
+    return token_scan.code_findings(files).select("path", "line_no", "rule", "algorithm")

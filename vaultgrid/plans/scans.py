@@ -31,7 +31,7 @@ def _sources(spark, sf):
     k = F.col("s_suppkey")
     made = None
     for name, body, fills, *_ in _CASES:
-        text = F.replace(F.lit(body), F.lit("{}"), pick(fills, k % 3)) if name != "f.rs" else F.replace(F.lit(body), F.lit("{}"), pick(fills, k % 3))
+        text = F.replace(F.lit(body), F.lit("{}"), pick(fills, k % 3))
         one = table(spark, sf, "supplier").select(F.concat(F.lit("p"), k.cast("string"), F.lit("/" + name)).alias("path"), text.alias("content"))
         made = one if made is None else made.unionByName(one)
     return made

@@ -79,3 +79,20 @@ def test_no_partition_holds_a_large_group(spark):
     df = spark.range(4000).select(F.lit("p").alias("g"), F.col("id"), F.lit(1).cast("long").alias("v"))
     plan = running.totals(df, "g", [F.col("id")], {"v": F.col("v")})
     assert {(r["rank"], r["so_far_v"], r["all_v"]) for r in plan.collect()} == {(i + 1, i + 1, 4000) for i in range(4000)}
+
+
+def test_first_inference_of_a_large_file(spark):
+    """One file with thousands of assets and inferences: the first by line or by name, as a plain loop finds it, also for names inside others and without letters."""
+    from vaultgrid.operators import correlate
+
+    draw = random.Random(4)
+    names = ["key", "a", "ke", "keyring", "ü", "", None, "k e"]
+    codes = ["keyring()", "x = ke", "", None, "K E", "k ey", "ü", "no"]
+    assets = [(f"a{i}", "f" if i % 10 else "g", draw.randrange(20000), codes[i % len(codes)]) for i in range(800)]
+    inferences = [("f" if i % 9 else "h", i, draw.randrange(20000), names[draw.randrange(len(names))] if i % 3 else "zz") for i in range(1500)]
+    got = correlate.first_inference(spark.createDataFrame(assets, "asset_id string, file_path string, line_number int, matched_code string"), spark.createDataFrame(inferences, "file_path string, ord int, line int, name string"), "line", "name", "ord")
+    want = {}
+    for a, f, at, code in assets:
+        hit = [(o, line, n) for g, o, line, n in inferences if g == f and (abs(line - at) <= 5 or (n and code and n in code))]
+        want[a] = min(hit, key=lambda x: x[0])[:2] if hit else (None, None)
+    assert {r["asset_id"]: (r["ord"], r["line"]) for r in got.collect()} == want

@@ -37,14 +37,35 @@ def band_join(left: DataFrame, right: DataFrame, file: str, line: str, other_lin
     return first_match(l, r, on, key, order).drop("__b", "__bucket", "__file")
 
 
+#: Letters of a variable by which it meets the codes that hold it.
+STEM = 3
+
+
+def pieces(code: Column) -> Column:
+    """All distinct runs of one to ``STEM`` characters of a text."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length(code) - n + 1), lambda i: F.substring(code, i, F.lit(n)))
+    return F.array_distinct(F.concat(*[F.when(F.length(code) >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in range(1, STEM + 1)]))
+
+
 def first_inference(assets: DataFrame, inferences: DataFrame, line: str, variable: str, order: str, width: int = 5) -> DataFrame:
-    """Assets, each with the first inference of its file that is within ``width`` lines or whose variable stands in the matched code."""
-    inf = inferences.withColumnRenamed("file_path", "__file")
-    named = (F.col(variable) != "") & F.contains(F.col("matched_code"), F.col(variable))
-    on = (F.col("file_path") == F.col("__file")) & ((F.abs(F.col("line_number") - F.col(line)) <= width) | named)
-    rest = [c for c in inf.columns if c not in (order, "__file")]
-    met = assets.select("asset_id", "file_path", "line_number", "matched_code").join(inf, on).groupBy("asset_id").agg(F.min(F.struct(order, *rest)).alias("__x"))
-    return assets.join(met.withColumnRenamed("asset_id", "__id"), F.col("asset_id") == F.col("__id"), "left").select(*assets.columns, *[F.col(f"__x.{c}").alias(c) for c in (order, *rest)])
+    """Assets, each with the first inference of its file that is within ``width`` lines or whose variable stands in the matched code.
+
+    Both rules are joins of keys: lines meet by buckets, and variables, of each
+    file's of one name only the first, by their first letters with the pieces of
+    the codes. So a file with very many of both costs no product of the two.
+    """
+    rest = [c for c in inferences.columns if c not in (order, "file_path")]
+    row = F.struct(order, *rest)
+    size = width + 1
+    spread = F.explode(F.array(*[F.floor(F.col(line) / size) + F.lit(d) for d in (-1, 0, 1)]))
+    at = inferences.select(F.col("file_path").alias("__file"), spread.alias("__bucket"), F.col(line).alias("__line"), row.alias("__x"))
+    a = assets.select("asset_id", "file_path", "line_number", "matched_code", F.floor(F.col("line_number") / size).alias("__b"))
+    near = a.join(at, (F.col("file_path") == F.col("__file")) & (F.col("__b") == F.col("__bucket")) & (F.abs(F.col("line_number") - F.col("__line")) <= width)).select("asset_id", "__x")
+    first = inferences.where(F.col(variable) != "").groupBy(F.col("file_path").alias("__file"), F.col(variable).alias("__name")).agg(F.min(row).alias("__x")).withColumn("__stem", F.left("__name", F.lit(STEM)))
+    codes = a.select("asset_id", "file_path", "matched_code", F.explode(pieces(F.col("matched_code"))).alias("__piece"))
+    named = codes.join(first, (F.col("file_path") == F.col("__file")) & (F.col("__piece") == F.col("__stem")) & F.contains("matched_code", "__name")).select("asset_id", "__x")
+    met = near.unionByName(named).groupBy(F.col("asset_id").alias("__id")).agg(F.min("__x").alias("__x"))
+    return assets.join(met, F.col("asset_id") == F.col("__id"), "left").select(*assets.columns, *[F.col(f"__x.{c}").alias(c) for c in (order, *rest)])
 
 
 def contained_first(left: DataFrame, dim: DataFrame, texts: list[str], word: str, key: str, order: str, bound: int = SMALL) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .graph import shared_dir
+from .reach import Steps
 
 KEPT_ON_UPDATE = ("created_at", "status")
 
@@ -60,9 +59,8 @@ def changed(before: DataFrame, after: DataFrame, key: str, version: str) -> Data
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` with ``seq`` from 1 in a total order: range-sorted, then each row's place in its partition plus the sizes of those before it."""
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/numbered-{uuid.uuid4().hex}"  # written, so that both reads below see the same places
-    df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).write.parquet(folder)
-    placed = spark.read.parquet(folder)
+    # written, so that both reads below see the same places
+    placed = Steps(spark, "numbered").write(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     sizes = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))  # a row for each partition
     before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -228,6 +228,24 @@ def specification_lookup(spark, sf):
     return table(spark, sf, "part").select("p_partkey", pick(_ASKED, F.col("p_partkey") % 6).alias("name")).withColumn("standard", reports.specification(F.col("name"), _SPECS))
 
 
+@query(
+    """WITH a AS (SELECT c_custkey, ['ml-kem-768', 'vendor_kem ' || c_nationkey, 'VENDOR-KEM-' || c_nationkey || '-X', 'x25519-ml-kem-768', 'RSA', 'slh.dsa', 'ML-DSA-65 '][c_custkey % 7 + 1] AS name, c_nationkey FROM customer)
+    SELECT c_custkey, name, CASE c_custkey % 7 WHEN 0 THEN 'OWN 203' WHEN 1 THEN 'OWN ' || c_nationkey WHEN 2 THEN 'OWN ' || (SELECT min(n_nationkey) FROM nation WHERE contains('VENDOR-KEM-' || c_nationkey || '-X', 'VENDOR-KEM-' || n_nationkey)) WHEN 3 THEN 'HYBRID' WHEN 5 THEN 'FIPS 205' WHEN 6 THEN 'FIPS 204' END AS standard FROM a"""
+)
+def registered_standards(spark, sf):
+    """A catalogue of standards to which every nation adds its own, one of them under a known name and one a hybrid with other names."""
+    specs = spark.createDataFrame([(i, *x) for i, x in enumerate(_SPECS)], "ord int, name string, standard string")
+    n = table(spark, sf, "nation")
+    own = n.select(F.format_string("Vendor KEM (%02d)", "n_nationkey").alias("name"), F.concat(F.lit("OWN "), F.col("n_nationkey").cast("string")).alias("standard"))
+    own = own.withColumn("name", F.regexp_replace("name", r"\(0?(\d+)\)", "$1"))
+    new = own.unionByName(spark.createDataFrame([("ml_kem 768", "OWN 203"), ("Composite-KEM v1", "HYBRID")], "name string, standard string"))
+    k = F.col("c_custkey") % 7
+    nation = F.col("c_nationkey").cast("string")
+    name = F.get(F.array(F.lit("ml-kem-768"), F.concat(F.lit("vendor_kem "), nation), F.concat(F.lit("VENDOR-KEM-"), nation, F.lit("-X")), F.lit("x25519-ml-kem-768"), F.lit("RSA"), F.lit("slh.dsa"), F.lit("ML-DSA-65 ")), k.cast("int"))
+    asked = table(spark, sf, "customer").select("c_custkey", name.alias("name"))
+    return lookups.standard_of(asked, lookups.standards(lookups.register_standard(specs, new)), "name")
+
+
 @query("WITH d AS (SELECT DISTINCT 'lib-' || l_suppkey AS package, 'app' || (l_orderkey % 50) || '/pom.xml' AS manifest_path FROM lineitem) SELECT manifest_path, package FROM d")
 def manifest_dedup(spark, sf):
     d = _deps(spark, sf)

@@ -21,7 +21,7 @@ query's best k of each shard are merged by a ranked window.
 Left out, as queries and as candidates: vectors that are null, zero, of another
 length than the sample's commonest, or hold null or non-finite components.
 Repeated rows are candidates of each other; a null id never is a query and ranks
-last among ties. An empty table gives an empty result; other columns are ignored.
+last among ties; ids are whole numbers, and what is no number fails or is null as the session's casts say. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

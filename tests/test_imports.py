@@ -1,5 +1,6 @@
 """Imports of four languages resolved across folders."""
 
+from vaultgrid.plans import catalog, flows  # noqa: F401  the second adds its queries to the first
 from vaultgrid.sources import imports
 
 FILES = {
@@ -38,3 +39,17 @@ def test_of_two_modules_of_one_name_the_own_one_counts(spark):
 
 def test_empty(spark):
     assert imports.resolved(spark.createDataFrame([], "path string, content string")).count() == 0
+
+
+def test_queries_read_projects_once_for_each_use_and_broadcast_none(spark):
+    for name in ("module_edges",):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= 5, name
+        assert plan.count("MapInArrow") == 2, name
+        assert "Broadcast" not in plan, name
+
+
+def test_a_go_package_of_the_file_alone_is_external(spark):
+    files = [("a/go.mod", "module m.org/x"), ("a/k/k.go", 'package k\nimport "m.org/x/k"'), ("a/k/k_test.go", "package k"), ("a/m.go", 'package m\nimport "m.org/x/none"\n')]
+    got = {tuple(r) for r in imports.resolved(spark.createDataFrame(files, "path string, content string")).collect()}
+    assert got == {("m.org/x/k", "a/k/k.go", "m.org/x/k", "go", True), ("m.org/x/none", "a/m.go", "m.org/x/none", "go", True)}

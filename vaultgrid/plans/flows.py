@@ -105,15 +105,12 @@ _MEMBERS = ["web/lib/aes.ts", "web/lib/rsa/index.js", "web/lib/md5.mjs", "svc/a/
 
 def _projects(spark, sf):
     """A project of four languages for each part."""
-    part, name = table(spark, sf, "part"), F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
-    at = lambda p: F.concat(name, F.lit("/" + p))
+    name = F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
     rows = [(p, F.lit("")) for p in _MEMBERS] + [("svc/go.mod", F.concat(F.lit("module "), name, F.lit(".org/x\n")))]
     rows += [(p, F.replace(pick([t for t, _ in specs], F.col("p_partkey") % len(specs)), F.lit("*"), name) if p == "svc/main.go" else pick([t for t, _ in specs], F.col("p_partkey") % len(specs))) for p, specs in _SPECS.items()]
-    out = None
-    for p, content in rows:
-        one = part.select(at(p).alias("path"), content.alias("content"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    each = F.array(*[F.struct(F.concat(name, F.lit("/" + p)).alias("path"), content.alias("content")) for p, content in rows])
+    # keys are dealt out first: a few MB of them make many files
+    return table(spark, sf, "part").select("p_partkey").repartition("p_partkey").select(F.inline(each))
 
 
 def _imported() -> str:

@@ -166,11 +166,13 @@ def _read(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def _language(path) -> F.Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
+
+
 def imports(files: DataFrame) -> DataFrame:
     """A row for each import of files (path, content), with the places that it could mean."""
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    language = F.try_element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), suffix)
-    kept = files.select("path", language.alias("language"), "content").where(F.col("language").isNotNull() & F.col("content").rlike(GATE))
+    kept = files.select("path", _language(F.col("path")).alias("language"), "content").where(F.col("language").isNotNull() & F.col("content").rlike(GATE))
     return kept.mapInArrow(_read, SCHEMA)
 
 
@@ -178,32 +180,45 @@ def _folder(path) -> F.Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def go_packages(files: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, spec, src): the files of the package that a Go import names, by the module whose name begins it; the longest name counts."""
+def _is_go(path) -> F.Column:
+    return F.endswith(F.lower(path), F.lit(".go"))
+
+
+def go_packages(files: DataFrame) -> DataFrame:
+    """(path, spec, src, external): the files of the package that a Go import names, by the module whose name begins it; the longest name counts. Without such files the import itself."""
     module = F.regexp_extract("content", r"(?m)^\s*module\s+\"?([^\s\"]+)", 1)
     modules = files.where(F.col("path").rlike(r"(^|/)go\.mod$") & F.col("content").isNotNull()).select(_folder(F.col("path")).alias("root"), module.alias("module")).where("module <> ''")
     parts = F.split("spec", "/")
-    wanted = found.where("language = 'go'").select("path", "spec").distinct()
+    wanted = imports(files.where(_is_go(F.col("path")))).select("path", "spec").where("spec <> ''")
     prefixes = wanted.select("path", "spec", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k")).withColumns({"module": F.array_join(F.slice(parts, 1, F.col("k")), "/"), "rest": F.array_join(F.slice(parts, F.col("k") + 1, 1000), "/")})
     # of several modules of one name the one that the importing file is in, else the first
     inside = F.startswith("path", F.when(F.col("root") == "", "").otherwise(F.concat("root", F.lit("/"))))
-    best = prefixes.join(modules, "module").groupBy("path", "spec").agg(F.max_by(F.struct("root", "rest"), F.struct("k", inside, F.length("root"))).alias("x"))
-    at = best.select("path", "spec", F.concat_ws("/", F.when(F.col("x.root") != "", F.col("x.root")), F.when(F.col("x.rest") != "", F.col("x.rest"))).alias("folder"))
-    members = files.where(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).select(F.col("path").alias("src"), _folder(F.col("path")).alias("folder"))
-    return at.join(members, "folder").where("src <> path").select("path", "spec", "src")
+    met = prefixes.join(modules.hint("merge"), "module", "left").where("root IS NOT NULL OR k = 1")
+    best = met.groupBy("path", "spec").agg(F.max_by(F.struct("root", "rest"), F.when(F.col("root").isNotNull(), F.struct("k", inside, F.length("root")))).alias("x"))
+    folder = F.concat_ws("/", F.when(F.col("x.root") != "", F.col("x.root")), F.when(F.col("x.rest") != "", F.col("x.rest")))
+    # no path holds a NUL: an import without a module meets no folder, and many of them no common key
+    at = best.select("path", "spec", F.when(F.col("x.root").isNotNull(), folder).otherwise(F.concat(F.lit("\0"), "path")).alias("at"))
+    members = files.where(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).select(F.col("path").alias("src"), _folder(F.col("path")).alias("folder")).distinct()
+    found = at.join(members.hint("merge"), (F.col("at") == F.col("folder")) & (F.col("src") != F.col("path")), "left")
+    return found.select("path", "spec", F.coalesce("src", "spec").alias("src"), F.col("src").isNull().alias("external"))
 
 
 def resolved(files: DataFrame) -> DataFrame:
-    """(src, dst, spec, language, external): ``dst`` uses ``src``, a file, or the name of a package that no file provides."""
-    found = imports(files)
-    there = files.select(F.col("path").alias("src")).distinct()
-    places = found.where("language <> 'go'").select("path", "language", "spec", F.posexplode("candidates").alias("at", "src"))
-    first = places.join(there, "src").where("src <> path").groupBy("path", "language", "spec").agg(F.min_by("src", "at").alias("src"))
-    packages = go_packages(files, found).select("path", F.lit("go").alias("language"), "spec", "src")
-    inner = first.unionByName(packages)
-    outer = found.where("package <> ''").select("path", "language", "spec", F.col("package").alias("src")).distinct().join(inner, ["path", "language", "spec"], "left_anti")
-    edges = inner.withColumn("external", F.lit(False)).unionByName(outer.withColumn("external", F.lit(True)))
-    return edges.select("src", F.col("path").alias("dst"), "spec", "language", "external").distinct()
+    """(src, dst, spec, language, external): ``dst`` uses ``src``, a file, or the name of a package that no file provides.
+
+    Each file is read for its imports once, and their places are dealt out once:
+    the package stands behind them with the file's own path, which is there, so
+    that it counts where no place does. The joins are asked to merge: both sides
+    grow with the files, and sizes guessed behind Python would have them broadcast.
+    """
+    there = files.select(F.col("path").alias("place")).distinct()
+    n = F.size("candidates")
+    places = imports(files.where(~_is_go(F.col("path")))).select("path", "spec", "package", n.alias("n"), F.posexplode(F.array_append("candidates", F.col("path"))).alias("at", "place"))
+    places = places.where("at < n AND place <> path OR at = n AND package <> ''").select("path", "spec", "at", "place", F.when(F.col("at") == F.col("n"), F.col("package")).alias("package"))
+    first = places.join(there.hint("merge"), "place").groupBy("path", "spec").agg(F.min_by(F.struct("place", "package"), "at").alias("x"))
+    inner = first.select("path", _language(F.col("path")).alias("language"), "spec", F.coalesce("x.package", "x.place").alias("src"), F.col("x.package").isNotNull().alias("external"))
+    packages = go_packages(files).select("path", F.lit("go").alias("language"), "spec", "src", "external")
+    return inner.unionByName(packages).select("src", F.col("path").alias("dst"), "spec", "language", "external")
 
 
 def by_stem(edges: DataFrame) -> DataFrame:

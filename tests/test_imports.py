@@ -42,7 +42,7 @@ def test_empty(spark):
 
 
 def test_queries_read_projects_once_for_each_use_and_broadcast_none(spark):
-    for name in ("module_edges",):
+    for name in ("module_edges", "module_network"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") <= 5, name
         assert plan.count("MapInArrow") == 2, name

@@ -4,11 +4,13 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from vaultgrid.operators import documents, registry
-from vaultgrid.sources import python_code, texts
+from vaultgrid.plans import catalog, scans
+from vaultgrid.sources import material, python_code, texts
 
 REPO = Path(__file__).resolve().parent.parent
 
@@ -226,3 +228,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["scan", str(tmp_path), "--fail-on", "critical", "--max", "1", "--out", str(tmp_path / "out")], spark) == 0
     assert sorted(r["algorithm"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["DES-ECB", "SHA-256"]
     assert main(["run", "top_algorithms", "/root/testdata/sf0.001"], spark) == 0
+
+
+def test_serial_numbers_are_no_sizes_of_curves(spark):
+    paths = {"k/key521.pem": "blob", "k/key1384.pem": "blob", "k/5210.pem": "blob", "k/p384.pem": "ECDSA-P384", "k/a-secp521r1.key": "ECDSA-P521", "k/ecdsa_p384/x.pem": "ECDSA-P384", "k/384/x.pem": "ECDSA-P384", "k/my-521.pem": "ECDSA-P521"}
+    doc = '{"components":[%s]}' % ",".join('{"name":"blob","cryptoProperties":{"assetType":"related-crypto-material","relatedCryptoMaterialProperties":{"type":"private-key","size":0}},"evidence":{"occurrences":[{"location":"%s"}]}}' % p for p in paths)
+    docs = spark.createDataFrame([(1, doc)], "doc_seq long, content string")
+    none = spark.createDataFrame([], "path string, sha string, sample string, fingerprint string")
+    assert {r["path"]: r["algorithm"] for r in material.material(docs, none).collect()} == paths
+
+
+def test_foreign_material_agrees_with_its_sql_where_serial_numbers_look_like_sizes(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT unnest([384, 385, 521, 1384, 3841, 5212, 13844]) AS s_suppkey) TO '{tmp_path}/supplier.parquet'")
+    got = scans.foreign_material(spark, f"file://{tmp_path}")
+    want = duckdb.sql(f"WITH supplier AS (FROM '{tmp_path}/supplier.parquet') SELECT * FROM ({catalog.ORACLES['foreign_material']})")
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())

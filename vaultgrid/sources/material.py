@@ -34,6 +34,11 @@ def no_key(path: Column, name: Column, kind: Column) -> Column:
     return F.contains(p, F.lit(".env")) | F.contains(n, F.lit(".env")) | F.contains(n, F.lit("generic-api-key")) | F.coalesce(kind.isin("token", "generic-api-key"), F.lit(False))
 
 
+def _curve_size(path: Column, bits: int) -> Column:
+    """Whether a lower-case path names a curve of so many bits: the number apart, or behind a name of curves, as in ``p384`` and ``secp384r1``; in ``key1384`` it is a serial number."""
+    return path.rlike(rf"(?<![a-z0-9])(?:(?:nist|secp|prime|brainpool|curve|ecdsa|ecdh|es|ec|p)[-_]?)*{bits}(?![0-9])")
+
+
 def key_facts(path: Column, name: Column, kind: Column, size: Column, sample: Column) -> Column:
     """(algorithm, key_size, primitive_type, x_tier) of a key, by its name, path and first characters; the first rule that fits counts."""
     n, p, s = F.upper(name), F.lower(path), F.coalesce(sample, F.lit(""))
@@ -47,8 +52,8 @@ def key_facts(path: Column, name: Column, kind: Column, size: Column, sample: Co
     plain_ec = _has(n, "EC") | _has(p, "ecdsa", "wallet") | _has(s, "prime256v1", "secp256r1", "1.2.840.10045", "PRIVATE KEY") | path.endswith("_sk") | _has(path, "priv_sk", "keystore")
     return (
         F.when(_has(n, "RSA") | _has(p, "rsa") | _has(s, "BEGIN RSA"), rsa)
-        .when(_has(s, "secp384r1", "1.3.132.0.34") | _has(p, "384") | _has(name, "384"), curve("ECDSA-P384", 384))
-        .when(_has(s, "secp521r1", "1.3.132.0.35") | _has(p, "521") | _has(name, "521"), curve("ECDSA-P521", 521))
+        .when(_has(s, "secp384r1", "1.3.132.0.34") | _curve_size(p, 384) | _has(name, "384"), curve("ECDSA-P384", 384))
+        .when(_has(s, "secp521r1", "1.3.132.0.35") | _curve_size(p, 521) | _has(name, "521"), curve("ECDSA-P521", 521))
         .when(_has(s, "secp256k1", "1.3.132.0.10"), curve("ECDSA-secp256k1", 256))
         .when(plain_ec, curve("ECDSA-P256", 256))
         .when(_has(n, "ED25519") | _has(p, "ed25519"), curve("Ed25519", 256))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from vaultgrid.llm import sort_means, spelling, subspace_join
+from vaultgrid.llm import lm_score, sort_means, spelling, subspace_join
 from vaultgrid.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -275,3 +275,10 @@ def test_one_edit():
     for a in words:
         near = {a[:i] + c + a[i:] for i in range(len(a) + 1) for c in (b"a", b"b")} | {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + c + a[i + 1 :] for i in range(len(a)) for c in (b"a", b"b")}
         assert {b for b in words if spelling.one_edit(a, b)} == {b for b in near if b != a and len(b) < 5}
+
+
+def test_rows_of_a_training_step_are_sorted_once():
+    rows = np.random.default_rng(0).integers(0, lm_score.CLASSES, 1152)
+    order, at, first = lm_score._grouped(rows)
+    want, begins = np.unique(rows[np.argsort(rows, kind="stable")], return_index=True)
+    assert (order == np.argsort(rows, kind="stable")).all() and (at == want).all() and (first == begins).all()

@@ -33,6 +33,7 @@ import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -138,10 +139,17 @@ def start(v: Vocabulary) -> Parameters:
     return Parameters(make(), make(), make(), np.log(noise_of(v)).astype(np.float32))
 
 
-def _rows_added(to: np.ndarray, rows: np.ndarray, g: np.ndarray, squares: np.ndarray) -> None:
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts the rows, the rows that occur, and where each begins in that order."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # outcomes fit two bytes, which numpy sorts by radix
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return order, ordered[first], first
+
+
+def _rows_added(to: np.ndarray, grouped: tuple[np.ndarray, np.ndarray, np.ndarray], g: np.ndarray, squares: np.ndarray) -> None:
     """An AdaGrad step on the rows named, each with its summed gradient."""
-    order = np.argsort(rows, kind="stable")
-    at, first = np.unique(rows[order], return_index=True)
+    order, at, first = grouped
     total = np.add.reduceat(g[order], first, axis=0)
     squares[at] += np.square(total).mean(axis=-1) if total.ndim > 1 else np.square(total)
     scale = STEP / np.sqrt(squares[at] + 1e-6)
@@ -174,16 +182,17 @@ class Trainer:
         gain = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, rw) + p.bias[w] - self.log_expected[w], -30, 30)))
         loss = -1 / (1 + np.exp(-np.clip(q @ rn.T + p.bias[noise] - self.log_expected[noise], -30, 30)))
         gq = gain[:, None] * rw + loss @ rn
-        _rows_added(p.t1, a, gq, self.squares[0])
-        _rows_added(p.t2, b, gq, self.squares[1])
-        _rows_added(p.r, np.concatenate([w, noise]), np.concatenate([gain[:, None] * q, loss.T @ q]), self.squares[2])
-        _rows_added(p.bias, np.concatenate([w, noise]), np.concatenate([gain, loss.sum(0)]), self.squares[3])
+        _rows_added(p.t1, _grouped(a), gq, self.squares[0])
+        _rows_added(p.t2, _grouped(b), gq, self.squares[1])
+        outcomes = _grouped(np.concatenate([w, noise]))
+        _rows_added(p.r, outcomes, np.concatenate([gain[:, None] * q, loss.T @ q]), self.squares[2])
+        _rows_added(p.bias, outcomes, np.concatenate([gain, loss.sum(0)]), self.squares[3])
         self.seen += len(w)
 
 
 def _classes(words: list[bytes], place: dict, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in the head (-1: none) and classes of the words, the end last."""
-    at = np.fromiter((place.get(w, -1) for w in words), np.int32, len(words))
+    at = np.fromiter(map(place.get, words, repeat(-1)), np.int32, len(words))
     out = kind[at] if len(kind) else np.zeros(len(words), np.int32)
     for i in np.flatnonzero(at < 0).tolist():
         out[i] = bucket(words[i])

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -14,6 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from vaultgrid.llm import html_text, line_rules, lm_score, mixing, multi_index, ngram_join, packing, quality_gam, sketch, substring_dedup, url_filter
+from vaultgrid.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 PASSAGE = " ".join(f"w{i}" for i in range(80))
@@ -410,6 +412,40 @@ def test_substrings_with_clashing_columns(spark):
     assert sorted((r["doc_id"], r["starts"], r["n_removed"]) for r in got.collect()) == [(1, 5, 0), (2, 6, 80)]
 
 
+def test_whole_copies_send_no_windows(spark):
+    """Stretches of copies go as one row each; only where stretches of one key differ do windows go one by one."""
+    text = " ".join(f"w{i * i % 977}" for i in range(600))
+    docs = spark.createDataFrame([(i, text) for i in range(20)] + [(20, f"x {text}"), (21, text[len(text) // 2 :]), (22, None)], "doc_id long, text string")
+    for rows, windows in ((docs.where("doc_id < 20"), 0), (docs, 200)):
+        scratch = Scratch(spark, "substrings-test")
+        lost = substring_dedup.removed_windows(rows, scratch, "doc_id", "text")
+        assert lost.count() == rows.where("text IS NOT NULL").count() - 1
+        assert spark.read.parquet(f"{scratch.root}/runs").count() < 23 * 60
+        assert spark.read.parquet(f"{scratch.root}/windows").count() <= windows
+
+
+def test_substrings_of_edited_and_periodic_texts(spark):
+    rng, rows, first = random.Random(9), [], {}
+    base = [[f"v{rng.randrange(400)}" for _ in range(300)] for _ in range(4)] + [["a", "b"] * 150, ["a"] * 300]
+    for i in range(90):
+        w = [x for _ in range(rng.randrange(1, 3)) for x in rng.choice(base)[rng.randrange(100) : rng.randrange(150, 301)]]
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(3)}"
+        rows.append((rng.randrange(60), " ".join(w)))
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            g = tuple(w[k : k + 50])
+            first[g] = min(i, first.get(g, i))
+    want = []
+    for i, t in rows:
+        w = t.split()
+        gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("module, name, sql", [(substring_dedup, "op9_substring_dedup", substring_dedup.OP9_SQL), (ngram_join, "op10_ngram_jaccard", ngram_join.OP10_SQL)])
 def test_duplicates_match_sql(spark, module, name, sql):
     folder = "/root/testdata/sf0.01"

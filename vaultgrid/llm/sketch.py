@@ -79,10 +79,18 @@ class Powers:
         n = len(h)
         if n < length:
             return np.zeros(0, np.uint64)
-        self.grow(n + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h * self.up[:n])])
+        total = self.totals(h)
         return mixed((total[length:] - total[:-length]) * self.down[: n - length + 1])
 
+    def totals(self, h: np.ndarray) -> np.ndarray:
+        self.grow(len(h) + 1)
+        return np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h * self.up[: len(h)])])
+
+    def spans(self, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each run of word hashes from ``begin`` up to ``end``; of runs of one length, the same as by ``windows``."""
+        total = self.totals(h)
+        return mixed((total[end] - total[begin]) * self.down[begin])
+
 
 def running_min(x: np.ndarray, length: int) -> np.ndarray:
     """Minimum of each run of ``length`` values."""

@@ -5,14 +5,21 @@ A window is ``WINDOW`` consecutive words. Its key is the smallest hash of the
 windows mostly share one. A count-min sketch over the keys of each document,
 merged from all tasks, overestimates in how many documents a window stands; only
 windows that it puts at two or more go on. The sketch grows with the corpus; a
-small one is broadcast, a larger one stays in its chunks, to which keys are sent. Those are grouped exactly by a
-96-bit hash of their words, smallest id first; a window whose group has a
-smaller id than its document's is removed, and so is every word it covers.
-
-Tasks send a window once for all their documents (smallest and largest id), so
-a passage that very many documents share is a row for each task, and the join
-that brings groups back to their windows has unique rows on one side, so Spark
-can split the other.
+small one is broadcast, a larger one stays in its chunks, to which keys are sent.
+
+Neighbouring windows with one key are a stretch, and a stretch goes on as one
+row: its key and a 96-bit hash of all its words. A stretch that a smaller id also
+has is removed whole. Equal windows have one key, so a key that has one stretch
+only, in however many documents, is settled. What is left are the first documents
+of the stretches that share a key but differ, as at the ends of a passage; their
+windows go on one by one, are grouped exactly by a 96-bit hash of their words,
+smallest id first, and a window whose group has a smaller id than its document's
+is removed. A later document of such a stretch has it removed whole, and no
+window of it is needed, as the first document sends the same ones with a smaller
+id. So is every word removed that a removed window covers.
+
+Joins that bring ids back to stretches and windows have unique rows on one side,
+so Spark can split the other.
 
 Defined cases: a null text has no words; a null id neither removes nor loses
 anything; rows that repeat id and text get the same result and do not remove
@@ -36,8 +43,9 @@ from .common import Scratch, lean, small_batches, table
 from .sketch import DEPTH, HASHES, Powers, Touched, chunks_for, gathered, looked_up, maybe_repeated, mixed, places, repeated_bits, running_min
 
 WINDOW, GRAM = 50, 8
-#: Windows that a task combines before it passes them on, and cells of the sketch.
+#: Cells of the sketch that a task combines before it passes them on.
 PENDING = 1 << 20
+RUNS = "key long, h1 long, h2 int, __id long, __code long, at int, n int"
 
 _powers, _second = Powers(), Powers(0xC2B2AE3D27D4EB4F | 1)
 
@@ -95,55 +103,45 @@ class Filter:
         return np.isin(keys, np.asarray(own.values).view(np.uint64)) if own.is_valid else np.zeros(len(keys), bool)
 
 
-def candidates(words: list[bytes], window: int, keep: Filter, own: pa.Scalar | None):
-    """Starts of the windows that may be repeated, and the two parts of their hashes."""
-    if len(words) < window:
-        return np.zeros(0, np.int64), None, None
-    h = HASHES.of(words)
-    at = np.flatnonzero(keep.passes(window_keys(h, window), own))
-    if not len(at):
-        return at, None, None
-    one = _powers.windows(h, window)[at].view(np.int64)
-    two = (_second.windows(mixed(h, 5), window)[at] >> np.uint64(33)).astype(np.int32)
-    return at, one, two
-
+def _runs(window: int, keep: Filter):
+    """A row for each stretch of windows with one key that may be repeated: its key, the hash of all its words, where it begins and how many windows it has."""
 
-def _combined(window: int, keep: Filter):
     def run(batches):
-        parts, held = [], 0
-
-        def flush():
-            one, two, low = (np.concatenate(x) for x in zip(*parts))
-            parts.clear()
-            order = np.lexsort((low, two, one))
-            one, two, low = one[order], two[order], low[order]
-            first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-            last = np.append(first[1:], len(one)) - 1
-            return pa.RecordBatch.from_arrays([pa.array(one[first]), pa.array(two[first]), pa.array(low[first]), pa.array(low[last])], ["h1", "h2", "low", "high"])
-
         for batch in batches:
-            for doc_id, text, own in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
-                at, one, two = candidates(words_of(text.as_py()), window, keep, own)
+            parts = []
+            for doc_id, code, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
+                words = words_of(text.as_py())
+                if len(words) < window:
+                    continue
+                h = HASHES.of(words)
+                keys = window_keys(h, window)
+                at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                n = np.diff(np.append(at, len(keys)))
+                passed = keep.passes(keys[at], own)
+                at, n = at[passed], n[passed]
                 if len(at):
-                    parts.append((one, two, np.full(len(at), doc_id, np.int64)))
-                    held += len(at)
-                    if held > PENDING:
-                        yield flush()
-                        held = 0
-        if held:
-            yield flush()
+                    parts.append((keys[at].view(np.int64), *hashes(h, at, at + n + window - 1), np.full(len(at), doc_id, np.int64), np.full(len(at), code, np.int64), at.astype(np.int32), n.astype(np.int32)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], [x.split()[0] for x in RUNS.split(", ")])
 
     return lean(run, HASHES)
 
 
-def _each(window: int, keep: Filter):
+def hashes(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two parts of the hash of each stretch of words."""
+    return _powers.spans(h, begin, end).view(np.int64), (_second.spans(mixed(h, 5), begin, end) >> np.uint64(33)).astype(np.int32)
+
+
+def _windows(window: int):
+    """A row for each window of the stretches asked for."""
+
     def run(batches):
         for batch in batches:
-            for doc_id, code, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
-                at, one, two = candidates(words_of(text.as_py()), window, keep, own)
-                n = len(at)
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(n, doc_id, np.int64)), pa.array(np.full(n, code, np.int64)), pa.array(at.astype(np.int32))], ["h1", "h2", "__id", "__code", "at"])
+            for doc_id, code, text, asks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
+                first, n = (asks.values.field(i).to_numpy() for i in (0, 1))
+                at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+                one, two = hashes(HASHES.of(words_of(text.as_py())), at, at + window)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(at), doc_id, np.int64)), pa.array(np.full(len(at), code, np.int64)), pa.array(at.astype(np.int32))], ["h1", "h2", "__id", "__code", "at"])
 
     return lean(_batched(run), HASHES)
 
@@ -173,10 +171,8 @@ def _cut(names: list[str], text_at: int, starts_at: int, window: int):
                 words = words_of(text.as_py())
                 n_words.append(len(words))
                 if starts.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    at = np.unique(starts.values.to_numpy())
-                    edge[at] += 1
-                    edge[at + window] -= 1
+                    at, n = (starts.values.field(i).to_numpy() for i in (0, 1))
+                    edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + n - 1 + window, minlength=len(words) + 1)
                     stays = np.cumsum(edge[:-1]) == 0
                     words = [w for w, s in zip(words, stays.tolist()) if s]
                 n_removed.append(n_words[-1] - len(words))
@@ -202,15 +198,24 @@ def with_filter(given: DataFrame, scratch: Scratch, window: int) -> tuple[DataFr
 
 
 def removed_windows(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """(__id, __code, __starts): the starts of the windows to remove, by id and hash of the text."""
+    """(__id, __code, __starts): where the windows to remove begin, and how many follow each other there, by id and hash of the text."""
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__code"), F.col(text_col).alias("text"))
     given, keep = with_filter(given, scratch, window)
-    sent = given.mapInArrow(_combined(window, keep), "h1 long, h2 int, low long, high long")
-    groups = sent.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("low") < F.col("high")).select("h1", "h2", "low")
-    groups = scratch.write(groups, "groups")
-    each = given.mapInArrow(_each(window, keep), "h1 long, h2 int, __id long, __code long, at int")
-    hit = each.join(groups, ["h1", "h2"]).where(F.col("low") < F.col("__id"))
-    return hit.groupBy("__id", "__code").agg(F.collect_list("at").alias("__starts"))
+    place = ["__id", "__code", "at", "n"]
+    runs = scratch.write(given.mapInArrow(_runs(window, keep), RUNS), "runs")
+    same = ["key", "h1", "h2"]
+    firsts = scratch.write(runs.groupBy(*same).agg(F.min("__id").alias("low")), "firsts")
+    several = firsts.groupBy("key").agg(F.count("*").alias("several")).where(F.col("several") > 1)
+    firsts = firsts.join(scratch.write(several, "several"), "key", "left")
+    told = runs.join(scratch.write(firsts, "told"), same)
+    told = scratch.write(told.where((F.col("low") < F.col("__id")) | F.col("several").isNotNull()).select(*place, (F.col("low") < F.col("__id")).alias("whole")), "places")
+    asks = told.where(~F.col("whole")).groupBy("__id", "__code").agg(F.collect_set(F.struct("at", "n")).alias("asks"))
+    each = given.select("__id", "__code", "text").join(asks, ["__id", "__code"]).mapInArrow(_windows(window), "h1 long, h2 int, __id long, __code long, at int")
+    each = scratch.write(each, "windows")
+    groups = each.groupBy("h1", "h2").agg(F.min("__id").alias("low"), F.max("__id").alias("high")).where(F.col("low") < F.col("high")).select("h1", "h2", "low")
+    hit = each.join(scratch.write(groups, "groups"), ["h1", "h2"]).where(F.col("low") < F.col("__id"))
+    hit = told.where("whole").select(*place).unionByName(hit.select("__id", "__code", "at", F.lit(1).alias("n")))
+    return hit.groupBy("__id", "__code").agg(F.collect_list(F.struct("at", "n")).alias("__starts"))
 
 
 #: What the operator adds, and names it uses inside; input columns of these names are dropped.

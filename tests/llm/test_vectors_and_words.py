@@ -282,3 +282,18 @@ def test_rows_of_a_training_step_are_sorted_once():
     order, at, first = lm_score._grouped(rows)
     want, begins = np.unique(rows[np.argsort(rows, kind="stable")], return_index=True)
     assert (order == np.argsort(rows, kind="stable")).all() and (at == want).all() and (first == begins).all()
+
+
+def test_posted_words_meet_once():
+    """Each pair of a key's posted words is told once, by the later word, and the merge without the longest lists loses none."""
+    rng = np.random.default_rng(3)
+    for length in (6, 7, 8, 10, 13):
+        words = sorted({b"abc" + bytes(rng.choice(list(b"abd\xe9"), length - 3).tolist()) for _ in range(150)} | {b"abc" + b"a" * k + b"z" + b"a" * (length - 4 - k) for k in range(length - 3)})
+        n = len(words)
+        columns = [[7] * n, [length] * n, [0] * n, [0] * n, [False] * n, [w.decode("latin-1") for w in words], list(range(n))]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "length", "place", "salt", "asks", "word", "n"])
+        got = [x for b in spelling._near(iter([batch])) for x in zip(b["na"].to_pylist(), b["nb"].to_pylist())]
+        assert sorted(got) == [(i, j) for i in range(n) for j in range(i) if spelling.one_edit(words[i], words[j])]
+        shorter = [w[:k] + w[k + 1 :] for w in words[:20] for k in range(3, length)]
+        index = spelling.Index(words, 0)
+        assert all(sorted(index.near(w)) == [i for i, x in enumerate(words) if spelling.one_edit(w, x)] for w in shorter)

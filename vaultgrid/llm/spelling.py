@@ -14,10 +14,12 @@ its own length and, one place on or not, under the next length.
 
 Merge. In each (gram, length, place) the posted words' grams form an inverted
 index. For a word that looks itself up, the postings of its grams, within the
-limits of length and place, are merged by a heap; words that the merge yields at
-least as often as the bound asks are verified letter by letter. The list of the
-key's own gram, which holds every posted word, counts one and is not merged; of
-a few posted words all are verified. Postings of more
+limits of length and place, are merged by a heap; the longest lists, one fewer
+than the bound asks, are left out of it, as a word that only they hold does not
+reach the bound. What the merge yields is verified letter by letter. The list of
+the key's own gram, which holds every posted word, counts one and is not merged;
+of a few posted words all are verified. Of two posted words the later looks up
+the earlier. Postings of more
 than ``POSTED`` words are dealt to several tasks, each of which all lookups
 visit, so no task holds more and no pair is lost.
 
@@ -77,10 +79,10 @@ def erased(word: bytes, start: int) -> bytes:
 
 def _counted(least: int):
     def run(batches):
-        total: Counter[bytes] = Counter()
+        total: defaultdict[bytes, int] = defaultdict(int)
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in total], pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
             total.clear()
             return batch
 
@@ -90,11 +92,10 @@ def _counted(least: int):
                 if not text:
                     continue
                 start = zlib.crc32(f"{doc_id or ''}:".encode())
-                for word, n in Counter(words_of(text)).items():
+                for word, n in Counter([w for w in words_of(text) if len(w) >= least]).items():
+                    word = erased(word, start)
                     if len(word) >= least:
-                        word = erased(word, start)
-                        if len(word) >= least:
-                            total[word] += n
+                        total[word] += n
                 if len(total) > PENDING:
                     yield flush()
         if total:
@@ -194,36 +195,48 @@ def shared_at_least(longest: int) -> int:
 
 def one_edit(a: bytes, b: bytes) -> bool:
     """Whether exactly one letter inserted, deleted or replaced makes one of the other."""
-    if len(a) == len(b):
-        apart = int.from_bytes(a) ^ int.from_bytes(b)
-        return bool(apart) and (apart.bit_length() - 1) // 8 == ((apart & -apart).bit_length() - 1) // 8  # one byte differs
     if len(a) > len(b):
         a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    return a[at:] == b[at + 1 :]
+    return len(b) - len(a) <= 1 and _apart_by_one(int.from_bytes(a), int.from_bytes(b), len(b) - len(a))
+
+
+def _apart_by_one(x: int, y: int, longer: int) -> bool:
+    """The same of words as numbers, a byte a letter; the second is ``longer`` by no letter or one."""
+    if not longer:
+        apart = x ^ y
+        return bool(apart) and apart >> ((apart & -apart).bit_length() - 1 & -8) < 256  # one byte differs
+    after = ((x << 8 ^ y).bit_length() - 1) // 8 * 8  # bits behind the first letter that is not the shorter word's
+    below = (1 << after) - 1
+    return not (x ^ y) & below
 
 
 class Index:
     """The posted words of a key: an inverted list, in rising order of words, for each gram and place but the key's own."""
 
-    def __init__(self, words: list[bytes], place: int):
-        self.words, self.length = words, len(words[0])
+    def __init__(self, words: list[bytes], place: int, length: int = 0, expected: int = 0):
+        self.words: list[bytes] = []
+        self.numbers: list[int] = []
+        self.place, self.length = place, length or len(words[0])
         self.lists: list[dict[bytes, list[int]]] = []
-        if len(words) > FEW:
+        if max(len(words), expected) > FEW:
             self.lists = [defaultdict(list) for _ in range(self.length - Q + 1)]
-            for i, w in enumerate(words):
-                for at, of in enumerate(self.lists):
-                    of[w[at : at + Q]].append(i)
-            self.lists[place] = {}
+        for w in words:
+            self.add(w)
+
+    def add(self, word: bytes) -> None:
+        i = len(self.words)
+        self.words.append(word)
+        self.numbers.append(int.from_bytes(word))
+        for at, of in enumerate(self.lists):
+            if at != self.place:
+                of[word[at : at + Q]].append(i)
 
     def near(self, word: bytes) -> list[int]:
         """The posted words, as long as ``word`` or one longer, that are one edit from it."""
-        words, longer = self.words, self.length - len(word)
+        numbers, x, longer = self.numbers, int.from_bytes(word), self.length - len(word)
         least = shared_at_least(self.length) - 1  # the key's gram is shared by all
         if not self.lists or least <= 0:
-            return [i for i, w in enumerate(words) if one_edit(word, w)]
+            return [i for i, y in enumerate(numbers) if _apart_by_one(x, y, longer)]
         lists = []
         for at in range(len(word) - Q + 1):
             gram = word[at : at + Q]
@@ -232,12 +245,15 @@ class Index:
                     lists.append(of[gram])
         if len(lists) < least:
             return []
-        found = lists[0] if len(lists) == 1 else [i for i, run in groupby(heapq.merge(*lists)) if least == 1 or sum(1 for _ in run) >= least]
-        return [i for i in found if one_edit(word, words[i])]
+        # the longest lists, one fewer than the bound, are not merged: what is in none of the others cannot reach it
+        lists.sort(key=len)
+        del lists[len(lists) - least + 1 :]
+        found = lists[0] if len(lists) == 1 else [i for i, _ in groupby(heapq.merge(*lists))]
+        return [i for i in found if _apart_by_one(x, numbers[i], longer)]
 
 
 def _near(batches):
-    """Near pairs of the rows of each (key, salt), which come together, posted words first."""
+    """Near pairs of the rows of each (key, salt), which come together, posted words first; of two posted words the later one asks."""
     key, posted, counts, index = None, [], [], None
     out: list[list] = [[], [], [], []]
 
@@ -255,10 +271,10 @@ def _near(batches):
     def begin(asked: bool = True):
         nonlocal index
         if index is None and len(posted) > 1 - asked:
-            index = Index(posted, key[2])
-            if len(posted) > 1:
-                for w, n in zip(posted, counts):
-                    ask(w, n)
+            index = Index([], key[2], key[1], len(posted))
+            for w, n in zip(posted, counts):
+                ask(w, n)
+                index.add(w)
 
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
@@ -266,13 +282,12 @@ def _near(batches):
             if (gram, length, place, salt) != key:
                 begin(False)
                 key, posted, counts, index = (gram, length, place, salt), [], [], None
-            word = word.encode("latin-1")
             if not asks:
-                posted.append(word)
+                posted.append(word.encode("latin-1"))
                 counts.append(n)
             elif posted:
                 begin()
-                ask(word, n)
+                ask(word.encode("latin-1"), n)
         if len(out[0]) > 10_000:
             yield flush()
     begin(False)

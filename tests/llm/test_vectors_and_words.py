@@ -297,3 +297,9 @@ def test_posted_words_meet_once():
         shorter = [w[:k] + w[k + 1 :] for w in words[:20] for k in range(3, length)]
         index = spelling.Index(words, 0)
         assert all(sorted(index.near(w)) == [i for i, x in enumerate(words) if spelling.one_edit(w, x)] for w in shorter)
+
+
+def test_classes_are_worked_out_once_for_two_last_bytes():
+    words = [bytes([i % 251, j % 253, i, j])[: 1 + (i + j) % 4] for i in range(60) for j in range(60)] + [b""]
+    assert [lm_score.BUCKET_OF[w[-2:]] for w in words] == [lm_score.bucket(w) for w in words]
+    assert len(lm_score.BUCKET_OF) <= 1 + (1 << 8) + (1 << 16)

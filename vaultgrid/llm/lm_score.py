@@ -66,6 +66,17 @@ def bucket(word: bytes) -> int:
     return CLASSES - BUCKETS + zlib.crc32(word[-2:]) % BUCKETS
 
 
+class Buckets(dict):
+    """The class of two last bytes, of which there are 2**16 at most, and of fewer."""
+
+    def __missing__(self, last: bytes) -> int:
+        value = self[last] = bucket(last)
+        return value
+
+
+BUCKET_OF = Buckets()
+
+
 def _counted(batches):
     seen: Counter = Counter()
 
@@ -180,8 +191,15 @@ class Trainer:
         noise = np.searchsorted(self.cumulative, self.rng.random(NOISE)).clip(0, CLASSES - 1)
         rw, rn = p.r[w], p.r[noise]
         gain = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, rw) + p.bias[w] - self.log_expected[w], -30, 30)))
-        loss = -1 / (1 + np.exp(-np.clip(q @ rn.T + p.bias[noise] - self.log_expected[noise], -30, 30)))
-        gq = gain[:, None] * rw + loss @ rn
+        loss = q @ rn.T  # the largest array of a step: the rest in place, -1 / (1 + exp(-clip(...)))
+        loss += p.bias[noise]
+        loss -= self.log_expected[noise]
+        np.clip(loss, -30, 30, out=loss)
+        np.exp(np.negative(loss, out=loss), out=loss)
+        loss += 1
+        np.divide(-1, loss, out=loss)
+        gq = gain[:, None] * rw
+        gq += loss @ rn
         _rows_added(p.t1, _grouped(a), gq, self.squares[0])
         _rows_added(p.t2, _grouped(b), gq, self.squares[1])
         outcomes = _grouped(np.concatenate([w, noise]))
@@ -195,7 +213,7 @@ def _classes(words: list[bytes], place: dict, kind: np.ndarray) -> tuple[np.ndar
     at = np.fromiter(map(place.get, words, repeat(-1)), np.int32, len(words))
     out = kind[at] if len(kind) else np.zeros(len(words), np.int32)
     for i in np.flatnonzero(at < 0).tolist():
-        out[i] = bucket(words[i])
+        out[i] = BUCKET_OF[words[i][-2:]]
     out[-1] = 0
     return at, out
 
@@ -301,7 +319,9 @@ class Tables:
         self.own_word = np.array([k < CLASSES - BUCKETS for k in self.kind], bool)
 
     def log10(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self.first[a, w].astype(np.float64) + self.second[b, w] - self.norm[a, b]) / np.log(10)
+        a = a * CLASSES  # places in the flat tables
+        b_w, a_w, a_b = b * CLASSES + w, a + w, a + b
+        return (self.first.take(a_w).astype(np.float64) + self.second.take(b_w) - self.norm.take(a_b)) / np.log(10)
 
 
 def _scored(shared):
@@ -309,7 +329,8 @@ def _scored(shared):
         name, v, flat = shared.value
         t = _prepared(("t", name), lambda: Tables(v, flat))
         for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
-            n, base, model, known, rare = [], [], [], [], []
+            n, base, model, known = [], [], [], []
+            rare_words, rare_counts, ends = [], [], [0]
             for text in batch.column(2).cast(pa.binary()):
                 words = tokens(text.as_py() or b"")
                 words.append(END)
@@ -323,9 +344,11 @@ def _scored(shared):
                 known.append(len(head))
                 base.append(float(logs.sum()))
                 model.append(float(t.log10(w, c[1:-1], c[:-2]).sum() + logs[shared_class].sum() - t.within[w].sum()))
-                rare.append(list(Counter(words[i] for i in np.flatnonzero(~found).tolist()).items()))
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-            rare_column = pa.array([[{"word": x, "n": k} for x, k in r] for r in rare], kind)
+                rare = Counter([words[i] for i in np.flatnonzero(~found).tolist()])
+                rare_words += rare.keys()
+                rare_counts += rare.values()
+                ends.append(len(rare_words))
+            rare_column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())], ["word", "n"]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), rare_column],
                 ["doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"],

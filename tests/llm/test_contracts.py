@@ -110,6 +110,80 @@ def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
     assert all(np.allclose(x, seen[0], rtol=1e-6, atol=1e-6) for x in seen[1:])
 
 
+def test_texts_are_read_twice(spark):
+    """Once to count their words, once to turn them into outcomes, whatever the rounds of training."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = docs.count()
+    assert len(lm_score.lm_scores(docs.mapInArrow(counted, docs.schema)).collect()) == rows
+    assert seen.value <= 2 * rows
+
+
+def test_scores_of_runs_are_those_of_their_texts(monkeypatch):
+    """A text in one run and in many, and an empty one: the model's log-probabilities token by token, with the head's and the rarer words told apart."""
+    head = [b"a", b"b", b"cc", b"dd", b""]
+    v = lm_score.Vocabulary(head, np.array([50, 30, 7, 6, 10]), 110, 8, 2, np.zeros(lm_score.CLASSES), np.zeros(lm_score.CLASSES))
+    v.class_total[:3], v.class_distinct[:3] = [10, 50, 30], 1
+    for w, n in ((b"cc", 7), (b"dd", 6), (b"rare", 4)):
+        v.class_total[lm_score.bucket(w)] += n
+        v.class_distinct[lm_score.bucket(w)] += 1
+    flat = lm_score.start(v).flat()
+    texts = ["a b cc A dd b rare b b rare cc", None, "unseen", "b " * 9]
+    given = pa.RecordBatch.from_arrays([pa.array([5, 6, None, 8], pa.int64()), pa.array([True, False, True, False]), pa.array([-3, 7, 1 << 62, 0], pa.int64()), pa.array(texts)], ["doc_id", "held_out", "key", "text"])
+    t, place = lm_score.Tables(v, flat), {w: i for i, w in enumerate(head)}
+    got = []
+    for chunk in (4, 1 << 14):
+        monkeypatch.setattr(lm_score, "CHUNK", chunk)
+        read = pa.Table.from_batches(lm_score._read(type("Shared", (), {"value": (f"r{chunk}", v, 3)}))(iter([given])))
+        runs = read["runs"].to_pylist()
+        assert [len(x) for x in runs] == ([3, 1, 1, 3] if chunk == 4 else [1] * 4) and all(0 <= x["cell"] < 3 for r in runs for x in r)
+        lists = pa.array([[x["outcomes"] for x in r] for r in runs], pa.list_(pa.binary()))
+        scored = list(lm_score._scored(type("Shared", (), {"value": (f"s{chunk}", v, flat)}))(iter([pa.RecordBatch.from_arrays([given.column(0), lists], ["doc_id", "outcomes"])])))[0]
+        assert scored.schema.names == ["doc_id", "model"] and scored.column(0).to_pylist() == [5, 6, None, 8]
+        for i, text in enumerate(texts):
+            ws = lm_score.tokens((text or "").encode()) + [b""]
+            kinds = [0, 0] + [v.kind(place.get(w, v.own), w) for w in ws]
+            logs = [math.log10(v.counts[place[w]] + 0.5) if w in place else 0.0 for w in ws]
+            model = sum(float(t.log10(np.array([k]), np.array([a]), np.array([b]))[0]) - v.within[k] for k, a, b in zip(kinds[2:], kinds[1:], kinds))
+            assert math.isclose(scored.column(1)[i].as_py(), model, rel_tol=1e-9)
+            assert math.isclose(read["base"][i].as_py(), sum(logs), abs_tol=1e-9)
+            assert math.isclose(read["shared_logs"][i].as_py(), sum(x for x, k in zip(logs, kinds[2:]) if k >= lm_score.CLASSES - lm_score.BUCKETS), abs_tol=1e-9)
+            assert (read["n_tokens"][i].as_py(), read["known"][i].as_py()) == (len(ws), sum(w in place for w in ws))
+            assert {x["word"]: x["n"] for x in read["rare"][i].as_py()} == collections.Counter(w for w in ws if w not in place)
+        got.append(scored.column(1).to_pylist())
+    assert np.allclose(*got)
+
+
+def test_a_training_step_is_that_of_the_formulas():
+    """One step in double precision by plain sums; scores far beyond exp's range of four bytes give finite steps."""
+    v = lm_score.Vocabulary([b"a", b""], np.array([50, 10]), 60, 2, 1, np.ones(lm_score.CLASSES), np.ones(lm_score.CLASSES))
+    rng = np.random.default_rng(5)
+    a, b, w = (np.minimum(rng.zipf(1.3, 700), lm_score.CLASSES - 1).astype(np.intp) for _ in range(3))
+    trainer = lm_score.Trainer(lm_score.start(v), lm_score.noise_of(v), 7)
+    old = lm_score.Parameters.of(trainer.p.flat().astype(np.float64))
+    noise = np.searchsorted(np.cumsum(lm_score.noise_of(v)), np.random.default_rng(7).random(lm_score.NOISE)).clip(0, lm_score.CLASSES - 1)
+    trainer.batch(a, b, w)
+    expected = np.log(lm_score.NOISE * lm_score.noise_of(v))
+    q = old.t1[a] + old.t2[b]
+    gain = 1 / (1 + np.exp((q * old.r[w]).sum(1) + old.bias[w] - expected[w]))
+    loss = -1 / (1 + np.exp(-(q @ old.r[noise].T + old.bias[noise] - expected[noise])))
+    gq = gain[:, None] * old.r[w] + loss @ old.r[noise]
+    for name, rows, g in (("t1", a, gq), ("t2", b, gq), ("r", np.concatenate([w, noise]), np.concatenate([gain[:, None] * q, loss.T @ q])), ("bias", np.concatenate([w, noise]), np.concatenate([gain, loss.sum(0)])[:, None])):
+        total = np.zeros((lm_score.CLASSES, g.shape[1]))
+        np.add.at(total, rows, g)
+        want = getattr(old, name).reshape(lm_score.CLASSES, -1) + total * lm_score.STEP / np.sqrt(1e-2 + np.square(total).mean(1, keepdims=True) + 1e-6)
+        assert np.allclose(getattr(trainer.p, name).reshape(want.shape), want, atol=1e-5)
+    trainer.p.r *= 1e4
+    trainer.batch(a, b, w)
+    assert np.isfinite(trainer.state()).all()
+
+
 def test_urls(spark, hostile):
     got = {r["page_id"]: tuple(r)[1:] for r in url_filter.op2_url_filter(spark, hostile).collect()}
     assert got == {

@@ -16,6 +16,9 @@ tokens in the order of their hashes (noise: the unigram distribution, shared by
 a batch), and copies are averaged by token counts, block by block, in Spark. So
 the model depends on the rows alone, not on how tasks read them.
 
+Texts are read twice, to count their words and to turn them into outcomes (two
+bytes a token, in a scratch table); training and scoring read the outcomes.
+
 Normalising. ``exp`` splits over the two contexts, so the normaliser of every
 pair of contexts is one matrix product; token log-probabilities are then exact
 table look-ups. A word of a shared class multiplies in (c + 0.5) / (N + 0.5 *
@@ -32,7 +35,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -45,7 +48,7 @@ from .common import Scratch, fold_of, lean, small_batches, table
 HEAD, WORD_BYTES = 1 << 18, 128
 CLASSES, BUCKETS, WIDTH = 2048, 256, 32
 BATCH, NOISE, STEP = 1024, 128, 0.05
-#: Texts scored at a time.
+#: Texts turned into outcomes at a time.
 TEXTS = 256
 #: Words a task counts before it passes them on.
 PENDING = 200_000
@@ -161,10 +164,16 @@ def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _rows_added(to: np.ndarray, grouped: tuple[np.ndarray, np.ndarray, np.ndarray], g: np.ndarray, squares: np.ndarray) -> None:
     """An AdaGrad step on the rows named, each with its summed gradient."""
     order, at, first = grouped
-    total = np.add.reduceat(g[order], first, axis=0)
-    squares[at] += np.square(total).mean(axis=-1) if total.ndim > 1 else np.square(total)
-    scale = STEP / np.sqrt(squares[at] + 1e-6)
-    to[at] += total * (scale[:, None] if total.ndim > 1 else scale)
+    wide = g.ndim > 1
+    g = g.take(order, axis=0)
+    # two neighbouring floats add as one complex number, in half the calls
+    total = np.add.reduceat(g.view(np.complex64), first, axis=0).view(np.float32) if wide else np.add.reduceat(g, first)
+    sums = squares.take(at) + (np.einsum("ij,ij->i", total, total) / WIDTH if wide else np.square(total))
+    squares[at] = sums
+    scale = STEP / np.sqrt(sums + 1e-6)
+    total *= scale[:, None] if wide else scale
+    total += to.take(at, axis=0)
+    to[at] = total
 
 
 class Trainer:
@@ -176,6 +185,7 @@ class Trainer:
         self.log_expected = np.log(NOISE * noise).astype(np.float32)
         self.squares = np.full((4, CLASSES), 1e-2, np.float32) if squares is None else squares.reshape(4, CLASSES).copy()
         self.seen = 0
+        self.loss = np.empty((BATCH, NOISE), np.float32)  # the largest array of a step, whose memory is kept
 
     def state(self) -> np.ndarray:
         return np.concatenate([self.p.flat(), self.squares.ravel()]).astype(np.float32)
@@ -187,31 +197,34 @@ class Trainer:
 
     def batch(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         p = self.p
-        q = p.t1[a] + p.t2[b]
+        q = p.t1.take(a, axis=0)
+        q += p.t2.take(b, axis=0)
         noise = np.searchsorted(self.cumulative, self.rng.random(NOISE)).clip(0, CLASSES - 1)
-        rw, rn = p.r[w], p.r[noise]
-        gain = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, rw) + p.bias[w] - self.log_expected[w], -30, 30)))
-        loss = q @ rn.T  # the largest array of a step: the rest in place, -1 / (1 + exp(-clip(...)))
-        loss += p.bias[noise]
-        loss -= self.log_expected[noise]
-        np.clip(loss, -30, 30, out=loss)
-        np.exp(np.negative(loss, out=loss), out=loss)
+        rw, rn = p.r.take(w, axis=0), p.r.take(noise, axis=0)
+        shift = p.bias - self.log_expected
+        one = np.ones(len(w), np.float32)
+        gain = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, rw) + shift.take(w), -30, 30)))
+        # -1 / (1 + exp(-score)), in place; the shift goes along as one more component, and exp may end in infinity, where the quotient is zero
+        loss = np.matmul(np.column_stack([q, one]), -np.column_stack([rn, shift.take(noise)]).T, out=self.loss[: len(w)] if len(w) <= BATCH else None)
+        with np.errstate(over="ignore"):
+            np.exp(loss, out=loss)
         loss += 1
         np.divide(-1, loss, out=loss)
-        gq = gain[:, None] * rw
-        gq += loss @ rn
+        gq = loss @ rn
+        rw *= gain[:, None]
+        gq += rw
         _rows_added(p.t1, _grouped(a), gq, self.squares[0])
         _rows_added(p.t2, _grouped(b), gq, self.squares[1])
         outcomes = _grouped(np.concatenate([w, noise]))
         _rows_added(p.r, outcomes, np.concatenate([gain[:, None] * q, loss.T @ q]), self.squares[2])
-        _rows_added(p.bias, outcomes, np.concatenate([gain, loss.sum(0)]), self.squares[3])
+        _rows_added(p.bias, outcomes, np.concatenate([gain, one @ loss]), self.squares[3])
         self.seen += len(w)
 
 
 def _classes(words: list[bytes], place: dict, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in the head (-1: none) and classes of the words, the end last."""
-    at = np.fromiter(map(place.get, words, repeat(-1)), np.int32, len(words))
-    out = kind[at] if len(kind) else np.zeros(len(words), np.int32)
+    at = np.fromiter(map(place.get, words, repeat(-1)), np.intp, len(words))
+    out = kind.take(at, mode="wrap") if len(kind) else np.zeros(len(words), np.int32)
     for i in np.flatnonzero(at < 0).tolist():
         out[i] = BUCKET_OF[words[i][-2:]]
     out[-1] = 0
@@ -228,23 +241,51 @@ def _prepared(key, make):
     return _ready[key]
 
 
-def _outcomes(shared):
-    """A row for each run of at most CHUNK tokens of a text: the replica it trains, and the outcomes after the two before it."""
+class Head:
+    """Look-ups of the head's words, and sums over a text's places in it (-1: none, which adds nothing)."""
+
+    def __init__(self, v: Vocabulary):
+        self.place, self.kind = v.tables()
+        self.log_count = np.append(np.log10(v.counts + 0.5), 0.0)
+        self.log_shared = self.log_count.copy()
+        self.log_shared[np.flatnonzero(self.kind < CLASSES - BUCKETS)] = 0.0
+
+
+def _read(shared):
+    """Texts as outcomes: runs of at most CHUNK tokens, each after the two before it and with the replica it trains; and what the head's words add to the scores, and the rarer words."""
 
     def run(batches):
         name, v, replicas = shared.value
-        place, kind = _prepared(("v", name), v.tables)
-        for batch in batches:
-            cell, key, outcomes = [], [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+        t = _prepared(("v", name), lambda: Head(v))
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
+            n, base, shared_logs, known = [], [], [], []
+            rare_words, rare_counts, rare_ends = [], [], [0]
+            cell, key, outcomes, ends = [], [], [], [0]
+            for k, text in zip(batch.column(2).to_pylist(), batch.column(3).cast(pa.binary())):
                 words = tokens(text.as_py() or b"")
                 words.append(END)
-                w = np.concatenate([[0, 0], _classes(words, place, kind)[1]]).astype("<u2")
-                for at in range(0, len(words), CHUNK):
-                    key.append(zlib.crc32(at.to_bytes(8, "little"), k & 0xFFFFFFFF) | (k >> 32) << 32)
+                at, w = _classes(words, t.place, t.kind)
+                unknown = np.flatnonzero(at < 0).tolist()
+                n.append(len(words))
+                known.append(len(words) - len(unknown))
+                base.append(float(t.log_count[at].sum()))
+                shared_logs.append(float(t.log_shared[at].sum()))
+                rare = Counter([words[i] for i in unknown])
+                rare_words += rare.keys()
+                rare_counts += rare.values()
+                rare_ends.append(len(rare_words))
+                w = np.concatenate([[0, 0], w]).astype("<u2")
+                for i in range(0, len(words), CHUNK):
+                    key.append(zlib.crc32(i.to_bytes(8, "little"), k & 0xFFFFFFFF) | (k >> 32) << 32)
                     cell.append(zlib.crc32(key[-1].to_bytes(8, "little", signed=True)) % replicas)
-                    outcomes.append(w[at : at + CHUNK + 2].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(key, pa.int64()), pa.array(outcomes, pa.binary())], ["cell", "key", "outcomes"])
+                    outcomes.append(w[i : i + CHUNK + 2].tobytes())
+                ends.append(len(outcomes))
+            rare_column = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())], ["word", "n"]))
+            runs = pa.StructArray.from_arrays([pa.array(cell, pa.int64()), pa.array(key, pa.int64()), pa.array(outcomes, pa.binary())], ["cell", "key", "outcomes"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(shared_logs, pa.float64()), rare_column, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)],
+                ["doc_id", "held_out", "key", "n_tokens", "known", "base", "shared_logs", "rare", "runs"],
+            )
 
     return run
 
@@ -253,8 +294,7 @@ def _trained(shared, seed: int):
     """The parameters of each replica whose rows the task has, one replica after the other."""
 
     def run(batches):
-        v, state = shared.value
-        noise = noise_of(v)
+        noise, state = shared.value
         trainer, cell = None, None
         parts: list[np.ndarray] = []
         held = 0
@@ -263,9 +303,9 @@ def _trained(shared, seed: int):
             w, a, b = (np.concatenate([x[i : len(x) - 2 + i] for x in parts]).astype(np.int64) for i in (2, 1, 0))
             parts.clear()
             order = trainer.rng.permutation(len(w))
+            w, a, b = w[order], a[order], b[order]
             for i in range(0, len(w), BATCH):
-                k = order[i : i + BATCH]
-                trainer.batch(a[k], b[k], w[k])
+                trainer.batch(a[i : i + BATCH], b[i : i + BATCH], w[i : i + BATCH])
 
         def done():
             if parts:
@@ -308,15 +348,12 @@ class Tables:
 
     def __init__(self, v: Vocabulary, flat: np.ndarray):
         p = Parameters.of(flat)
-        self.place, self.kind = v.tables()
         self.first = p.t1 @ p.r.T + p.bias
         self.second = p.t2 @ p.r.T
         m1, m2 = self.first.max(1), self.second.max(1)
         z = np.exp(self.first - m1[:, None]) @ np.exp(self.second - m2[:, None]).T
         self.norm = np.log(np.maximum(z, 1e-37)) + m1[:, None] + m2[None, :]
         self.within = v.within
-        self.log_count = np.log10(v.counts + 0.5)
-        self.own_word = np.array([k < CLASSES - BUCKETS for k in self.kind], bool)
 
     def log10(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a = a * CLASSES  # places in the flat tables
@@ -325,34 +362,32 @@ class Tables:
 
 
 def _scored(shared):
+    """Rows with the model's log-probability in place of their outcomes, the last column: a list of runs, of which each text has one at least."""
+
     def run(batches):
         name, v, flat = shared.value
         t = _prepared(("t", name), lambda: Tables(v, flat))
-        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
-            n, base, model, known = [], [], [], []
-            rare_words, rare_counts, ends = [], [], [0]
-            for text in batch.column(2).cast(pa.binary()):
-                words = tokens(text.as_py() or b"")
-                words.append(END)
-                at, w = _classes(words, t.place, t.kind)
-                c = np.concatenate([[0, 0], w])
-                found = at >= 0
-                head = at[found]
-                logs = t.log_count[head]
-                shared_class = ~t.own_word[head]
-                n.append(len(words))
-                known.append(len(head))
-                base.append(float(logs.sum()))
-                model.append(float(t.log10(w, c[1:-1], c[:-2]).sum() + logs[shared_class].sum() - t.within[w].sum()))
-                rare = Counter([words[i] for i in np.flatnonzero(~found).tolist()])
-                rare_words += rare.keys()
-                rare_counts += rare.values()
-                ends.append(len(rare_words))
-            rare_column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())], ["word", "n"]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), rare_column],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"],
-            )
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            sums, parts, held = [], [], 0
+
+            def drain():
+                w, a, b = (np.concatenate([x[i : len(x) - 2 + i] for x in parts]).astype(np.intp) for i in (2, 1, 0))
+                first = np.cumsum([0] + [len(x) - 2 for x in parts[:-1]])
+                sums.append(np.add.reduceat(t.log10(w, a, b) - t.within.take(w), first))
+                parts.clear()
+
+            for outcomes in lists.flatten():
+                parts.append(np.frombuffer(outcomes.as_py(), "<u2"))
+                held += len(parts[-1]) - 2
+                if held >= CHUNK:
+                    drain()
+                    held = 0
+            if parts:
+                drain()
+            first = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) - lists.value_lengths().to_numpy(zero_copy_only=False)
+            model = np.add.reduceat(np.concatenate(sums), first) if sums else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model, pa.float64())], [*batch.schema.names[:-1], "model"])
 
     return run
 
@@ -385,15 +420,14 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, float]:
 
 
 def learnt(training: DataFrame, v: Vocabulary) -> np.ndarray:
-    """The model's parameters. ``training`` has text and key, a hash of the row."""
+    """The model's parameters. ``training`` has key, a hash of the row, and runs."""
     sc = training.sparkSession.sparkContext
-    state = Trainer(start(v), noise_of(v), 0).state()
-    replicas = int(min(REPLICAS, max(1, v.total // (ROUNDS * REPLICA_TOKENS))))
-    named = sc.broadcast((uuid.uuid4().hex, v, replicas))
+    noise = noise_of(v)
+    state = Trainer(start(v), noise, 0).state()
     for k in range(ROUNDS):
-        rows = training.where(F.pmod(F.xxhash64("key", F.lit("round")), F.lit(ROUNDS)) == k).select("key", "text")
-        dealt = rows.mapInArrow(_outcomes(named), "cell long, key long, outcomes binary").repartition(F.col("cell")).sortWithinPartitions("cell", "key", "outcomes")
-        shared = sc.broadcast((v, state))
+        rows = training.where(F.pmod(F.xxhash64("key", F.lit("round")), F.lit(ROUNDS)) == k).select(F.explode("runs").alias("run")).select("run.*")
+        dealt = rows.repartition(F.col("cell")).sortWithinPartitions("cell", "key", "outcomes")
+        shared = sc.broadcast((noise, state))
         trained = dealt.select("cell", "outcomes").mapInArrow(_trained(shared, k + 1), "cell long, slice long, seen long, data binary")
         got = trained.groupBy("slice").applyInArrow(_averaged, "slice long, data binary").toArrow()
         parts = sorted(zip(got["slice"].to_pylist(), got["data"].to_pylist()))
@@ -408,24 +442,28 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "lm")
-    given = docs.select(F.col(id_col).alias("doc_id"), (fold_of(id_col, folds) == held).alias("held_out"), F.col(text_col).alias("text"))
-    training = given.where(~F.col("held_out")).select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    counts = scratch.write(training.select("text").mapInArrow(lean(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    held_out = fold_of(id_col, folds) == held
+    counts = scratch.write(docs.where(~held_out).select(text_col).mapInArrow(lean(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     v, least = vocabulary(counts)
-    flat = learnt(training, v)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, v, flat))
+    replicas = int(min(REPLICAS, max(1, v.total // (ROUNDS * REPLICA_TOKENS))))
+    named = spark.sparkContext.broadcast((uuid.uuid4().hex, v, replicas))
+    given = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    parts = given.mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word: binary, n: int>>")
-    parts = scratch.write(parts.withColumn("row", F.monotonically_increasing_id()), "parts")
+    columns = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double"
+    read = given.mapInArrow(_read(named), columns.replace("n_tokens", "key long, n_tokens") + ", shared_logs double, rare array<struct<word: binary, n: int>>, runs array<struct<cell: long, key: long, outcomes: binary>>")
+    parts = scratch.write(read.withColumn("row", F.monotonically_increasing_id()), "parts")
+    flat = learnt(parts.where(~F.col("held_out")), v)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, replace(v, words=[], counts=v.counts[:0]), flat))
+    scored = parts.select("doc_id", "held_out", "n_tokens", "known", "base", "shared_logs", "row", "runs.outcomes").mapInArrow(_scored(shared), f"{columns}, shared_logs double, row long, model double")
     tail = counts.where((F.floor(F.log2("n") * 8) < least) | (F.length("word") > WORD_BYTES)).withColumnRenamed("n", "c")
     rare = parts.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(tail, "word", "left")
     logs = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
     rare = rare.groupBy("row").agg(F.sum(F.col("n") * logs).alias("rare_logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"))
-    out = parts.drop("rare").join(rare, "row", "left").fillna(0, ["rare_logs", "rare_known"])
+    out = scored.join(rare, "row", "left").fillna(0, ["rare_logs", "rare_known"])
     unit = float(np.log10(v.total + 0.5 * (v.distinct + 1)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_logs") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (F.col("model") + F.col("rare_logs")).alias("score"),
+        (F.col("base") + F.col("rare_logs") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (F.col("model") + F.col("shared_logs") + F.col("rare_logs")).alias("score"),
     )
 
 
